@@ -76,7 +76,7 @@ def case_differences(expected: DataFrame, actual: DataFrame, case: str = "case_i
     )
     one_sided = both.groupBy(case, "kind", "value").agg(F.max("e").alias("e"), F.max("a").alias("a")).where("e <> a")
     return one_sided.groupBy(case, "kind").agg(
-        F.count_if("e = 1").alias("missing"), F.count_if("a = 1").alias("unexpected")
+        F.count_if(F.col("e") == 1).alias("missing"), F.count_if(F.col("a") == 1).alias("unexpected")
     )
 
 

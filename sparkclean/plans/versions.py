@@ -232,8 +232,8 @@ class VersionStore:
             F.max_by("result", F.struct("run_at", "id")).alias("result")
         )
         r = decisive.agg(
-            F.count_if("phase = 'after'").alias("checks"),
-            F.count_if("phase = 'reconcile'").alias("recs"),
+            F.count_if(F.col("phase") == "after").alias("checks"),
+            F.count_if(F.col("phase") == "reconcile").alias("recs"),
             F.coalesce(F.bool_and(F.col("result") == "passed"), F.lit(False)).alias("ok"),
         ).first()
         return bool(r["checks"] and r["recs"] and r["ok"])
