@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkclean.functions.dates import is_date_text
-from sparkclean.functions.nested import is_strict_nested, looks_nested, with_parsed_cells
+from sparkclean.functions.nested import json_cell_ok, json_cells, looks_nested, with_parsed_cells
 from sparkclean.functions.numbers import is_numeric_text
 from sparkclean.functions.text import is_blank, looks_boolean, looks_like_code
 from sparkclean.operators.base import ROW_ID, data_columns, is_integer, is_numeric, q, type_name
@@ -76,7 +76,7 @@ class TableProfile:
 def _share_counts(c: Column, i: int) -> list[Column]:
     tests = {
         "looks": looks_nested(c),
-        "strict": is_strict_nested(c),
+        "strict": json_cell_ok(c, F.col(f"_json_{i}")),
         "number": is_numeric_text(c),
         "date": is_date_text(c),
         "code": looks_like_code(c),
@@ -96,7 +96,12 @@ def scan_counts(df: DataFrame) -> dict[str, object]:
     found: dict[str, object] = {}
     for start in range(0, max(1, len(fields)), COLUMNS_PER_PASS):
         aggs = [F.count(F.lit(1)).alias("rows")]
-        for i, f in list(enumerate(fields))[start : start + COLUMNS_PER_PASS]:
+        part = list(enumerate(fields))[start : start + COLUMNS_PER_PASS]
+        frame = df.select(
+            *[q(f.name) for _, f in part],
+            *[json_cells(q(f.name)).alias(f"_json_{i}") for i, f in part if isinstance(f.dataType, T.StringType)],
+        )
+        for i, f in part:
             c = q(f.name)
             aggs.append(F.count(c).alias(f"filled_cells_{i}"))
             if _orderable(f.dataType):
@@ -105,7 +110,7 @@ def scan_counts(df: DataFrame) -> dict[str, object]:
                 aggs.append(F.avg(c).cast("double").alias(f"mean_{i}"))
             if isinstance(f.dataType, T.StringType):
                 aggs += _share_counts(c, i)
-        found.update(df.agg(*aggs).first().asDict())
+        found.update(frame.agg(*aggs).first().asDict())
     return found
 
 

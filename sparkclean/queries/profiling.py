@@ -153,7 +153,7 @@ def samples(spark, sf):
 
 @query(
     "safe_samples",
-    """SELECT 0 AS ordinal, 'event_type' AS "column", string_agg(left(event_type, 2) || '***', '|' ORDER BY event_id) AS samples
+    """SELECT 0 AS ordinal, 'event_type' AS "column", string_agg(CASE WHEN length(event_type) > 4 THEN left(event_type, 2) || '***' ELSE event_type END, '|' ORDER BY event_id) AS samples
        FROM (SELECT * FROM events ORDER BY event_id LIMIT 5)""",
 )
 def masked_samples(spark, sf):

@@ -121,13 +121,13 @@ def suppliers(spark: SparkSession, sf: str) -> DataFrame:
         ROW_ID,
         F.concat(
             F.col("p_type"),
-            F.when(k % 8 == 1, F.lit(" Limited")).when(k % 8 == 3, F.lit(", LLC")).otherwise(F.lit("")),
+            F.when(k % 8 == 1, F.lit(" Ltd")).when(k % 8 == 3, F.lit(", LLC")).otherwise(F.lit("")),
         ).alias("supplier"),
         F.concat(F.lit("PO-"), (k % 40).cast("string")).alias("code"),
     )
 
 
 SUPPLIERS = """
-  SELECT p_partkey AS _rid, p_type || CASE p_partkey % 8 WHEN 1 THEN ' Limited' WHEN 3 THEN ', LLC' ELSE '' END AS supplier,
+  SELECT p_partkey AS _rid, p_type || CASE p_partkey % 8 WHEN 1 THEN ' Ltd' WHEN 3 THEN ', LLC' ELSE '' END AS supplier,
          p_type, 'PO-' || CAST(p_partkey % 40 AS VARCHAR) AS code
   FROM part"""
