@@ -26,56 +26,66 @@ CLOCK = (
 PIVOT = 75
 # --- end of fixed values ---------------------------------------------------------
 
-_ISO = f"(?i)^{WEEKDAY}(\\d{{4}})([-/.])(\\d{{1,2}})\\2(\\d{{1,2}}){CLOCK}$"
-_COMPACT = "(?i)^(\\d{4})(\\d{2})(\\d{2})(?:t?\\d{4}(?:\\d{2})?)?$"
-_SLASH = f"(?i)^{WEEKDAY}(\\d{{1,2}})([-/.])(\\d{{1,2}})\\2(\\d{{4}}|\\d{{2}}){CLOCK}$"
-_DAY_MONTH = f"(?i)^{WEEKDAY}(\\d{{1,2}})(?:st|nd|rd|th)?(?: of)?[- /.,]*{MONTH_WORD}[- /.,]+(\\d{{4}}|\\d{{2}}){CLOCK}$"
-_MONTH_DAY = f"(?i)^{WEEKDAY}{MONTH_WORD}[- /.]*(\\d{{1,2}})(?:st|nd|rd|th)?[- /.,]+(\\d{{4}}|\\d{{2}}){CLOCK}$"
-_YEAR_MONTH = f"(?i)^(\\d{{4}})[- /.]{MONTH_WORD}[- /.](\\d{{1,2}}){CLOCK}$"
-
-
-def _year(text: Column) -> Column:
-    y = text.try_cast("int")
-    return F.when(F.length(text) == 4, y).when(y <= PIVOT, y + 2000).otherwise(y + 1900)
-
-
-def _month(text: Column) -> Column:
-    m = F.lower(F.substring(text, 1, 3))
-    return F.array_position(F.array(*[F.lit(x) for x in MONTHS]), m)
-
-
-def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date")
+# All families in one pattern, so that a cell is matched once. Groups: year-month-day 1-4,
+# numbers with the year last 5-8, day month-name year 9-11, month-name day year 12-14,
+# year month-name day 15-17, eight digits 18-20.
+_ANY = (
+    f"(?i)^(?:{WEEKDAY}(?:(\\d{{4}})([-/.])(\\d{{1,2}})\\2(\\d{{1,2}})"
+    f"|(\\d{{1,2}})([-/.])(\\d{{1,2}})\\6(\\d{{4}}|\\d{{2}})"
+    f"|(\\d{{1,2}})(?:st|nd|rd|th)?(?: of)?[- /.,]*{MONTH_WORD}[- /.,]+(\\d{{4}}|\\d{{2}})"
+    f"|{MONTH_WORD}[- /.]*(\\d{{1,2}})(?:st|nd|rd|th)?[- /.,]+(\\d{{4}}|\\d{{2}})"
+    f"|(\\d{{4}})[- /.]{MONTH_WORD}[- /.](\\d{{1,2}})){CLOCK}"
+    f"|(\\d{{4}})(\\d{{2}})(\\d{{2}})(?:t?\\d{{4}}(?:\\d{{2}})?)?)$"
+)
+# separator of the ambiguous family | year | month | day
+_MARK = "\x01"
+_PARTS = _MARK + "$6|$1$8$11$14$15$18|$3$5$10$12$16$19|$4$7$9$13$17$20"
+_MONTH_AT = "  " + "".join(MONTHS)
+MIN_CHARS, MAX_CHARS = 6, 60
+
+
+def _assemble(parts: Column) -> Column:
+    unsure, y, m, d = (parts[i] for i in range(4))
+    year = F.when(F.length(y) == 4, y).when(y <= str(PIVOT), F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+    named = F.instr(F.lit(_MONTH_AT), F.lower(F.substring(m, 1, 3)))
+    month = F.when(named > 0, (named / 3).cast("int").cast("string")).otherwise(m)
+    month_first = F.concat_ws("-", year, month, d).try_cast("date")
+    return F.when(
+        month_first.isNull() & (unsure != _MARK), F.concat_ws("-", year, d, month).try_cast("date")
+    ).otherwise(month_first)
+
+
+# The two spellings most files use; both stay in generated code.
+_PLAIN_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_PLAIN_SLASH = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
+_FIRST_CHARS = sorted("0123456789" + "".join({w[0] for w in MONTHS} | set("mtwfs")) + "".join({w[0] for w in MONTHS} | set("mtwfs")).upper())
+
+
+def trimmed_date(t: Column) -> Column:
+    """:func:`lenient_date` of a text that has no white space around it."""
+    found = F.regexp_replace(t, _ANY, _PARTS)
+    # the one-element list binds the parts, so the pattern runs once per cell
+    bound = F.transform(F.array(found), lambda f: F.when(f.startswith(_MARK), _assemble(F.split(f, "\\|"))))
+    return (
+        F.when(
+            (F.length(t) < MIN_CHARS) | (F.length(t) > MAX_CHARS) | ~F.substring(t, 1, 1).isin(_FIRST_CHARS),
+            F.lit(None).cast("date"),
+        )
+        .when(t.rlike(_PLAIN_ISO), t.try_cast("date"))
+        .when(
+            t.rlike(_PLAIN_SLASH),
+            F.coalesce(
+                F.regexp_replace(t, _PLAIN_SLASH, "$4-$1-$3").try_cast("date"),
+                F.regexp_replace(t, _PLAIN_SLASH, "$4-$3-$1").try_cast("date"),
+            ),
+        )
+        .when(t.rlike(_ANY), F.get(bound, F.lit(0)))
+    )
 
 
 def lenient_date(c: Column) -> Column:
-    """Text -> date, NULL when the text does not name a full calendar day.
-
-    One shape test per family of formats; a text without a digit is refused first, so
-    prose costs a single cheap test.
-    """
-    t = strip_ws(c)
-
-    def g(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    def i(pattern: str, n: int) -> Column:
-        return g(pattern, n).try_cast("int")
-
-    first, second = i(_SLASH, 1), i(_SLASH, 3)
-    year = _year(g(_SLASH, 4))
-    month_first = _date(year, first, second)
-    day_first = _date(year, second, first)
-    out = (
-        F.when(~t.rlike("^[A-Za-z]{0,9}[.,]? *\\d") | (F.length(t) > 60), F.lit(None).cast("date"))
-        .when(t.rlike(_ISO), _date(g(_ISO, 1), i(_ISO, 3), i(_ISO, 4)))
-        .when(t.rlike(_SLASH), F.coalesce(month_first, day_first))
-        .when(t.rlike(_COMPACT), _date(g(_COMPACT, 1), i(_COMPACT, 2), i(_COMPACT, 3)))
-        .when(t.rlike(_DAY_MONTH), _date(_year(g(_DAY_MONTH, 3)), _month(g(_DAY_MONTH, 2)), i(_DAY_MONTH, 1)))
-        .when(t.rlike(_MONTH_DAY), _date(_year(g(_MONTH_DAY, 3)), _month(g(_MONTH_DAY, 1)), i(_MONTH_DAY, 2)))
-        .when(t.rlike(_YEAR_MONTH), _date(g(_YEAR_MONTH, 1), _month(g(_YEAR_MONTH, 2)), i(_YEAR_MONTH, 3)))
-    )
-    return out
+    """Text -> date, NULL when the text does not name a full calendar day."""
+    return trimmed_date(strip_ws(c))
 
 
 @F.pandas_udf(DateType())
@@ -105,8 +115,8 @@ def lenient_date_full(c: Column) -> Column:
     return F.coalesce(native, _dateutil_date(rest))
 
 
-def is_date_text(c: Column) -> Column:
-    return (F.length(strip_ws(c)) >= 4) & lenient_date(c).isNotNull()
+def is_trimmed_date(t: Column) -> Column:
+    return trimmed_date(t).isNotNull()
 
 
 def iso_date(c: Column) -> Column:

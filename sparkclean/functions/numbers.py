@@ -22,8 +22,13 @@ def to_float(c: Column) -> Column:
     return F.when(c.rlike(FLOAT_PATTERN), F.translate(c, "_", "").try_cast("double"))
 
 
+def is_trimmed_number(t: Column) -> Column:
+    """Of a text without white space around it; a blank after a dollar sign is fine."""
+    return F.translate(t, "$,", "").rlike(FLOAT_PATTERN.replace("^", r"^\s*").replace("$", r"\s*$"))
+
+
 def is_numeric_text(c: Column) -> Column:
-    return strip_ws(F.translate(c, "$,", "")).rlike(FLOAT_PATTERN)
+    return is_trimmed_number(strip_ws(c))
 
 
 def parse_money(c: Column) -> Column:

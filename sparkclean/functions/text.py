@@ -73,6 +73,7 @@ PHONE_PATTERN = r"(?:\+?\d{1,4}[-.\s]?)?(?:\(?\d{2,4}\)?[-.\s]?)?\d{2,5}[-.\s]?(
 FORMULA_PATTERN = r"^[=+@\t\r]|^-[^0-9.]"
 
 CODE_PATTERN = r"^[A-Za-z]{1,10}[-_ ]?\d{2,12}$"
+CODE_MAX_CHARS = 23
 BOOLEAN_WORDS = ("true", "false", "0", "1", "yes", "no", "t", "f", "y", "n")
 # --- end of fixed values ----------------------------------------------------
 
@@ -121,12 +122,20 @@ def remove_chars(c: Column, chars: str) -> Column:
     return F.translate(c.cast("string"), chars, "") if chars else c
 
 
+def is_trimmed_code(t: Column) -> Column:
+    return (F.length(t) <= CODE_MAX_CHARS) & t.rlike(CODE_PATTERN)
+
+
 def looks_like_code(c: Column) -> Column:
-    return strip_ws(c).rlike(CODE_PATTERN)
+    return is_trimmed_code(strip_ws(c))
+
+
+def is_trimmed_boolean(t: Column) -> Column:
+    return (F.length(t) <= 5) & F.lower(t).isin(*BOOLEAN_WORDS)
 
 
 def looks_boolean(c: Column) -> Column:
-    return F.lower(strip_ws(c)).isin(*BOOLEAN_WORDS)
+    return is_trimmed_boolean(strip_ws(c))
 
 
 # --- instruction-like text ----------------------------------------------------

@@ -146,13 +146,17 @@ class ExpandNested(CleaningOp):
         link = F.col(ROW_ID) if key == "_row" or key not in df.columns else q(key)
         narrow = df.select(ROW_ID, link.alias("_link"), q(params["column"]).alias("_cell"))
         parsed = with_parsed_cells(narrow, "_cell").select(ROW_ID, "_link", "_nested.items")
-        return parsed.select(ROW_ID, "_link", F.posexplode("items").alias("_pos", "_item"))
+        # The outer form keeps the optimizer from testing the parsed list below the parser,
+        # which would parse every cell once more.
+        return parsed.select(ROW_ID, "_link", F.posexplode_outer("items").alias("_pos", "_item")).where(
+            F.col("_pos").isNotNull()
+        )
 
     def child_entries(self, df: DataFrame, params) -> DataFrame:
         """Long form, one row per item field; any number of different fields."""
         return self.items(df, params).select(
-            ROW_ID, "_link", "_pos", F.posexplode(F.map_entries("_item")).alias("_kpos", "_e")
-        ).select(
+            ROW_ID, "_link", "_pos", F.posexplode_outer(F.map_entries("_item")).alias("_kpos", "_e")
+        ).where(F.col("_kpos").isNotNull()).select(
             ROW_ID, "_link", "_pos", "_kpos",
             F.col("_e.key").alias("key"),
             F.schema_of_variant("_e.value").alias("kind"),

@@ -205,10 +205,19 @@ def _arithmetic_rules(df: DataFrame, budget: int) -> list[InferredRule]:
 
 def nested_facts(df: DataFrame, column: str) -> tuple[int, list[str]]:
     """Items in all cells and the sorted item keys."""
-    parsed = with_parsed_cells(df.select(q(column).alias("c")), "c", "p").select("p.items")
-    total = parsed.agg(F.coalesce(F.sum(F.size("items").cast("long")), F.lit(0))).first()[0]
-    keys = parsed.select(F.explode("items").alias("m")).select(F.explode(F.map_keys("m")).alias("k")).distinct()
-    return total, sorted(r["k"] for r in keys.collect())
+    parsed = with_parsed_cells(df.select(q(column).alias("c")), "c", "p").select(F.col("p.items").alias("items"))
+    # one pass: the distinct keys of a cell travel with its item count, NULL carries the count
+    names = F.array_distinct(F.flatten(F.transform("items", F.map_keys)))
+    marks = F.concat(F.array(F.lit(None).cast("string")), names)
+    counted = (
+        parsed.select(F.size("items").cast("long").alias("n"), marks.alias("marks"))
+        .select("n", F.explode_outer("marks").alias("k"))
+        .groupBy("k")
+        .agg(F.sum("n").alias("n"))
+        .collect()
+    )
+    total = next((r["n"] for r in counted if r["k"] is None), 0)
+    return total, sorted(r["k"] for r in counted if r["k"] is not None)
 
 
 def _fill_rules(df: DataFrame, profile: TableProfile) -> list[InferredRule]:

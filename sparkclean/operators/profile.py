@@ -12,14 +12,14 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkclean.functions.dates import is_date_text
-from sparkclean.functions.nested import json_cell_ok, json_cells, looks_nested, with_parsed_cells
-from sparkclean.functions.numbers import is_numeric_text
-from sparkclean.functions.text import is_blank, looks_boolean, looks_like_code
+from sparkclean.functions.dates import is_trimmed_date
+from sparkclean.functions.nested import json_cell_ok, json_of_trimmed, with_parsed_cells
+from sparkclean.functions.numbers import is_trimmed_number
+from sparkclean.functions.text import is_trimmed_boolean, is_trimmed_code, strip_ws
 from sparkclean.operators.base import ROW_ID, data_columns, is_integer, is_numeric, q, type_name
 
 # --- fixed values: thresholds and name hints of the classification --------------------
@@ -35,6 +35,7 @@ MONEY_NAME = re.compile(r"amount|price|total|vat|tax|cost")
 # ---------------------------------------------------------------------------------------
 
 COLUMNS_PER_PASS = 40
+_SHAPES = ("looks", "strict", "number", "date", "code", "filled", "boolean")
 
 PROFILE_SCHEMA = (
     "name string, ordinal int, physical_type string, semantic_type string, null_count bigint, "
@@ -73,17 +74,36 @@ class TableProfile:
         return spark.createDataFrame([tuple(vars(c).values()) for c in self.columns], PROFILE_SCHEMA)
 
 
-def _share_counts(c: Column, i: int) -> list[Column]:
+def shape_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many cells of each text column look like what.
+
+    The columns are unpivoted into (ordinal, value) and tested by one set of expressions,
+    so the generated code does not grow with the width of the table; cells are counted
+    before the shuffle, which moves one row per column and task.
+    """
+    if not columns:
+        return {}
+    names = [f"c{i}" for i in range(len(columns))]
+    cells = df.select(*[q(c).alias(n) for c, n in zip(columns, names)]).unpivot([], names, "column", "value").where(
+        F.col("value").isNotNull()
+    )
+    t = F.col("t")
+    cells = cells.select("column", strip_ws(F.col("value")).alias("t"))
+    cells = cells.select("column", "t", json_of_trimmed(t).alias("json"))
     tests = {
-        "looks": looks_nested(c),
-        "strict": json_cell_ok(c, F.col(f"_json_{i}")),
-        "number": is_numeric_text(c),
-        "date": is_date_text(c),
-        "code": looks_like_code(c),
-        "filled": ~is_blank(c),
-        "boolean": looks_boolean(c),
+        "looks": F.substring(t, 1, 1).isin("[", "{"),
+        "strict": json_cell_ok(t, F.col("json")),
+        "number": is_trimmed_number(t),
+        "date": is_trimmed_date(t),
+        "code": is_trimmed_code(t),
+        "filled": t != "",
+        "boolean": is_trimmed_boolean(t),
+    }
+    rows = cells.groupBy("column").agg(*[F.count_if(t).alias(k) for k, t in tests.items()]).collect()
+    seen = {r["column"]: r for r in rows}
+    return {
+        f"{k}:{c}": (seen[n][k] if n in seen else 0) for c, n in zip(columns, names) for k in tests
     }
-    return [F.count_if(test).alias(f"{name}_{i}") for name, test in tests.items()]
 
 
 def _orderable(dtype: T.DataType) -> bool:
@@ -91,26 +111,25 @@ def _orderable(dtype: T.DataType) -> bool:
 
 
 def scan_counts(df: DataFrame) -> dict[str, object]:
-    """Null, range, mean and shape counts of every column."""
+    """Null, range and mean of every column in one flat aggregate, cell shapes of the text
+    columns in one grouped aggregate."""
     fields = [f for f in df.schema.fields if f.name != ROW_ID]
     found: dict[str, object] = {}
     for start in range(0, max(1, len(fields)), COLUMNS_PER_PASS):
         aggs = [F.count(F.lit(1)).alias("rows")]
-        part = list(enumerate(fields))[start : start + COLUMNS_PER_PASS]
-        frame = df.select(
-            *[q(f.name) for _, f in part],
-            *[json_cells(q(f.name)).alias(f"_json_{i}") for i, f in part if isinstance(f.dataType, T.StringType)],
-        )
-        for i, f in part:
+        for i, f in list(enumerate(fields))[start : start + COLUMNS_PER_PASS]:
             c = q(f.name)
             aggs.append(F.count(c).alias(f"filled_cells_{i}"))
             if _orderable(f.dataType):
                 aggs += [F.min(c).cast("string").alias(f"min_{i}"), F.max(c).cast("string").alias(f"max_{i}")]
             if is_numeric(f.dataType):
                 aggs.append(F.avg(c).cast("double").alias(f"mean_{i}"))
-            if isinstance(f.dataType, T.StringType):
-                aggs += _share_counts(c, i)
-        found.update(frame.agg(*aggs).first().asDict())
+        found.update(df.agg(*aggs).first().asDict())
+    texts = [(i, f.name) for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
+    for start in range(0, len(texts), COLUMNS_PER_PASS):
+        part = texts[start : start + COLUMNS_PER_PASS]
+        shapes = shape_counts(df, [n for _, n in part])
+        found.update({f"{k}_{i}": shapes[f"{k}:{n}"] for i, n in part for k in _SHAPES})
     return found
 
 
