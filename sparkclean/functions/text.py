@@ -155,28 +155,63 @@ _WIDE = "".join(chr(i) for i in range(0xFF01, 0xFF5F)) + "\u3000"
 _NARROW = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)) + " "
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def _hides(c: Column) -> Column:
+    """Holds a character that folding could touch; plain ASCII is decided by its length."""
+    return ~is_ascii(c) & c.rlike(_FOLDABLE)
+
+
 def fold_native(c: Column) -> Column:
     """Invisible characters out, full-width ASCII to ASCII."""
-    return F.translate(drop_format_chars(c), _WIDE, _NARROW)
+    return F.when(_hides(c), F.translate(drop_format_chars(c), _WIDE, _NARROW)).otherwise(c)
 
 
 def needs_fold(folded: Column) -> Column:
     """Texts that NFKC could still change after :func:`fold_native`."""
-    return folded.rlike(_FOLDABLE)
+    return _hides(folded)
 
 
 def nfkc(c: Column) -> Column:
     return _nfkc(c)
 
 
+def _may_instruct(low: Column) -> Column:
+    """Cheap necessary condition on the lowered text: the fixed words without which no
+    pattern can match. A dotless or dotted i equals i for a case-blind pattern, so a text
+    that has one is not decided here."""
+
+    def has(*words: str) -> Column:
+        out = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
+    return (
+        has("<script", "```", "you are now", "do not follow", "as an ai", "\u0131", "\u0307")
+        | (has("drop") & has("table"))
+        | (has("ignore", "disregard", "forget", "override") & has("instruction", "prompt", "rules"))
+        | (has("reveal", "print", "show") & has("system prompt", "secret", "api key"))
+        | (has("system", "assistant", "im_start", "im_end") & has("<", ":"))
+    )
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def instruction_match(folded: Column) -> Column:
     """The matched text, or NULL; ``folded`` is already free of hiding tricks."""
-    hit = F.regexp_extract(folded, _INSTRUCTION_JAVA, 0)
-    return F.when(hit != "", hit)
+    may = bind(F.lower(folded), _may_instruct)
+    hit = F.when(may, F.regexp_extract(folded, _INSTRUCTION_JAVA, 0))
+    return F.nullif(hit, F.lit(""))
 
 
 def has_instruction(folded: Column) -> Column:
-    return folded.rlike(_INSTRUCTION_JAVA)
+    return bind(F.lower(folded), _may_instruct) & folded.rlike(_INSTRUCTION_JAVA)
 
 
 # --- sharing and export guards --------------------------------------------------
@@ -190,11 +225,17 @@ def has_unsafe_substring(c: Column) -> Column:
     return out
 
 
+def _replace_words(c: Column, pattern: str, by: str) -> Column:
+    """Word boundaries and digits follow Unicode, which only matters beyond ASCII."""
+    return F.when(is_ascii(c), F.regexp_replace(c, pattern, by)).otherwise(F.regexp_replace(c, "(?U)" + pattern, by))
+
+
 def redact_pii(c: Column) -> Column:
-    """Long tokens first, then e-mail addresses, then telephone numbers."""
-    out = F.regexp_replace(c, "(?U)" + TOKEN_PATTERN, "***")
-    out = F.regexp_replace(out, "(?U)" + EMAIL_PATTERN, "***@***")
-    return F.regexp_replace(out, "(?U)" + PHONE_PATTERN, "***-***-$1")
+    """Long tokens first, then e-mail addresses, then telephone numbers. The last two are
+    only searched where a sign of them exists."""
+    out = _replace_words(c, TOKEN_PATTERN, "***")
+    out = F.when(F.contains(out, F.lit("@")), _replace_words(out, EMAIL_PATTERN, "***@***")).otherwise(out)
+    return F.when(out.rlike("(?U)\\d{2}[-.\\s]?\\d{4}"), _replace_words(out, PHONE_PATTERN, "***-***-$1")).otherwise(out)
 
 
 def mask_sample(c: Column, keep: int = 2) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkclean.functions.text import (
+    bind,
     fold_native,
     instruction_match,
     needs_fold,
@@ -41,26 +44,30 @@ def flagged_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             [], "ordinal int, column string, row bigint, value_preview string, reason string"
         )
     ordinal = {n: i for i, n in enumerate(c for c in df.columns if c != ROW_ID)}
-    cells = []
-    for i, n in enumerate(names):
-        folded = fold_native(q(n))
-        cells += [
-            F.substring(q(n), 1, PREVIEW_CHARS).alias(f"preview_{i}"),
-            instruction_match(folded).alias(f"hit_{i}"),
-            F.when(needs_fold(folded), folded).alias(f"fold_{i}"),
-        ]
-    narrow = df.select(F.col(ROW_ID).alias("row"), *cells)
-    open_cells = [F.col(f"hit_{i}").isNotNull() | F.col(f"fold_{i}").isNotNull() for i in range(len(names))]
-    narrow = narrow.where(F.coalesce(*[F.when(c, True) for c in open_cells], F.lit(False)))
+
+    def judge(folded: Column) -> Column:
+        """(hit, fold), NULL for the many cells that are decided as harmless."""
+        hit, fold = instruction_match(folded), F.when(needs_fold(folded), folded)
+        return bind(
+            F.struct(hit.alias("hit"), fold.alias("fold")),
+            lambda j: F.when(j["hit"].isNotNull() | j["fold"].isNotNull(), j),
+        )
+
+    narrow = df.select(
+        F.col(ROW_ID).alias("row"),
+        *[F.substring(q(n), 1, PREVIEW_CHARS).alias(f"preview_{i}") for i, n in enumerate(names)],
+        *[bind(fold_native(q(n)), judge).alias(f"judged_{i}") for i, n in enumerate(names)],
+    )
+    narrow = narrow.where(reduce(Column.__or__, [F.col(f"judged_{i}").isNotNull() for i in range(len(names))]))
     for i in range(len(names)):
-        narrow = narrow.withColumn(f"exact_{i}", nfkc(F.col(f"fold_{i}")))
+        narrow = narrow.withColumn(f"exact_{i}", nfkc(F.col(f"judged_{i}.fold")))
     found = F.array(*[
         F.struct(
             F.lit(ordinal[n]).alias("ordinal"),
             F.lit(n).alias("column"),
             F.col(f"preview_{i}").alias("value_preview"),
-            F.when(F.col(f"fold_{i}").isNotNull(), instruction_match(F.col(f"exact_{i}")))
-            .otherwise(F.col(f"hit_{i}"))
+            F.when(F.col(f"judged_{i}.fold").isNotNull(), instruction_match(F.col(f"exact_{i}")))
+            .otherwise(F.col(f"judged_{i}.hit"))
             .alias("hit"),
         )
         for i, n in enumerate(names)

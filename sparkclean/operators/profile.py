@@ -1,9 +1,10 @@
 """Column and table profile.
 
-Everything except distinct counts comes from one pass with map-side aggregation (wide
-tables are cut into column groups, each group reading only its own columns). Distinct
-counts read one column each and meet in a single job; no row is multiplied by the number
-of columns, which is what many distinct aggregates in one statement would do.
+Counts, ranges and means come from one pass with map-side aggregation (wide tables are
+cut into column groups, each group reading only its own columns). The shape tests and the
+distinct counts of text columns share one grouping by value. Distinct counts of other
+columns read one column each and meet in a single job; no whole row is multiplied by the
+number of columns, which is what many distinct aggregates in one statement would do.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,8 @@ MONEY_NAME = re.compile(r"amount|price|total|vat|tax|cost")
 # ---------------------------------------------------------------------------------------
 
 COLUMNS_PER_PASS = 40
-_SHAPES = ("looks", "strict", "number", "date", "code", "filled", "boolean")
+# Cells longer than this are grouped by digest; no date, code or boolean is that long.
+LONG_CHARS = 64
 
 PROFILE_SCHEMA = (
     "name string, ordinal int, physical_type string, semantic_type string, null_count bigint, "
@@ -74,36 +76,73 @@ class TableProfile:
         return spark.createDataFrame([tuple(vars(c).values()) for c in self.columns], PROFILE_SCHEMA)
 
 
-def shape_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """How many cells of each text column look like what.
-
-    The columns are unpivoted into (ordinal, value) and tested by one set of expressions,
-    so the generated code does not grow with the width of the table; cells are counted
-    before the shuffle, which moves one row per column and task.
-    """
-    if not columns:
-        return {}
-    names = [f"c{i}" for i in range(len(columns))]
-    cells = df.select(*[q(c).alias(n) for c, n in zip(columns, names)]).unpivot([], names, "column", "value").where(
-        F.col("value").isNotNull()
-    )
-    t = F.col("t")
-    cells = cells.select("column", strip_ws(F.col("value")).alias("t"))
-    cells = cells.select("column", "t", json_of_trimmed(t).alias("json"))
-    tests = {
+def _shape_tests(t: Column, json: Column) -> dict[str, Column]:
+    return {
         "looks": F.substring(t, 1, 1).isin("[", "{"),
-        "strict": json_cell_ok(t, F.col("json")),
+        "strict": json_cell_ok(t, json),
         "number": is_trimmed_number(t),
         "date": is_trimmed_date(t),
         "code": is_trimmed_code(t),
         "filled": t != "",
         "boolean": is_trimmed_boolean(t),
     }
-    rows = cells.groupBy("column").agg(*[F.count_if(t).alias(k) for k, t in tests.items()]).collect()
-    seen = {r["column"]: r for r in rows}
-    return {
-        f"{k}:{c}": (seen[n][k] if n in seen else 0) for c, n in zip(columns, names) for k in tests
-    }
+
+
+def _cells(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(column, value) of the text columns. Unpivoted, the tests exist once in the
+    generated code, however wide the table is."""
+    wide = df.select(*[q(c).alias(n) for n, c in names.items()])
+    return wide.unpivot([], list(names), "column", "value").where(F.col("value").isNotNull())
+
+
+def _by_name(rows, names: dict[str, str], keys) -> dict[str, dict[str, int]]:
+    seen = {names[r["column"]]: {k: r[k] for k in keys} for r in rows}
+    return {c: seen.get(c, dict.fromkeys(keys, 0)) for c in names.values()}
+
+
+def shape_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """How many cells of each text column look like what; every cell is tested in the
+    scan and one row per column and task is shuffled."""
+    names = {f"c{i}": c for i, c in enumerate(columns)}
+    t = F.col("t")
+    cells = _cells(df, names).select("column", strip_ws(F.col("value")).alias("t"))
+    cells = cells.select("column", "t", json_of_trimmed(t).alias("json"))
+    tests = _shape_tests(t, F.col("json"))
+    rows = cells.groupBy("column").agg(*[F.count_if(x).alias(k) for k, x in tests.items()]).collect()
+    return _by_name(rows, names, tests)
+
+
+def text_stats(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Shape counts and the exact distinct count of each text column in one job.
+
+    Counting distinct values has to group the cells by value anyway, so the tests run on
+    the different values only, weighted by how often each occurs; a value that fills a
+    third of a column is one row per task. Long cells are grouped by their SHA-256, and
+    for them only the tests that a long text can pass are made, in the scan.
+    """
+    names = {f"c{i}": c for i, c in enumerate(columns)}
+    v, t = F.col("value"), F.col("t")
+    cells = _cells(df, names)
+    long = F.length(v) > LONG_CHARS
+    cells = cells.select("column", "value", long.alias("long"), F.when(long, strip_ws(v)).alias("t"))
+    cells = cells.select(
+        "column", "long", "t", json_of_trimmed(t).alias("json"),
+        F.when(F.col("long"), F.sha2(v, 256)).otherwise(v).alias("key"),
+    )
+    on_long = {k: x for k, x in _shape_tests(t, F.col("json")).items() if k not in ("code", "boolean")}
+    values = cells.groupBy("column", "long", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.max(F.coalesce(x, F.lit(False)).cast("int")).alias(f"long_{k}") for k, x in on_long.items()],
+    )
+    values = values.withColumn("t", F.when(~F.col("long"), strip_ws(F.col("key"))))
+    values = values.withColumn("json", json_of_trimmed(t))
+    tests = _shape_tests(t, F.col("json"))
+    hit = {k: F.when(F.col("long"), F.col(f"long_{k}") == 1 if k in on_long else F.lit(False)).otherwise(x) for k, x in tests.items()}
+    rows = values.groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        *[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(k) for k, x in hit.items()],
+    ).collect()
+    return _by_name(rows, names, ["distinct", *tests])
 
 
 def _orderable(dtype: T.DataType) -> bool:
@@ -111,8 +150,7 @@ def _orderable(dtype: T.DataType) -> bool:
 
 
 def scan_counts(df: DataFrame) -> dict[str, object]:
-    """Null, range and mean of every column in one flat aggregate, cell shapes of the text
-    columns in one grouped aggregate."""
+    """Null, range and mean of every column in one flat aggregate."""
     fields = [f for f in df.schema.fields if f.name != ROW_ID]
     found: dict[str, object] = {}
     for start in range(0, max(1, len(fields)), COLUMNS_PER_PASS):
@@ -125,16 +163,11 @@ def scan_counts(df: DataFrame) -> dict[str, object]:
             if is_numeric(f.dataType):
                 aggs.append(F.avg(c).cast("double").alias(f"mean_{i}"))
         found.update(df.agg(*aggs).first().asDict())
-    texts = [(i, f.name) for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
-    for start in range(0, len(texts), COLUMNS_PER_PASS):
-        part = texts[start : start + COLUMNS_PER_PASS]
-        shapes = shape_counts(df, [n for _, n in part])
-        found.update({f"{k}_{i}": shapes[f"{k}:{n}"] for i, n in part for k in _SHAPES})
     return found
 
 
 def distinct_counts(df: DataFrame) -> dict[str, int]:
-    """Exact number of different non-null values per column."""
+    """Exact number of different non-null values per column, each column read on its own."""
     def one(i: int, f: T.StructField) -> DataFrame:
         c = F.to_json(q(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else q(f.name)
         return df.select(c.alias("v")).agg(F.count_distinct("v").alias("n")).select(F.lit(i).alias("i"), "n")
@@ -200,7 +233,19 @@ def profile_table(df: DataFrame, table_name: str = "dataset", distinct: str = "e
     fields = [f for f in df.schema.fields if f.name != ROW_ID]
     got = scan_counts(df)
     rows = got["rows"]
-    uniques = distinct_counts(df) if distinct == "exact" else distinct_counts_auto(df, rows)
+    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    stats: dict[str, dict[str, int]] = {}
+    for start in range(0, len(texts), COLUMNS_PER_PASS):
+        part = texts[start : start + COLUMNS_PER_PASS]
+        stats.update(text_stats(df, part) if distinct == "exact" else shape_counts(df, part))
+    if distinct == "exact":
+        others = [q(f.name) for f in fields if f.name not in stats]
+        uniques = {n: x["distinct"] for n, x in stats.items()}
+        uniques.update(distinct_counts(df.select(*others)) if others else {})
+    else:
+        uniques = distinct_counts_auto(df, rows)
+    for i, f in enumerate(fields):
+        got.update({f"{k}_{i}": x for k, x in stats.get(f.name, {}).items()})
 
     nested: dict[int, int] = {}
     unsure: list[int] = []

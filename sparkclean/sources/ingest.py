@@ -11,6 +11,7 @@ from sparkclean.operators.base import ROW_ID
 from sparkclean.operators.guards import MAX_FILE_MB
 from sparkclean.session import scratch_dir
 from sparkclean.sources.delimited import MAX_RECORD_CHARS, read_records, split_cells
+from sparkclean.sources.parquet import plain_path
 from sparkclean.sources.shaping import IngestResult, empty_result, shape_rows
 from sparkclean.sources.workbook import ZIP_MAGIC, read_workbook_rows
 
@@ -99,7 +100,10 @@ def precheck(spark: SparkSession, path: str, kind: str) -> DataFrame:
             .where(head != F.lit(bytearray(ZIP_MAGIC)))
             .select("path", F.lit("file").alias("row_ref"), F.lit("Missing XLSX zip header (PK\\x03\\x04)").alias("reason"))
         )
-    empty = _listing(spark, path).where("length = 0").select(
+    # a scan never visits empty files, so they are those of the listing that it did not see
+    listed = [(plain_path(f),) for f in _listing(spark, path).inputFiles()]
+    seen = _listing(spark, path).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    empty = spark.createDataFrame(listed, "path string").join(seen, "path", "left_anti").select(
         "path", F.lit("file").alias("row_ref"), F.lit("Empty CSV file").alias("reason")
     )
     lines = spark.read.option("lineSep", "\n").text(path).select(

@@ -11,7 +11,7 @@ from sparkclean.operators.base import ROW_ID, q
 from sparkclean.operators.identity import FILE_BITS
 
 
-def _plain(uri: str) -> str:
+def plain_path(uri: str) -> str:
     """The listing and the scan write local paths with a different number of slashes."""
     return re.sub("^file:/+", "file:/", uri)
 
@@ -27,7 +27,7 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     df = spark.read.parquet(*paths)
     if ROW_ID in df.columns:
         return df
-    files = sorted(_plain(f) for f in df.inputFiles())
+    files = sorted(plain_path(f) for f in df.inputFiles())
     position = F.col("_metadata.row_index")
     cols = [q(c) for c in df.columns]
     if len(files) <= 1:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.functions.text import (
+    bind,
     fold_native,
     has_instruction,
     needs_fold,
@@ -41,8 +42,9 @@ def guard_cells(df: DataFrame) -> DataFrame:
     flags = []
     for c in texts:
         folded = fold_native(q(c))
-        exact = F.when(needs_fold(folded), nfkc(F.when(needs_fold(folded), folded))).otherwise(folded)
-        flags.append(F.when(has_instruction(exact), F.lit(c)))
+        unsure = bind(folded, lambda f: F.when(needs_fold(f), f))
+        native = bind(folded, lambda f: ~needs_fold(f) & has_instruction(f))
+        flags.append(F.when(native | has_instruction(nfkc(unsure)), F.lit(c)))
     flagged = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
     out = df.withColumn("flagged_columns", flagged)
     return out.select(*[
