@@ -78,6 +78,12 @@ def _isin(c: Column, values: list[Any]) -> Column:
     return c.isin(values) if values else F.lit(False)
 
 
+def _as_number(name: str) -> tuple[Column, Column]:
+    """(value as a number, test for a value that is none)."""
+    number = q(name).try_cast("double")
+    return number, q(name).isNotNull() & number.isNull()
+
+
 def compile_check(df: DataFrame, d: dict[str, Any]) -> tuple[dict[str, Column], Finish, Column | None]:
     """(aggregates, verdict over their values, filter for offending cells)."""
     kind = d.get("check")
@@ -121,20 +127,27 @@ def compile_check(df: DataFrame, d: dict[str, Any]) -> tuple[dict[str, Column],
         )
     if kind == "sum_equals":
         name, want, tol = _column(df, d), float(d.get("expected", 0.0)), float(d.get("tolerance", TOLERANCE))
+        number, broken = _as_number(name)
         return (
-            {"x": F.coalesce(F.sum(q(name).cast("double")), F.lit(0.0))},
-            lambda r: (abs(r["x"] - want) <= tol, f"Sum of '{name}' is {r['x']} (expected {want})"),
+            {"x": F.coalesce(F.sum(number), F.lit(0.0)), "broken": F.count_if(broken)},
+            lambda r: (
+                not r["broken"] and abs(r["x"] - want) <= tol,
+                f"Sum of '{name}' is {r['x']} (expected {want})" if not r["broken"]
+                else f"Sum check failed with error: {r['broken']} values of '{name}' are not numbers",
+            ),
             None,
         )
     if kind == "arithmetic_holds":
         left, right, tol = d.get("left", ""), d.get("right", ""), float(d.get("tolerance", TOLERANCE))
         if not {left, right} <= set(data_columns(df)):
             raise _Failed(f"Column '{left}' or '{right}' does not exist")
+        (a, bad_a), (b, bad_b) = _as_number(left), _as_number(right)
         return (
-            {"x": F.max(F.abs(q(left).cast("double") - q(right).cast("double")))},
+            {"x": F.max(F.abs(a - b)), "broken": F.count_if(bad_a | bad_b)},
             lambda r: (
-                r["x"] is not None and r["x"] <= tol,
-                f"Max diff between '{left}' and '{right}' is {r['x']}",
+                not r["broken"] and r["x"] is not None and r["x"] <= tol,
+                f"Max diff between '{left}' and '{right}' is {r['x']}" if not r["broken"]
+                else f"Arithmetic check failed with error: {r['broken']} values are not numbers",
             ),
             None,
         )
@@ -168,7 +181,7 @@ def unique_counts(df: DataFrame, keys: list[list[str]]) -> list[tuple[int, int]]
     if not keys:
         return []
     jobs = [
-        df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"))
+        df.groupBy(*[q(c).alias(f"k{j}") for j, c in enumerate(cols)]).agg(F.count(F.lit(1)).alias("n"))
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("different"))
         .select(F.lit(i).alias("i"), "rows", "different")
         for i, cols in enumerate(keys)

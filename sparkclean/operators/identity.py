@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclean.operators.base import ROW_ID, data_columns, is_float, q
@@ -53,13 +53,23 @@ def frame_equal(a: DataFrame, b: DataFrame) -> bool:
     return diff.limit(1).count() == 0
 
 
-def content_hash(df: DataFrame) -> tuple[int, int, int]:
-    """(rows, xor of row hashes, wrapped sum of row hashes): order does not matter, one
-    narrow pass. The sum tells apart frames whose repeated rows cancel in the xor."""
-    h = F.xxhash64(*[q(c) for c in data_columns(_comparable(df))])
-    r = _comparable(df).agg(
+def fingerprint(df: DataFrame) -> list[Column]:
+    """Aggregates (rows, xor of row hashes, sum of row hashes) that do not depend on row
+    order. The sum tells apart frames whose repeated rows cancel in the xor."""
+    values = []
+    for f in df.schema.fields:
+        if f.name != ROW_ID:
+            c = q(f.name)
+            values.append(F.when(~F.isnan(c), c) if is_float(f.dataType) else c)
+    h = F.xxhash64(*values) if values else F.lit(0).cast("long")
+    return [
         F.count(F.lit(1)).alias("n"),
-        F.bit_xor(h).alias("x"),
-        F.sum(F.pmod(h, F.lit(2**31 - 1))).alias("s"),
-    ).first()
-    return int(r["n"]), int(r["x"] or 0), int(r["s"] or 0)
+        F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"),
+        F.coalesce(F.sum(F.pmod(h, F.lit(2**31 - 1))), F.lit(0)).alias("s"),
+    ]
+
+
+def content_hash(df: DataFrame) -> tuple[int, int, int]:
+    """The fingerprint of a frame, one narrow pass."""
+    r = df.agg(*fingerprint(df)).first()
+    return int(r["n"]), int(r["x"]), int(r["s"])

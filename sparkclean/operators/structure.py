@@ -174,9 +174,10 @@ def has_exact_duplicates(df: DataFrame) -> bool:
     names = data_columns(df)
     if not names:
         return False
-    hashed = df.select(F.xxhash64(*[q(c) for c in names]).alias("h"), *[q(c) for c in names])
-    met = hashed.groupBy("h").count().where("count > 1").select("h")
+    plain = df.select(*[q(c).alias(f"c{i}") for i, c in enumerate(names)])
+    hashed = plain.withColumn("h", F.xxhash64(*plain.columns))
+    met = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     if met.limit(1).count() == 0:
         return False
-    rows = hashed.join(met, "h", "left_semi").groupBy(*[q(c) for c in names]).count()
-    return rows.where("count > 1").limit(1).count() > 0
+    rows = hashed.join(met, "h", "left_semi").groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where("n > 1").limit(1).count() > 0

@@ -7,14 +7,14 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.operators.base import ROW_ID, Inverse, schema_of
 from sparkclean.operators.catalogue import apply_inverse, get_op
 from sparkclean.operators.checks import Check, CheckResult, generate_checks, run_checks
 from sparkclean.operators.guards import neutralise_formulas
-from sparkclean.operators.identity import content_hash
+from sparkclean.operators.identity import content_hash, fingerprint
 from sparkclean.operators.profile import TableProfile
 from sparkclean.operators.reconcile import Reconciliation, reconcile
 from sparkclean.plans.plan import Plan
@@ -23,7 +23,7 @@ from sparkclean.plans.plan import Plan
 MIN_REASON_CHARS = 10
 # ------------------------------------------------------------------------------------------
 # Files up to this size get a SHA-256; a larger one is covered by the content hash alone.
-SHA_MAX_BYTES = 1 << 30
+SHA_MAX_BYTES = 256 * 1024 * 1024
 
 VERSION_SCHEMA = (
     "plan_id string, version_no int, step_no int, path string, children map<string,string>, "
@@ -91,8 +91,8 @@ class VersionStore:
             return None
         return self.records().agg(F.max("version_no")).first()[0]
 
-    def _add(self, number: int, step: int, path: str, children: dict, inverse: Inverse | None, note: str) -> None:
-        n, x, s = content_hash(self.spark.read.parquet(path))
+    def _add(self, number, step, path, mark: tuple[int, int, int], children: dict, inverse: Inverse | None, note) -> None:
+        n, x, s = mark
         inv = json.dumps({"op": inverse.op, "parameters": inverse.parameters}) if inverse else None
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         row = [(self.plan_id, number, step, path, children, inv, n, x, s, note, now)]
@@ -123,11 +123,13 @@ class VersionStore:
         return tagged.groupBy("path", "bytes", "sha256").agg(F.sum("side").alias("d")).where("d <> 0").limit(1).count() == 0
 
     # --- execution ----------------------------------------------------------------------
-    def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.root}/{name}"
+    def _write(self, df: DataFrame, name: str) -> tuple[str, tuple[int, int, int]]:
+        """Write a table; its fingerprint is observed on the way, without another pass."""
+        path, seen = f"{self.root}/{name}", Observation("fingerprint")
         # a crashed earlier attempt may have left an unregistered directory
-        df.write.mode("overwrite").parquet(path)
-        return path
+        df.observe(seen, *fingerprint(df)).write.mode("overwrite").parquet(path)
+        got = seen.get
+        return path, (int(got["n"]), int(got["x"]), int(got["s"]))
 
     def execute(self, plan: Plan, df: DataFrame, every_step: bool = False) -> int:
         """Write version 0 (the table as it came) and the result of the decided steps.
@@ -144,14 +146,14 @@ class VersionStore:
         if done is not None and done >= last:
             return done
         if done is None:
-            self._add(0, 0, self._write(df, "v0"), {}, None, "source")
+            self._add(0, 0, *self._write(df, "v0"), {}, None, "source")
             done = 0
         if every_step:
             return self._execute_each(steps, done)
         main, children = plan.run(self.read(0))
-        paths = {n: self._write(c, f"v{last}__{n}") for n, c in children.items()}
+        paths = {n: self._write(c, f"v{last}__{n}")[0] for n, c in children.items()}
         if last:
-            self._add(last, last, self._write(main, f"v{last}"), paths, None, "final")
+            self._add(last, last, *self._write(main, f"v{last}"), paths, None, "final")
         return last
 
     def _execute_each(self, steps, done: int) -> int:
@@ -164,14 +166,14 @@ class VersionStore:
             op.validate(s.parameters, schema_of(frame))
             children = {
                 **children,
-                **{n: self._write(c, f"v{s.step_no}__{n}") for n, c in op.child_tables(frame, s.parameters).items()},
+                **{n: self._write(c, f"v{s.step_no}__{n}")[0] for n, c in op.child_tables(frame, s.parameters).items()},
             }
-            path = self._write(op.apply(frame, s.parameters), f"v{s.step_no}")
+            path, mark = self._write(op.apply(frame, s.parameters), f"v{s.step_no}")
             after = self.spark.read.parquet(path)
             inverse = op.inverse(frame, after, s.parameters)
             if inverse.delta is not None:
                 self._write(inverse.delta, f"_inverse/v{s.step_no}")
-            self._add(s.step_no, s.step_no, path, children, inverse, s.operation)
+            self._add(s.step_no, s.step_no, path, mark, children, inverse, s.operation)
             frame, done = after, s.step_no
         return done
 
@@ -190,7 +192,11 @@ class VersionStore:
         if not self.verify_files(number):
             raise ValueError(f"files of version {number} were changed after they were written")
         new = self.current() + 1
-        self._add(new, row["step_no"], row["path"], dict(row["children"] or {}), None, f"rollback to {number}: {reason}")
+        mark = (row["row_count"], row["hash_xor"], row["hash_sum"])
+        if content_hash(self.spark.read.parquet(row["path"])) != mark:
+            raise ValueError(f"content of version {number} differs from what was recorded")
+        note = f"rollback to {number}: {reason}"
+        self._add(new, row["step_no"], row["path"], mark, dict(row["children"] or {}), None, note)
         return new
 
     # --- verification and export ----------------------------------------------------------

@@ -12,18 +12,10 @@ from sparkclean.operators.guards import MAX_FILE_MB
 from sparkclean.session import scratch_dir
 from sparkclean.sources.delimited import MAX_RECORD_CHARS, read_records, split_cells
 from sparkclean.sources.parquet import plain_path
-from sparkclean.sources.shaping import IngestResult, empty_result, shape_rows
+from sparkclean.sources.shaping import IngestResult, shape_rows
 from sparkclean.sources.workbook import ZIP_MAGIC, read_workbook_rows
 
 
-def _one_header(heads: DataFrame) -> list[str | None] | None:
-    """The header shared by all files; ``heads``: one row of cells per file."""
-    found = [r["cells"] for r in heads.select("cells").distinct().limit(2).collect()]
-    if len(found) > 1:
-        raise ValueError(f"files have different headers: {found[0]} and {found[1]}")
-    return found[0] if found else None
-
-
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -38,17 +30,9 @@ def read_csv(
     out = out or scratch_dir(spark, "ingest")
     records = read_records(spark, path, f"{out}/_work", sep, line_sep, max_record_chars)
     cells = F.when(F.col("oversize"), F.array("record")).otherwise(split_cells(F.col("record"), sep))
-    framed = records.withColumn("cells", cells)
-    if header is not None:
-        rows = framed.select(ROW_ID, F.col("record_no").alias("row_no"), "cells", "oversize")
-        return shape_rows(rows, header, out)
-    found = _one_header(framed.where("record_no = 0 AND NOT oversize"))
-    if found is None:
-        return empty_result(spark, out)
-    rows = framed.where("record_no > 0 OR oversize").select(
-        ROW_ID, (F.col("record_no") - 1).alias("row_no"), "cells", "oversize"
-    )
-    return shape_rows(rows, list(found), out)
+    first = 0 if header is not None else 1
+    rows = records.select(ROW_ID, (F.col("record_no") - first).alias("row_no"), cells.alias("cells"), "oversize")
+    return shape_rows(rows, out, header)
 
 
 def read_workbook(
@@ -56,16 +40,10 @@ def read_workbook(
 ) -> IngestResult:
     """One sheet of one workbook, or of many with the same header. Text keeps its blanks."""
     out = out or scratch_dir(spark, "ingest")
-    staged = f"{out}/_work/rows"
-    read_workbook_rows(spark, path, sheet).write.parquet(staged)
-    rows = spark.read.parquet(staged)
-    header = _one_header(rows.where("row_no = 0"))
-    if header is None:
-        return empty_result(spark, out)
-    data = rows.where("row_no > 0").select(
+    rows = read_workbook_rows(spark, path, sheet).select(
         ROW_ID, (F.col("row_no") - 1).alias("row_no"), "cells", F.lit(False).alias("oversize")
     )
-    return shape_rows(data, list(header), out, blanks_to_null=False)
+    return shape_rows(rows, out, blanks_to_null=False)
 
 
 def ingest(spark: SparkSession, path: str, out: str | None = None, max_mb: int | None = None) -> IngestResult:

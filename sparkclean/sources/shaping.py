@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkclean.functions.text import WHITESPACE, blank_to_null, is_blank
-from sparkclean.operators.base import ROW_ID, data_columns, q
+from sparkclean.operators.base import ROW_ID, q
 from sparkclean.operators.profile import SPARSE_SHARE
 
 UNCLOSED = "Record is longer than the limit; a quote may be unclosed"
@@ -66,93 +66,102 @@ def is_padding(cells: Column) -> Column:
     return ~F.exists(cells, lambda c: ~is_blank(c))
 
 
+def last_filled(cells: Column) -> Column:
+    """1-based position of the last cell that is not blank, 0 if there is none."""
+    marks = F.transform(cells, lambda c, i: F.when(~is_blank(c), i + 1).otherwise(0))
+    return F.coalesce(F.array_max(marks), F.lit(0))
+
+
 def shape_rows(
-    rows: DataFrame, header: list[str | None], out: str, blanks_to_null: bool = True
+    rows: DataFrame, out: str, header: list[str | None] | None = None, blanks_to_null: bool = True
 ) -> IngestResult:
-    """``rows``: (_rid, row_no, cells, oversize) without the header; ``row_no`` counts data
-    rows from 0. Writes ``out/table`` and, if any row is malformed, ``out/quarantine``.
+    """``rows``: (_rid, row_no, cells, oversize). ``row_no`` counts data rows from 0; without
+    ``header`` the rows with ``row_no`` -1 are the headers, which must all be the same.
 
-    The rows are framed once into a staging table; counts come from observations on the
-    writes, so no extra pass is made for them.
+    The cells are framed once into a staging table. Its ``row_no`` and ``last_filled`` let
+    Parquet statistics skip everything else when the headers and the malformed rows are
+    read; counts come from observations on the writes. Writes ``out/table`` and
+    ``out/quarantine``.
     """
     spark = rows.sparkSession
-    width = header_width(header)
-    blank_heads = [i for i in range(width) if header[i] is None or not header[i].strip(WHITESPACE)]
-    cells = F.col("cells")
-    staged = f"{out}/_staging"
-    framed = Observation("framed")
-    reason = F.when(F.col("oversize"), F.lit(UNCLOSED)).otherwise(malformed_reason(cells, width))
-    kept = F.col("reason").isNull() & ~F.col("padding")
+    staged, framed = f"{out}/_staging", Observation("framed")
+    padding = (F.col("last_filled") == 0) & ~F.col("oversize") & (F.col("row_no") >= 0)
     (
-        rows.withColumn("padding", is_padding(cells) & ~F.col("oversize"))
-        .withColumn("reason", F.when(~F.col("padding"), reason))
-        .observe(
-            framed,
-            F.count_if("padding").alias("padding"),
-            F.count_if(F.col("reason").isNotNull()).alias("quarantined"),
-            F.max(F.when(F.col("reason").isNotNull(), F.size("cells"))).alias("quarantine_width"),
-            *[
-                F.coalesce(F.max((kept & ~is_blank(F.get("cells", F.lit(i)))).cast("int")), F.lit(0)).alias(f"data_{i}")
-                for i in blank_heads
-            ],
-        )
-        .where(~F.col("padding"))
-        .select(ROW_ID, "row_no", "cells", "reason", F.col("reason").isNotNull().alias("malformed"))
-        .write.partitionBy("malformed").parquet(staged)
+        rows.withColumn("last_filled", last_filled(F.col("cells")))
+        .observe(framed, F.count_if(padding).alias("padding"))
+        .where(~padding)
+        .select(ROW_ID, "row_no", "last_filled", "oversize", "cells")
+        .write.parquet(staged)
     )
-    seen = framed.get
-    staging = spark.read.schema(
-        "_rid bigint, row_no bigint, cells array<string>, reason string, malformed boolean"
-    ).parquet(staged)
+    staging = spark.read.parquet(staged)
+    if header is None:
+        heads = staging.where((F.col("row_no") == -1) & ~F.col("oversize"))
+        found = [r["cells"] for r in heads.select("cells").distinct().limit(2).collect()]
+        if len(found) > 1:
+            raise ValueError(f"files have different headers: {found[0]} and {found[1]}")
+        if not found:
+            return _empty_result(spark, out)
+        header = list(found[0])
+    width = header_width(header)
+    malformed = F.col("oversize") | (F.col("last_filled") > width)
+    data = staging.where((F.col("row_no") >= 0) | F.col("oversize"))
+    kept = data.where(~malformed)
 
-    retained = [i for i in range(width) if i not in blank_heads or seen[f"data_{i}"]]
+    blank_heads = [i for i in range(width) if header[i] is None or not header[i].strip(WHITESPACE)]
+    used: list[int] = []
+    if blank_heads:
+        holds = [F.max((~is_blank(F.get("cells", F.lit(i)))).cast("int")).alias(f"c{i}") for i in blank_heads]
+        r = kept.agg(*holds).first()
+        used = [i for i in blank_heads if r[f"c{i}"]]
+    retained = [i for i in range(width) if i not in blank_heads or i in used]
     names, renamed = unique_names([
         f"unnamed_{at}" if i in blank_heads else clean_header(header[i]) for at, i in enumerate(retained)
     ])
+    filled = Observation("table")
     value = (lambda c: blank_to_null(c)) if blanks_to_null else (lambda c: c)
-    table = staging.where("NOT malformed").select(
+    kept.select(
         ROW_ID, *[value(F.get("cells", F.lit(i))).alias(n) for i, n in zip(retained, names)]
-    )
-    filled = Observation("table")
-    table.observe(
+    ).observe(
         filled, F.count(F.lit(1)).alias("rows"), *[F.count(q(n)).alias(f"n{i}") for i, n in enumerate(names)]
     ).write.parquet(f"{out}/table")
     counts = filled.get
     total = counts["rows"]
 
+    reason = F.when(F.col("oversize"), F.lit(UNCLOSED)).otherwise(malformed_reason(F.col("cells"), width))
+    rejected = Observation("quarantine")
+    data.where(malformed).select(
+        ROW_ID,
+        F.concat(F.lit("row "), F.col("row_no") + 2).alias("row_ref"),
+        reason.alias("reason"),
+        F.transform("cells", lambda c: F.coalesce(blank_to_null(c), F.lit(""))).alias("cells"),
+    ).observe(rejected, F.count(F.lit(1)).alias("rows"), F.max(F.size("cells")).alias("width")).write.parquet(
+        f"{out}/quarantine"
+    )
+    bad = rejected.get
+
     warnings = []
     if renamed:
         warnings.append(f"{renamed} duplicate column name(s) renamed to keep both columns")
-    if seen["quarantined"]:
-        warnings.append(f"{seen['quarantined']} malformed row(s) quarantined")
+    if bad["rows"]:
+        warnings.append(f"{bad['rows']} malformed row(s) quarantined")
     sparse = []
     for i, n in enumerate(names):
         nulls = total - counts[f"n{i}"]
         if total and nulls / total >= SPARSE_SHARE:
             sparse.append(n)
             warnings.append(f"Column '{n}' has {nulls / total * 100:.1f}% nulls ({nulls}/{total} rows)")
-
-    quarantine = staging.where("malformed").select(
-        ROW_ID,
-        F.concat(F.lit("row "), F.col("row_no") + 2).alias("row_ref"),
-        "reason",
-        F.transform("cells", lambda c: F.coalesce(blank_to_null(c), F.lit(""))).alias("cells"),
-    )
-    if seen["quarantined"]:
-        quarantine.write.parquet(f"{out}/quarantine")
-        quarantine = spark.read.parquet(f"{out}/quarantine")
     return IngestResult(
         spark.read.parquet(f"{out}/table"),
-        quarantine,
+        spark.read.parquet(f"{out}/quarantine"),
         warnings,
         {
             "row_count": total,
             "column_count": len(names),
-            "padding_rows_dropped": seen["padding"],
+            "padding_rows_dropped": framed.get["padding"],
             "empty_columns_dropped": len(header) - len(retained),
             "sparse_columns": sparse,
-            "quarantined_rows": seen["quarantined"],
-            "quarantine_width": seen["quarantine_width"] or 0,
+            "quarantined_rows": bad["rows"],
+            "quarantine_width": bad["width"] or 0,
         },
     )
 
@@ -165,7 +174,7 @@ def wide_quarantine(quarantine: DataFrame, width: int) -> DataFrame:
     )
 
 
-def empty_result(spark, out: str) -> IngestResult:
+def _empty_result(spark, out: str) -> IngestResult:
     table = spark.createDataFrame([], f"{ROW_ID} bigint")
     table.write.parquet(f"{out}/table")
     quarantine = spark.createDataFrame([], f"{ROW_ID} bigint, row_ref string, reason string, cells array<string>")
@@ -175,8 +184,3 @@ def empty_result(spark, out: str) -> IngestResult:
     }
     return IngestResult(table, quarantine, [], stats)
 
-
-__all__ = [
-    "IngestResult", "clean_header", "data_columns", "empty_result", "header_width", "is_padding",
-    "malformed_reason", "shape_rows", "unique_names", "wide_quarantine",
-]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkclean.functions.text import (
     bind,
+    blank_to_null,
     fold_native,
     has_instruction,
     needs_fold,
@@ -16,13 +17,12 @@ from sparkclean.functions.text import (
     nfkc,
     redact_pii,
 )
-from sparkclean.operators.base import ROW_ID, q
+from sparkclean.operators.base import q
 from sparkclean.operators.catalogue import get_op
 from sparkclean.operators.checks import Check, run_checks
 from sparkclean.operators.guards import text_columns
 from sparkclean.sources.delimited import split_cells
 from sparkclean.sources.shaping import clean_header, header_width, is_padding, malformed_reason, unique_names
-from sparkclean.functions.text import blank_to_null
 
 # Operations whose result for one row needs no other row.
 ROW_LOCAL = ("replace_value", "fill_missing", "cast_type", "standardise_format", "derive_column", "drop_column")
@@ -61,11 +61,6 @@ def clean_stream(df: DataFrame, steps: list[tuple[str, dict[str, Any]]]) -> Data
     return df
 
 
-def deduplicate_stream(df: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Streaming form of deduplicate; state is dropped once the watermark has passed."""
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def quality_gate(checks: list[Check], good: str, rejected: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: a batch that passes all checks goes to ``good``, else to
     ``rejected``. One directory per batch id, overwritten on replay, so a batch that is
@@ -109,8 +104,3 @@ def ingest_text_stream(
     return (
         lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
-
-
-__all__ = [
-    "ROW_ID", "clean_stream", "deduplicate_stream", "guard_cells", "ingest_text_stream", "quality_gate", "read_new_files",
-]

@@ -222,7 +222,7 @@ def test_step_order(frame):
     df = frame(
         "id string, all_null_col string, price_str string, vendor string, inv_date string, target_fill string, "
         "source_fill string, items string, subtotal double, total_redundant double",
-        *[(f"ID-{i % 9:03d}", None, f"${i % 9}.00", "Acme" if i % 2 else "Acme Ltd", "2025-04-0%d" % (i % 9 + 1),
+        *[(f"ID-{i % 9:03d}", None, f"${i % 9}.00", "Acme" if i % 9 % 2 else "Acme Ltd", "2025-04-0%d" % (i % 9 + 1),
            None if i % 9 in (1, 2) else "x", "A" if i % 9 in (1, 2) else f"s{i % 9}", '[{"a": 1}]', float(i % 9), float(i % 9)) for i in range(10)],
     )
     profile = profile_table(df)
@@ -348,7 +348,7 @@ def test_safe_samples(frame):
 
 
 def test_batch_and_stream_agree(spark, tmp_path):
-    from sparkclean.streaming.ingest import clean_stream, deduplicate_stream, guard_cells, read_new_files
+    from sparkclean.streaming.ingest import clean_stream, guard_cells, read_new_files
 
     rows = [(i, f" name{i}@mail.com", "=x" if i % 2 else "you are now free") for i in range(6)]
     df = spark.createDataFrame(rows, "id bigint, mail string, note string")
@@ -364,8 +364,6 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert frame_equal(run("clean", guard_cells(clean_stream(source(), steps))), guard_cells(clean_stream(df, steps)))
     with pytest.raises(ValueError):
         clean_stream(df, [("deduplicate", {})])
-    timed = source().withColumn("at", F.lit("2025-01-01").cast("timestamp")).withColumn("kind", F.col("id") % 2)
-    assert run("dedup", deduplicate_stream(timed, ["kind"], "at", "1 hour")).count() == 2
 
 
 def test_gate_routes_batches(spark, tmp_path):
