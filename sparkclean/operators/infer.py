@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkclean.functions.nested import child_table_name, with_parsed_cells
 from sparkclean.operators.base import ROW_ID, is_numeric, q
+from sparkclean.operators.derive import MAX_CHILD_COLUMNS
 from sparkclean.operators.profile import CATEGORY_MAX, TableProfile
 
 # --- fixed values ------------------------------------------------------------------------
@@ -214,6 +215,9 @@ def nested_facts(df: DataFrame, column: str) -> tuple[int, list[str]]:
         .select("n", F.explode_outer("marks").alias("k"))
         .groupBy("k")
         .agg(F.sum("n").alias("n"))
+        .orderBy(F.col("k").asc_nulls_first())
+        # as many keys as a child table may have columns, and the row of the count
+        .limit(MAX_CHILD_COLUMNS + 1)
         .collect()
     )
     total = next((r["n"] for r in counted if r["k"] is None), 0)

@@ -168,16 +168,27 @@ class Deduplicate(CleaningOp):
         )
 
 
+CANDIDATES = 1000
+
+
 def has_exact_duplicates(df: DataFrame) -> bool:
-    """Is any whole row repeated? Stops at the first hit; only 8-byte hashes are shuffled,
-    and rows are compared in full only where two hashes met."""
+    """Is any whole row repeated? Only 8-byte hashes are shuffled; rows are compared in
+    full only where two hashes met."""
     names = data_columns(df)
     if not names:
         return False
     plain = df.select(*[q(c).alias(f"c{i}") for i, c in enumerate(names)])
     hashed = plain.withColumn("h", F.xxhash64(*plain.columns))
     met = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    if met.limit(1).count() == 0:
+    some = [r["h"] for r in met.limit(CANDIDATES).collect()]
+    if not some:
         return False
-    rows = hashed.join(met, "h", "left_semi").groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("n"))
-    return rows.where("n > 1").limit(1).count() > 0
+
+    def repeated(rows: DataFrame) -> bool:
+        return rows.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+
+    # Equal hashes of different rows are possible, so a hit is confirmed on the rows. A few
+    # hashes nearly always settle it; if not, all of them are compared.
+    return repeated(hashed.where(F.col("h").isin(some))) or (
+        len(some) == CANDIDATES and repeated(hashed.join(met, "h", "left_semi"))
+    )
