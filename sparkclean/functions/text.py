@@ -88,7 +88,8 @@ _STABLE = (
     "\\u01F4-\\u024F\\u0400-\\u0481\\u2010\\u2013\\u2014\\u2018-\\u201E\\u2020-\\u2022\\u20AC"
     "\\u3041-\\u3096\\u30A1-\\u30FA\\u4E00-\\u9FFF"
 )
-_FOLDABLE = f"[^\\x00-\\x7F{_STABLE}]"
+# The long class is only looked at behind a character that is not ASCII.
+_FOLDABLE = f"[^\\x00-\\x7F](?<![{_STABLE}])"
 
 
 def strip_ws(c: Column) -> Column:
