@@ -6,7 +6,6 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,22 +63,21 @@ class VersionStore:
 
     def __init__(self, spark: SparkSession, root: str, plan_id: str = "plan"):
         self.spark, self.root, self.plan_id = spark, root.rstrip("/"), plan_id
+        for path, schema in ((self._log, VERSION_SCHEMA), (self._runs, RUN_SCHEMA)):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
 
     # --- records ----------------------------------------------------------------------
     @property
     def _log(self) -> str:
         return f"{self.root}/_versions"
 
+    @property
+    def _runs(self) -> str:
+        return f"{self.root}/_runs"
+
     def records(self) -> DataFrame:
         return self.spark.read.schema(VERSION_SCHEMA).parquet(self._log).where(F.col("plan_id") == self.plan_id)
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.parquet(path)
-        except AnalysisException:
-            return False
-        return True
-
     def record(self, number: int):
         row = self.records().where(F.col("version_no") == number).first()
         if row is None:
@@ -87,8 +85,6 @@ class VersionStore:
         return row
 
     def current(self) -> int | None:
-        if not self._exists(self._log):
-            return None
         return self.records().agg(F.max("version_no")).first()[0]
 
     def _add(self, number, step, path, mark: tuple[int, int, int], children: dict, inverse: Inverse | None, note) -> None:
@@ -180,8 +176,8 @@ class VersionStore:
     def undo_step(self, number: int) -> DataFrame:
         """The frame before the step, rebuilt from the version and its inverse."""
         saved = json.loads(self.record(number)["inverse"])
-        path = f"{self.root}/_inverse/v{number}"
-        delta = self.spark.read.parquet(path) if self._exists(path) else None
+        derived = saved["op"] == "drop_columns"  # the only inverse without a delta
+        delta = None if derived else self.spark.read.parquet(f"{self.root}/_inverse/v{number}")
         return apply_inverse(self.read(number), Inverse(saved["op"], saved["parameters"], delta))
 
     def rollback(self, number: int, reason: str) -> int:
@@ -223,16 +219,14 @@ class VersionStore:
             for i, (name, ok, detail) in enumerate(items)
         ]
         if rows:
-            self.spark.createDataFrame(rows, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/_runs")
+            self.spark.createDataFrame(rows, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(self._runs)
 
     def runs(self) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/_runs")
+        return self.spark.read.schema(RUN_SCHEMA).parquet(self._runs)
 
     def gate_open(self, number: int | None = None) -> bool:
         """Latest "after" run of every check and every reconciliation of this version passed."""
         number = self.current() if number is None else number
-        if not self._exists(f"{self.root}/_runs"):
-            return False
         runs = self.runs().where(F.col("version_no") == number)
         decisive = runs.where("phase <> 'before'").groupBy("phase", "name").agg(
             F.max_by("result", F.struct("run_at", "id")).alias("result")
