@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import quality
+from sparkclean.llm import packing, prefix_tokens, quality
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -25,3 +26,15 @@ def quality_classifier(spark, sf):
     model = quality.fit(docs, read_table(spark, sf, "labels"))
     found = quality.score(docs, model, keep=["doc_id"])
     return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op4_prefix_token_counts")
+def prefix_token_counts(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return prefix_tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(spark, sf):
+    found = packing.pieces(read_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(found)
