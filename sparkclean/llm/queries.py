@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import packing, prefix_tokens, quality
+from sparkclean.llm import decontaminate, packing, prefix_tokens, quality
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -38,3 +38,8 @@ def prefix_token_counts(spark, sf):
 def best_fit_packing(spark, sf):
     found = packing.pieces(read_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(found)
+
+
+@query("op9_benchmark_decontamination")
+def benchmark_decontamination(spark, sf):
+    return decontaminate.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
