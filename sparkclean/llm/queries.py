@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import decontaminate, packing, prefix_tokens, quality
+from sparkclean.llm import decontaminate, lattice, packing, prefix_tokens, quality
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -43,3 +43,8 @@ def best_fit_packing(spark, sf):
 @query("op9_benchmark_decontamination")
 def benchmark_decontamination(spark, sf):
     return decontaminate.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query("op10_lattice_scores")
+def lattice_scores(spark, sf):
+    return lattice.score(read_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
