@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import decontaminate, lattice, packing, prefix_tokens, quality
+from sparkclean.llm import decontaminate, lattice, packing, prefix_tokens, quality, substrings
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -48,3 +48,9 @@ def benchmark_decontamination(spark, sf):
 @query("op10_lattice_scores")
 def lattice_scores(spark, sf):
     return lattice.score(read_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_substring_dedup")
+def substring_dedup(spark, sf):
+    found = substrings.deduplicated(read_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
