@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import decontaminate, lattice, packing, prefix_tokens, quality, substrings
+from sparkclean.llm import decontaminate, jaccard, lattice, packing, prefix_tokens, quality, substrings
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -54,3 +54,8 @@ def lattice_scores(spark, sf):
 def substring_dedup(spark, sf):
     found = substrings.deduplicated(read_table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_jaccard_join")
+def jaccard_join(spark, sf):
+    return jaccard.classes(read_table(spark, sf, "documents"), n=3, percent=90)
