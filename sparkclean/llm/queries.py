@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import decontaminate, jaccard, lattice, packing, prefix_tokens, quality, substrings
+from sparkclean.llm import ann, decontaminate, jaccard, lattice, packing, prefix_tokens, quality, substrings
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -59,3 +59,8 @@ def substring_dedup(spark, sf):
 @query("op2_jaccard_join")
 def jaccard_join(spark, sf):
     return jaccard.classes(read_table(spark, sf, "documents"), n=3, percent=90)
+
+
+@query("op5_nearest_neighbours")
+def nearest_neighbours(spark, sf):
+    return ann.nearest(read_table(spark, sf, "embeddings"))
