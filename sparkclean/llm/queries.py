@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import ann, decontaminate, jaccard, lattice, packing, prefix_tokens, quality, substrings
+from sparkclean.llm import ann, decontaminate, jaccard, lattice, licenses, packing, prefix_tokens, quality, substrings
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -64,3 +64,9 @@ def jaccard_join(spark, sf):
 @query("op5_nearest_neighbours")
 def nearest_neighbours(spark, sf):
     return ann.nearest(read_table(spark, sf, "embeddings"))
+
+
+@query("op8_license_scan")
+def license_scan(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
