@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sparkclean.llm import ann, decontaminate, jaccard, lattice, licenses, packing, prefix_tokens, quality, substrings
+from sparkclean.llm import ann, decontaminate, jaccard, lattice, licenses, lines, packing, prefix_tokens, quality, substrings
 from sparkclean.llm.common import fold_of, read_table
 from sparkclean.queries.registry import Query
 
@@ -70,3 +70,13 @@ def nearest_neighbours(spark, sf):
 def license_scan(spark, sf):
     docs = read_table(spark, sf, "documents")
     return licenses.scan(docs, licenses.fit(docs))
+
+
+@query("op1_line_dedup")
+def line_dedup(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    found = lines.deduplicated(docs)
+    return found.select(
+        "doc_id", (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) + F.size("dropped_lines")).alias("n_lines"),
+        "dropped_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
