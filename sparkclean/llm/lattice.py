@@ -251,7 +251,7 @@ def score(
             row_of = np.repeat(np.arange(rows), np.diff(offsets))
             at = np.searchsorted(keys, values)
             hit = keys[np.minimum(at, len(keys) - 1)] == values if len(keys) else np.zeros(len(values), bool)
-            sums = [np.bincount(row_of[hit], t[at[hit]], rows) for t in table]
+            sums = [np.bincount(row_of[hit], t[at[hit]], rows).astype(float) for t in table]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_row"), batch.column("_id"), batch.column("_held"), pa.array(np.diff(offsets)),
