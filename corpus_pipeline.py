@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.llm import decontaminate, jaccard, lines, packing, quality
-from sparkclean.llm.common import read_table, stored
+from sparkclean.llm.common import key_bitmap, read_table, split_by_bitmap, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that share an id all stay, or none; documents without an id stay."""
     found = jaccard.classes(docs, n=5, percent=80)
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    near, far = split_by_bitmap(docs, "doc_id", key_bitmap(gone, "doc_id"))
+    return near.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(far)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
