@@ -53,19 +53,24 @@ def frame_equal(a: DataFrame, b: DataFrame) -> bool:
     return diff.limit(1).count() == 0
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of the data columns of a row. The hash function skips NULLs, so which columns are NULL is hashed too."""
+    values = [c for c in map(q, data_columns(df))]
+    values = [F.when(~F.isnan(c), c) if is_float(df.schema[n].dataType) else c for c, n in zip(values, data_columns(df), strict=True)]
+    if not values:
+        return F.lit(0).cast("long")
+    return F.xxhash64(F.concat(*[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in values]), *values)
+
+
 def fingerprint(df: DataFrame) -> list[Column]:
     """Aggregates (rows, xor of row hashes, sum of row hashes) that do not depend on row
-    order. The sum tells apart frames whose repeated rows cancel in the xor."""
-    values = []
-    for f in df.schema.fields:
-        if f.name != ROW_ID:
-            c = q(f.name)
-            values.append(F.when(~F.isnan(c), c) if is_float(f.dataType) else c)
-    h = F.xxhash64(*values) if values else F.lit(0).cast("long")
+    order. The sum tells apart frames whose repeated rows cancel in the xor; it is wide enough
+    for any number of rows."""
+    h = row_hash(df)
     return [
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"),
-        F.coalesce(F.sum(F.pmod(h, F.lit(2**31 - 1))), F.lit(0)).alias("s"),
+        F.coalesce(F.sum(F.pmod(h, F.lit(2**31 - 1)).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")).alias("s"),
     ]
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from decimal import Decimal
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from sparkclean.operators.base import ROW_ID, Inverse, schema_of
 from sparkclean.operators.catalogue import apply_inverse, get_op
 from sparkclean.operators.checks import Check, CheckResult, generate_checks, run_checks
 from sparkclean.operators.guards import neutralise_formulas
-from sparkclean.operators.identity import content_hash, fingerprint
+from sparkclean.operators.identity import content_hash, fingerprint, row_hash
 from sparkclean.operators.profile import TableProfile
 from sparkclean.operators.reconcile import Reconciliation, reconcile
 from sparkclean.plans.plan import Plan
@@ -21,14 +23,12 @@ from sparkclean.plans.plan import Plan
 # --- fixed values -----------------------------------------------------------------------
 MIN_REASON_CHARS = 10
 # ------------------------------------------------------------------------------------------
-# Files up to this size get a SHA-256; a larger one is covered by the content hash alone.
-SHA_MAX_BYTES = 256 * 1024 * 1024
-
 VERSION_SCHEMA = (
     "plan_id string, version_no int, step_no int, path string, children map<string,string>, "
-    "inverse string, row_count bigint, hash_xor bigint, hash_sum bigint, "
-    "note string, created_at timestamp_ntz"
+    "inverse string, row_count bigint, hash_xor bigint, hash_sum decimal(38,0), "
+    "child_marks map<string,string>, note string, created_at timestamp_ntz"
 )
+Mark = tuple[int, int, int]  # rows, xor and sum of the row hashes
 RUN_SCHEMA = "id string, version_no int, name string, phase string, result string, detail string, run_at timestamp_ntz"
 
 
@@ -87,13 +87,14 @@ class VersionStore:
     def current(self) -> int | None:
         return self.records().agg(F.max("version_no")).first()[0]
 
-    def _add(self, number, step, path, mark: tuple[int, int, int], children: dict, inverse: Inverse | None, note) -> None:
+    def _add(self, number, step, path, mark: Mark, children: dict, marks: dict, inverse: Inverse | None, note) -> None:
         n, x, s = mark
         inv = json.dumps({"op": inverse.op, "parameters": inverse.parameters}) if inverse else None
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        row = [(self.plan_id, number, step, path, children, inv, n, x, s, note, now)]
+        row = [(self.plan_id, number, step, path, children, inv, n, x, Decimal(s), marks, note, now)]
         self.spark.createDataFrame(row, VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(self._log)
-        self.file_hashes(path).write.mode("overwrite").parquet(f"{self.root}/_files/v{number}")
+        saved = self.file_marks([path, *children.values()])
+        saved.write.mode("overwrite").parquet(f"{self.root}/_files/v{number}")
 
     # --- content ------------------------------------------------------------------------
     def read(self, number: int | None = None) -> DataFrame:
@@ -104,22 +105,41 @@ class VersionStore:
         number = self.current() if number is None else number
         return {n: self.spark.read.parquet(p) for n, p in (self.record(number)["children"] or {}).items()}
 
-    def file_hashes(self, path: str) -> DataFrame:
-        """(file, bytes, sha256) of a version's files, hashed where the files are read."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-        small = files.where(F.col("length") <= SHA_MAX_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
-        return files.select("path", F.col("length").alias("bytes")).join(small, "path", "left")
+    def _listing(self, paths: list[str]) -> DataFrame:
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
+        return files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), F.col("length").alias("bytes"))
+
+    def file_marks(self, paths: list[str]) -> DataFrame:
+        """(file, bytes, rows and row hashes): one rule for files of any size, computed where the rows are read."""
+        marks = None
+        for path in paths:
+            df = self.spark.read.parquet(path)
+            file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_file")
+            hashed = df.select(file, row_hash(df).alias("_h")).groupBy("_file").agg(
+                F.count("*").alias("n"), F.bit_xor("_h").alias("x"), F.sum(F.col("_h").cast("decimal(28,0)")).alias("s")
+            )
+            marks = hashed if marks is None else marks.unionByName(hashed)
+        return self._listing(paths).join(marks, F.col("path") == F.col("_file"), "left").drop("_file")
 
     def verify_files(self, number: int) -> bool:
-        """The files of a version are byte for byte those that were written."""
-        path = self.record(number)["path"]
+        """The files of a version, child tables included, have the lengths and rows that were written."""
+        row = self.record(number)
+        paths = [row["path"], *(row["children"] or {}).values()]
         saved = self.spark.read.parquet(f"{self.root}/_files/v{number}")
-        now = self.file_hashes(path)
-        tagged = saved.withColumn("side", F.lit(1)).unionByName(now.withColumn("side", F.lit(-1)))
-        return tagged.groupBy("path", "bytes", "sha256").agg(F.sum("side").alias("d")).where("d <> 0").limit(1).count() == 0
+
+        def same(a: DataFrame, b: DataFrame) -> bool:
+            tagged = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1)))
+            return tagged.groupBy(*a.columns).agg(F.sum("side").alias("d")).where("d <> 0").isEmpty()
+
+        if not same(saved.select("path", "bytes"), self._listing(paths)):
+            return False
+        try:
+            return same(saved, self.file_marks(paths))
+        except PySparkException:  # a file that cannot be read is not the one that was written
+            return False
 
     # --- execution ----------------------------------------------------------------------
-    def _write(self, df: DataFrame, name: str) -> tuple[str, tuple[int, int, int]]:
+    def _write(self, df: DataFrame, name: str) -> tuple[str, Mark]:
         """Write a table; its fingerprint is observed on the way, without another pass."""
         path, seen = f"{self.root}/{name}", Observation("fingerprint")
         # a crashed earlier attempt may have left an unregistered directory
@@ -127,6 +147,11 @@ class VersionStore:
         got = seen.get
         return path, (int(got["n"]), int(got["x"]), int(got["s"]))
 
+    def _write_children(self, tables: dict[str, DataFrame], step: int) -> tuple[dict[str, str], dict[str, str]]:
+        """Paths and marks of child tables."""
+        done = {n: self._write(c, f"v{step}__{n}") for n, c in tables.items()}
+        return {n: path for n, (path, _) in done.items()}, {n: json.dumps(mark) for n, (_, mark) in done.items()}
+
     def execute(self, plan: Plan, df: DataFrame, every_step: bool = False) -> int:
         """Write version 0 (the table as it came) and the result of the decided steps.
 
@@ -142,34 +167,33 @@ class VersionStore:
         if done is not None and done >= last:
             return done
         if done is None:
-            self._add(0, 0, *self._write(df, "v0"), {}, None, "source")
+            self._add(0, 0, *self._write(df, "v0"), {}, {}, None, "source")
             done = 0
         if every_step:
             return self._execute_each(steps, done)
         main, children = plan.run(self.read(0))
-        paths = {n: self._write(c, f"v{last}__{n}")[0] for n, c in children.items()}
+        paths, marks = self._write_children(children, last)
         if last:
-            self._add(last, last, *self._write(main, f"v{last}"), paths, None, "final")
+            self._add(last, last, *self._write(main, f"v{last}"), paths, marks, None, "final")
         return last
 
     def _execute_each(self, steps, done: int) -> int:
         frame = self.read(done)
-        children = dict(self.record(done)["children"] or {})
+        before = self.record(done)
+        children, marks = dict(before["children"] or {}), dict(before["child_marks"] or {})
         for s in steps:
             if s.step_no <= done:
                 continue
             op = get_op(s.operation)
             op.validate(s.parameters, schema_of(frame))
-            children = {
-                **children,
-                **{n: self._write(c, f"v{s.step_no}__{n}")[0] for n, c in op.child_tables(frame, s.parameters).items()},
-            }
+            paths, new = self._write_children(op.child_tables(frame, s.parameters), s.step_no)
+            children, marks = children | paths, marks | new
             path, mark = self._write(op.apply(frame, s.parameters), f"v{s.step_no}")
             after = self.spark.read.parquet(path)
             inverse = op.inverse(frame, after, s.parameters)
             if inverse.delta is not None:
                 self._write(inverse.delta, f"_inverse/v{s.step_no}")
-            self._add(s.step_no, s.step_no, path, mark, children, inverse, s.operation)
+            self._add(s.step_no, s.step_no, path, mark, children, marks, inverse, s.operation)
             frame, done = after, s.step_no
         return done
 
@@ -191,8 +215,12 @@ class VersionStore:
         mark = (row["row_count"], row["hash_xor"], row["hash_sum"])
         if content_hash(self.spark.read.parquet(row["path"])) != mark:
             raise ValueError(f"content of version {number} differs from what was recorded")
+        marks = dict(row["child_marks"] or {})
+        for name, child in self.read_children(number).items():
+            if list(content_hash(child)) != json.loads(marks[name]):
+                raise ValueError(f"child table {name} of version {number} differs from what was recorded")
         note = f"rollback to {number}: {reason}"
-        self._add(new, row["step_no"], row["path"], mark, dict(row["children"] or {}), None, note)
+        self._add(new, row["step_no"], row["path"], mark, dict(row["children"] or {}), marks, None, note)
         return new
 
     # --- verification and export ----------------------------------------------------------
