@@ -41,7 +41,7 @@ _ANY = (
 _MARK = "\x01"
 _PARTS = _MARK + "$6|$1$8$11$14$15$18|$3$5$10$12$16$19|$4$7$9$13$17$20"
 _MONTH_AT = "  " + "".join(MONTHS)
-MIN_CHARS, MAX_CHARS = 6, 60
+MIN_CHARS = 6
 
 
 def _assemble(parts: Column) -> Column:
@@ -68,7 +68,7 @@ def trimmed_date(t: Column) -> Column:
     bound = F.transform(F.array(found), lambda f: F.when(f.startswith(_MARK), _assemble(F.split(f, "\\|"))))
     return (
         F.when(
-            (F.length(t) < MIN_CHARS) | (F.length(t) > MAX_CHARS) | ~F.substring(t, 1, 1).isin(_FIRST_CHARS),
+            (F.length(t) < MIN_CHARS) | ~F.substring(t, 1, 1).isin(_FIRST_CHARS),
             F.lit(None).cast("date"),
         )
         .when(t.rlike(_PLAIN_ISO), t.try_cast("date"))

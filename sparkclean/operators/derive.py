@@ -163,12 +163,13 @@ class ExpandNested(CleaningOp):
             F.col("_e.value").cast("string").alias("value"),
         )
 
-    def child_fields(self, df: DataFrame, params) -> list[tuple[str, str]]:
-        """Item fields in first-seen order with the type all their values share."""
+    def child_fields(self, df: DataFrame, params) -> list[tuple[str, str]] | None:
+        """Item fields in first-seen order with the type all their values share; None if there are more than a table
+        should have columns."""
         e = self.child_entries(df, params)
         number = F.when(F.col("kind") == "STRING", parse_money(F.col("value")))
         stats = e.groupBy("key").agg(
-            F.min(ROW_ID).alias("first"),
+            F.min(F.struct(ROW_ID, "_pos", "_kpos")).alias("first"),
             F.count_if(F.col("kind") == "STRING").alias("texts"),
             F.count_if(F.col("kind") == "BIGINT").alias("ints"),
             F.count_if(F.col("kind").rlike("^(DECIMAL|DOUBLE|FLOAT)")).alias("floats"),
@@ -178,22 +179,8 @@ class ExpandNested(CleaningOp):
         )
         rows = stats.limit(MAX_CHILD_COLUMNS + 1).collect()
         if len(rows) > MAX_CHILD_COLUMNS:
-            raise ValueError(
-                f"more than {MAX_CHILD_COLUMNS} different item fields; use child_entries() for the long form"
-            )
-        if not rows:
-            return []
-        # Fields first seen in the same parent row are ordered by their place in it; only
-        # those few rows are read again.
-        firsts = sorted({r["first"] for r in rows})
-        place = {
-            (r["key"], r[ROW_ID]): r["place"]
-            for r in self.child_entries(df.where(F.col(ROW_ID).isin(firsts)), params)
-            .groupBy("key", ROW_ID)
-            .agg(F.min(F.struct("_pos", "_kpos")).alias("place"))
-            .collect()
-        }
-        rows.sort(key=lambda r: (r["first"], tuple(place[(r["key"], r["first"])])))
+            return None
+        rows.sort(key=lambda r: tuple(r["first"]))
 
         def kind(r) -> str:
             others = r["ints"] + r["floats"] + r["bools"]
@@ -219,6 +206,9 @@ class ExpandNested(CleaningOp):
         key = self.key_column(params)
         link = "_row" if key == "_row" or key not in df.columns else key
         fields = self.child_fields(df, params)
+        if fields is None:  # too many for columns: one row per field, nothing left out
+            long = self.child_entries(df, params)
+            return {params["child_table"]: long.select(F.col("_link").alias(link), "_pos", "key", "kind", "value")}
         items = self.items(df, params)
         cols = [F.col("_link").alias(link)]
         taken = {link}

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------
-EXPORT_ROWS = 100_000
 AUDIT_SCHEMA = (
     "id string, occurred_at timestamp_ntz, user_id string, user_role string, event_type string, "
     "object_type string, object_id string, details string, correlation_id string"
@@ -66,11 +65,12 @@ def replay_after(df: DataFrame, time: str, key: str, after_key=None) -> DataFram
     return df.orderBy(F.col(time).asc(), F.col(key).asc())
 
 
-def top_export(df: DataFrame, time: str, key: str, details: Column, rows: int = EXPORT_ROWS) -> DataFrame:
-    """The newest rows with their details as JSON text."""
-    return df.withColumn("details_json", F.coalesce(details, F.lit("{}"))).orderBy(
+def top_export(df: DataFrame, time: str, key: str, details: Column, rows: int | None = None) -> DataFrame:
+    """The newest ``rows`` rows, or all, newest first, with their details as JSON text."""
+    out = df.withColumn("details_json", F.coalesce(details, F.lit("{}"))).orderBy(
         F.col(time).desc(), F.col(key).desc()
-    ).limit(rows)
+    )
+    return out if rows is None else out.limit(rows)
 
 
 class AuditLog:

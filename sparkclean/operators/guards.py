@@ -19,7 +19,6 @@ from sparkclean.functions.text import (
 from sparkclean.operators.base import ROW_ID, q
 
 # --- fixed values -----------------------------------------------------------------------
-FLAG_LIMIT = 200
 PREVIEW_CHARS = 60
 MATCH_CHARS = 40
 MAX_FILE_MB = 50
@@ -81,7 +80,7 @@ def flagged_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def scan_frame(df: DataFrame, limit: int = FLAG_LIMIT) -> DataFrame:
+def scan_frame(df: DataFrame, limit: int) -> DataFrame:
     """The first flagged cells, column by column and row by row (a top-k, not a cap on work)."""
     return flagged_cells(df).orderBy("ordinal", "row").limit(limit)
 

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from sparkclean.operators.base import ROW_ID, data_columns, is_float, q
 from sparkclean.session import scratch_dir
 
-# rows per file that an id leaves room for
+# rows per file that an id leaves room for; the rest of a positive id numbers the files
 FILE_BITS = 40
 
 
+def file_row_id(file_no: Column, row: Column) -> Column:
+    """Row id of a row of a numbered file; an error where the parts do not fit, never a second use of an id."""
+    fits = (file_no >= 0) & (file_no < 1 << (63 - FILE_BITS)) & (row >= 0) & (row < 1 << FILE_BITS)
+    wrong = F.raise_error(F.concat(F.lit("no row id for file "), file_no.cast("string"), F.lit(", row "), row.cast("string")))
+    return F.when(fits, F.shiftleft(file_no, FILE_BITS) + row).otherwise(wrong.cast("long"))
+
+
 def order_columns(df: DataFrame) -> DataFrame:
     """Row id first, data columns after it."""
     return df.select(F.col(ROW_ID), *[q(c) for c in data_columns(df)])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import itertools
 import json
+import logging
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -12,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclean.functions.nested import child_table_name, with_parsed_cells
+from sparkclean.functions.text import strip_ws
 from sparkclean.operators.base import ROW_ID, is_numeric, q
-from sparkclean.operators.derive import MAX_CHILD_COLUMNS
 from sparkclean.operators.profile import CATEGORY_MAX, TableProfile
 
 # --- fixed values ------------------------------------------------------------------------
@@ -21,9 +24,11 @@ VARIANT_SCORE = 60.0
 VARIANT_BOUNDARY = " ,(-"
 EQUAL_TOLERANCE = 1e-6
 EQUAL_SHARE = 0.95
-ARITHMETIC_TESTS = 40
 # -------------------------------------------------------------------------------------------
 EXPRESSIONS_PER_PASS = 300
+BLOCK_VALUES = 1000
+
+log = logging.getLogger(__name__)
 
 RULE_SCHEMA = (
     "rule_type string, columns array<string>, expression string, confidence double, evidence string, source string"
@@ -105,11 +110,12 @@ def spelling_groups(
 
 
 def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None = None) -> DataFrame:
-    """(column, canonical, variants) for low-cardinality text columns.
+    """(column, canonical, variants) of the spellings of text columns.
 
-    The table is first reduced to (column, value, count, first row); a column with more
-    than the category limit of different values is refused, so a group handed to one
-    task never holds more than that many rows.
+    The table is first reduced to (column, value, count, first row). A column of up to ``CATEGORY_MAX`` values is
+    grouped as a whole. Values of a larger one meet in blocks of the same first word, and where a block has more than
+    ``BLOCK_VALUES`` values, of the same first two words, then three; spellings that differ in their first word are
+    then not compared.
     """
     values = [q(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
     freq = (
@@ -120,11 +126,8 @@ def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None =
         .agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first"))
     )
     names = {f"c{i}": c for i, c in enumerate(columns)}
-    limit = CATEGORY_MAX
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"column {names[pdf['col_no'].iloc[0]]} has more than {limit} values")
         found = spelling_groups(list(zip(pdf["value"], pdf["n"], pdf["first"])), max_variants=max_variants)
         return pd.DataFrame({
             "column": [names[pdf["col_no"].iloc[0]]] * len(found),
@@ -133,13 +136,16 @@ def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None =
             "variants": [g["variants"] for g in found],
         })
 
-    small = freq
-    if columns:
-        # keeps a group bounded even when the caller names a column that is not a category
-        wide = freq.groupBy("col_no").count().where(F.col("count") > limit).limit(1).collect()
-        if wide:
-            raise ValueError(f"column '{names[wide[0]['col_no']]}' has more than {limit} different values")
-    return small.groupBy("col_no").applyInPandas(
+    words = F.split(F.lower(strip_ws(F.col("value"))), r"[\s,.(]+")
+    blocked = freq.withColumn("block", F.lit(""))
+    for depth, most in ((1, CATEGORY_MAX), (2, BLOCK_VALUES), (3, BLOCK_VALUES)):
+        size = blocked.groupBy("col_no", "block").agg(F.count("*").alias("values"))
+        blocked = (
+            blocked.join(size, ["col_no", "block"])
+            .withColumn("block", F.when(F.col("values") > most, F.array_join(F.slice(words, 1, depth), " ")).otherwise(F.col("block")))
+            .drop("values")
+        )
+    return blocked.groupBy("col_no", "block").applyInPandas(
         cluster, "column string, group_no int, canonical string, variants array<string>"
     )
 
@@ -147,15 +153,21 @@ def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None =
 # --- numeric relations ---------------------------------------------------------------------------
 
 
-def arithmetic_candidates(columns: list[str], budget: int = ARITHMETIC_TESTS) -> list[tuple[str, ...]]:
-    """Pairs (a = b) first, then triples (a = b + c), within the budget."""
-    pairs = list(itertools.combinations(columns, 2))[:budget]
+def arithmetic_candidates(columns: list[str], budget: int | None = None) -> Iterator[tuple[str, ...]]:
+    """Pairs (a = b) first, then triples (a = b + c); all of them unless a budget is given."""
+    pairs = itertools.combinations(columns, 2)
     triples = (
         (a, b, c)
         for a in columns
         for b, c in itertools.combinations([x for x in columns if x != a], 2)
     )
-    return pairs + list(itertools.islice(triples, budget - len(pairs) if len(columns) >= 3 else 0))
+    return itertools.islice(itertools.chain(pairs, triples), budget)
+
+
+def untested_candidates(columns: int, budget: int | None) -> int:
+    """How many candidates of that many columns a budget leaves out."""
+    total = math.comb(columns, 2) + columns * math.comb(max(columns - 1, 0), 2)
+    return max(0, total - budget) if budget is not None else 0
 
 
 def arithmetic_counts(df: DataFrame, candidates: list[tuple[str, ...]]) -> list[tuple[int, int]]:
@@ -181,11 +193,18 @@ def _pick_target(a: str, b: str) -> tuple[str, str]:
     return (a, b) if a.lower() > b.lower() else (b, a)
 
 
-def _arithmetic_rules(df: DataFrame, budget: int) -> list[InferredRule]:
+def _arithmetic_tests(df: DataFrame, candidates: Iterator[tuple[str, ...]]) -> Iterator[tuple[tuple[str, ...], tuple[int, int]]]:
+    """Candidates with their counts, as many in one pass as a plan can hold."""
+    while chunk := list(itertools.islice(candidates, EXPRESSIONS_PER_PASS // 6)):
+        yield from zip(chunk, arithmetic_counts(df, chunk))
+
+
+def _arithmetic_rules(df: DataFrame, budget: int | None) -> list[InferredRule]:
     numeric = [f.name for f in df.schema.fields if f.name != ROW_ID and is_numeric(f.dataType)]
-    candidates = arithmetic_candidates(numeric, budget)
+    if left := untested_candidates(len(numeric), budget):
+        log.warning("%d arithmetic candidates are not tested: the budget is %d", left, budget)
     rules = []
-    for cols, (hits, rows) in zip(candidates, arithmetic_counts(df, candidates)):
+    for cols, (hits, rows) in _arithmetic_tests(df, arithmetic_candidates(numeric, budget)):
         if not rows or hits / rows < EQUAL_SHARE:
             continue
         evidence = {"matching_rows": hits, "total_rows": rows, "tolerance": EQUAL_TOLERANCE}
@@ -215,10 +234,7 @@ def nested_facts(df: DataFrame, column: str) -> tuple[int, list[str]]:
         .select("n", F.explode_outer("marks").alias("k"))
         .groupBy("k")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.col("k").asc_nulls_first())
-        # as many keys as a child table may have columns, and the row of the count
-        .limit(MAX_CHILD_COLUMNS + 1)
-        .collect()
+        .collect()  # one row per item key
     )
     total = next((r["n"] for r in counted if r["k"] is None), 0)
     return total, sorted(r["k"] for r in counted if r["k"] is not None)
@@ -255,7 +271,7 @@ def _can_compare(df: DataFrame, name: str) -> bool:
 def infer_rules(
     df: DataFrame,
     profile: TableProfile,
-    arithmetic_tests: int = ARITHMETIC_TESTS,
+    arithmetic_tests: int | None = None,
     max_variants: int | None = None,
 ) -> list[InferredRule]:
     rows = profile.row_count

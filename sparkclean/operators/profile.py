@@ -36,7 +36,7 @@ MONEY_NAME = re.compile(r"amount|price|total|vat|tax|cost")
 # ---------------------------------------------------------------------------------------
 
 COLUMNS_PER_PASS = 40
-# Cells longer than this are grouped by digest; no date, code or boolean is that long.
+# Cells longer than this are grouped by digest and tested in the scan.
 LONG_CHARS = 64
 
 PROFILE_SCHEMA = (
@@ -117,8 +117,8 @@ def text_stats(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
 
     Counting distinct values has to group the cells by value anyway, so the tests run on
     the different values only, weighted by how often each occurs; a value that fills a
-    third of a column is one row per task. Long cells are grouped by their SHA-256, and
-    for them only the tests that a long text can pass are made, in the scan.
+    third of a column is one row per task. Long cells are grouped by their SHA-256 and
+    tested in the scan.
     """
     names = {f"c{i}": c for i, c in enumerate(columns)}
     v, t = F.col("value"), F.col("t")
@@ -129,7 +129,7 @@ def text_stats(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
         "column", "long", "t", json_of_trimmed(t).alias("json"),
         F.when(F.col("long"), F.sha2(v, 256)).otherwise(v).alias("key"),
     )
-    on_long = {k: x for k, x in _shape_tests(t, F.col("json")).items() if k not in ("code", "boolean")}
+    on_long = _shape_tests(t, F.col("json"))
     values = cells.groupBy("column", "long", "key").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.max(F.coalesce(x, F.lit(False)).cast("int")).alias(f"long_{k}") for k, x in on_long.items()],
@@ -137,7 +137,7 @@ def text_stats(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
     values = values.withColumn("t", F.when(~F.col("long"), strip_ws(F.col("key"))))
     values = values.withColumn("json", json_of_trimmed(t))
     tests = _shape_tests(t, F.col("json"))
-    hit = {k: F.when(F.col("long"), F.col(f"long_{k}") == 1 if k in on_long else F.lit(False)).otherwise(x) for k, x in tests.items()}
+    hit = {k: F.when(F.col("long"), F.col(f"long_{k}") == 1).otherwise(x) for k, x in tests.items()}
     rows = values.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"),
         *[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(k) for k, x in hit.items()],

@@ -52,6 +52,25 @@ def detection_scores(expected: DataFrame, detected: DataFrame, keys: list[str])
     )
 
 
+def pass_counts(results: DataFrame, passed: str = "passed", case: str | None = None) -> DataFrame:
+    """One row (per case if a case column is named): total, passed, failed, pass_rate, clean (nothing failed).
+
+    A check without a verdict has not passed. The rate of no checks is 1.0.
+    """
+    ok = F.count_if(F.coalesce(F.col(passed), F.lit(False)))
+    total = F.count(F.lit(1))
+    grouped = results.groupBy(*([case] if case else []))
+    return grouped.agg(
+        total.alias("total"), ok.alias("passed"), (total - ok).alias("failed"), ratio(ok, total).alias("pass_rate"), (total == ok).alias("clean")
+    )
+
+
+def clean_cases(counts: DataFrame) -> DataFrame:
+    """From counts per case: cases, clean_cases, clean_rate."""
+    clean = F.count_if("clean")
+    return counts.agg(F.count(F.lit(1)).alias("cases"), clean.alias("clean_cases"), ratio(clean, F.count(F.lit(1))).alias("clean_rate"))
+
+
 def bar_report(metrics: DataFrame) -> DataFrame:
     """(check, actual, bar, direction, passed) from one row of metrics."""
     rows = F.array(*[

@@ -54,7 +54,7 @@ def events_latest(spark, sf):
 
 @query(
     "events_top_export",
-    "SELECT event_id, event_type, props AS details_json FROM events ORDER BY ts DESC, event_id DESC LIMIT 100000",
+    "SELECT event_id, event_type, props AS details_json FROM events",
 )
 def events_top(spark, sf):
     e = views.table(spark, sf, "events")

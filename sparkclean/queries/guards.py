@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkclean.functions import text as T
 from sparkclean.functions.numbers import is_money_text, is_numeric_text, parse_money
 from sparkclean.operators.base import ROW_ID
-from sparkclean.operators.guards import FLAG_LIMIT, MATCH_CHARS, REASON, flagged_cells, neutralise_formulas, scan_frame
+from sparkclean.operators.guards import MATCH_CHARS, REASON, flagged_cells, neutralise_formulas, scan_frame
 from sparkclean.queries import views
 from sparkclean.queries.registry import query
 
@@ -38,10 +38,13 @@ def instruction_pages(spark, sf):
     return flagged_cells(pages, ["html"]).drop("ordinal")
 
 
-@query("guard_scan_first", f"SELECT * FROM ({_flag_sql('pages', 'page_id', 'html')}) ORDER BY \"row\" LIMIT {FLAG_LIMIT}")
+_FIRST = 200  # the feature of this query
+
+
+@query("guard_scan_first", f"SELECT * FROM ({_flag_sql('pages', 'page_id', 'html')}) ORDER BY \"row\" LIMIT {_FIRST}")
 def scan_first(spark, sf):
     pages = views.with_rid(views.table(spark, sf, "pages"), "page_id").select(ROW_ID, "html")
-    return scan_frame(pages).drop("ordinal")
+    return scan_frame(pages, _FIRST).drop("ordinal")
 
 
 _HIDDEN = """

@@ -211,7 +211,7 @@ def _arith_sql() -> str:
 
 @query("rule_arithmetic_candidates", _arith_sql())
 def arithmetic(spark, sf):
-    tests = arithmetic_candidates(_ARITH)
+    tests = list(arithmetic_candidates(_ARITH))
     counts = arithmetic_counts(views.line_totals(spark, sf), tests)
     rows = [(",".join(c), m, n) for c, (m, n) in zip(tests, counts)]
     return spark.createDataFrame(rows, "candidate string, matching_rows bigint, comparable_rows bigint")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkclean.operators.base import ROW_ID
-from sparkclean.operators.identity import FILE_BITS
+from sparkclean.operators.identity import file_row_id
 from sparkclean.session import bytes_within
 
 # Stands for a doubled quote while a piece is examined; not a character (Unicode reserves
@@ -191,7 +191,7 @@ def read_records(
 
     def finish(df: DataFrame) -> DataFrame:
         return df.withColumn("record", F.regexp_replace("record", "\r$", "")).select(
-            (F.shiftleft(F.col("_file_no"), FILE_BITS) + F.col("record_no")).alias(ROW_ID),
+            file_row_id(F.col("_file_no"), F.col("record_no")).alias(ROW_ID),
             "_file", "record_no", bom.alias("record"), "oversize",
         )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.operators.base import ROW_ID, q
-from sparkclean.operators.identity import FILE_BITS
+from sparkclean.operators.identity import file_row_id
 
 
 def plain_path(uri: str) -> str:
@@ -41,7 +41,7 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .join(listing, F.col("_path") == F.col("_file"), "left")
         .select(
             F.when(F.col("_no").isNull(), F.raise_error(F.concat(F.lit("file not in listing: "), F.col("_path"))).cast("long"))
-            .otherwise(F.shiftleft(F.col("_no"), FILE_BITS) + F.col("_pos"))
+            .otherwise(file_row_id(F.col("_no"), F.col("_pos")))
             .alias(ROW_ID),
             *cols,
         )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.operators.base import ROW_ID
-from sparkclean.operators.identity import FILE_BITS
+from sparkclean.operators.identity import file_row_id
 
 # --- fixed values -----------------------------------------------------------------------
 ZIP_MAGIC = b"PK\x03\x04"
@@ -99,5 +99,5 @@ def read_workbook_rows(spark: SparkSession, path: str | list[str], sheet: int |
     names = sorted(r["path"] for r in files.select("path").collect())
     listing = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "path string, _no long")
     return rows.join(listing, "path").select(
-        (F.shiftleft(F.col("_no"), FILE_BITS) + F.col("row_no")).alias(ROW_ID), "path", "row_no", "cells"
+        file_row_id(F.col("_no"), F.col("row_no")).alias(ROW_ID), "path", "row_no", "cells"
     )

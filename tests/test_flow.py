@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkclean.operators.checks import Check, generate_checks, run_checks
 from sparkclean.operators.events import AuditLog, latest_check_runs, page_with_total, replay_after
-from sparkclean.operators.identity import frame_equal
+from sparkclean.operators.identity import content_hash, frame_equal
 from sparkclean.operators.infer import InferredRule, common_subsequence, infer_rules, merge_rules, rules_df, spelling_groups, variant_score
 from sparkclean.operators.profile import distinct_counts_auto, profile_table, safe_samples
-from sparkclean.operators.reconcile import reconcile
+from sparkclean.operators.reconcile import exact_sum, reconcile
 from sparkclean.operators.scoring import bar_report, detection_scores, passed_bar, sheet_verdicts
-from sparkclean.plans.plan import Plan, Step, make_plan, merge_proposals, step_decision, steps_from_rules
+from sparkclean.plans.plan import Plan, Step, make_plan, open_questions, steps_from_rules, with_proposals
 from sparkclean.plans.versions import ExportBlocked, VersionStore
 from sparkclean.sources.ingest import read_csv
 
@@ -218,22 +218,31 @@ def test_every_step_and_inverses(spark, golden, tmp_path):
     assert not store.verify_files(2)
 
 
-def test_step_order(frame):
+def test_all_kinds_of_steps_in_order(frame):
+    """Ten parcels with a fault of every kind; the last repeats the first."""
+    def parcel(i):
+        k = i % 9
+        late = k in (3, 4)
+        return (
+            f"P{k:04d}", f"{k + 1}.50 $", "Nord Cargo" if k < 5 else "Nord Cargo (North)", f"1{k}.02.2023", None, None if late else f"zone {k}",
+            "LATE" if late else f"run {k}", json.dumps([{"box": k}]), k * 2.0, k * 2.0,
+        )
+
     df = frame(
-        "id string, all_null_col string, price_str string, vendor string, inv_date string, target_fill string, "
-        "source_fill string, items string, subtotal double, total_redundant double",
-        *[(f"ID-{i % 9:03d}", None, f"${i % 9}.00", "Acme" if i % 9 % 2 else "Acme Ltd", "2025-04-0%d" % (i % 9 + 1),
-           None if i % 9 in (1, 2) else "x", "A" if i % 9 in (1, 2) else f"s{i % 9}", '[{"a": 1}]', float(i % 9), float(i % 9)) for i in range(10)],
+        "parcel string, fee string, carrier string, sent string, remark string, zone string, route string, boxes string, "
+        "weight double, weight_total double",
+        *[parcel(i) for i in range(10)],
     )
     profile = profile_table(df)
     steps = steps_from_rules(df, profile, infer_rules(df, profile))
-    assert [s.operation for s in steps] == [
-        "drop_column", "cast_type", "replace_value", "standardise_format", "fill_missing", "expand_nested", "deduplicate", "drop_column",
-    ]
-    assert steps[-1].parameters == {"column": "total_redundant", "redundant_with": "subtotal"}
+    assert [(s.operation, s.parameters.get("column")) for s in steps] == [
+        ("drop_column", "remark"), ("cast_type", "fee"), ("replace_value", "carrier"), ("standardise_format", "sent"),
+        ("fill_missing", "zone"), ("expand_nested", "boxes"), ("deduplicate", None), ("drop_column", "weight_total"),
+    ]
+    assert steps[-1].parameters["redundant_with"] == "weight" and steps[4].parameters["value"] == "LATE"
     plan = make_plan(df, profile)
-    assert {s.operation: s.decision for s in plan.steps}["fill_missing"] == "pending"
-    assert plan.confidence == min(s.confidence for s in plan.steps) and 0 < plan.total_loss < 1
+    waiting = {s.operation for s in plan.steps if s.decision == "pending"}
+    assert "fill_missing" in waiting and plan.confidence == min(s.confidence for s in plan.steps) and 0 < plan.total_loss < 1
 
 
 def test_proposals_and_decisions(frame):
@@ -243,10 +252,12 @@ def test_proposals_and_decisions(frame):
         Step("standardise_format", {"column": "a", "format": "lower"}, source="model"),
         Step("run_code", {"column": "a"}), Step("cast_type", {"column": "zz", "dtype": "int"}),
     ]
-    merged, rejected = merge_proposals([], proposals, df)
-    assert [s.parameters["format"] for s in merged] == ["upper"] and len(rejected) == 2
-    assert step_decision("cast_type", 0.05, 0.05, 0.6) == "accepted" and step_decision("cast_type", 0.06, 0.05, 0.9) == "pending"
-    assert step_decision("fill_missing", 0, 1, 1) == "pending" and step_decision("cast_type", 0, 1, 0.5) == "pending"
+    merged, rejected = with_proposals([], proposals, df)
+    assert [s.parameters["format"] for s in merged] == ["upper"]
+    assert len(rejected) == 2 and rejected[0] == "run_code on a: unknown operation" and "zz" in rejected[1]
+    cast = lambda c: Step("cast_type", {"column": "a"}, confidence=c)
+    assert not open_questions(cast(0.6), 0.05, 0.05) and len(open_questions(cast(0.5), 0.06, 0.05)) == 2
+    assert open_questions(Step("fill_missing", {}, confidence=1.0), 0.0, 1.0) == ["it invents values"]
     merged[0].step_no = 1
     plan = Plan(merged)
     plan.decide(1, "edited", df, {"column": "a", "format": "title"})
@@ -259,6 +270,33 @@ def test_proposals_and_decisions(frame):
         plan.decide(1, "rejected")
 
 
+def test_rollback_checks_child_tables(spark, frame, tmp_path):
+    df = frame("k string, items string", ("a", '[{"n": 1}]'), ("b", '[{"n": 2}]'))
+    step = Step("expand_nested", {"column": "items", "key_column": "k", "child_table": "Items"}, step_no=1, decision="accepted")
+    store = VersionStore(spark, str(tmp_path / "v"))
+    store.execute(Plan([step], status="approved"), df)
+    store.rollback(1, "nothing has changed yet")
+    store.read_children(1)["Items"].limit(1).write.parquet(str(tmp_path / "other"))
+    child = tmp_path / "v" / "v1__Items"
+    for f in child.glob("*.parquet"):
+        f.unlink()
+    for f in (tmp_path / "other").glob("*.parquet"):
+        (child / f.name).write_bytes(f.read_bytes())
+    with pytest.raises(ValueError):
+        store.rollback(1, "the child table was replaced")
+
+
+def test_fingerprint_sees_swapped_nulls(frame):
+    a, b = frame("x string, y string", (None, "v")), frame("x string, y string", ("v", None))
+    assert content_hash(a) != content_hash(b)
+
+
+def test_totals_do_not_depend_on_order(spark):
+    df = spark.range(200_000).selectExpr("id * 0.1 + 0.01 AS a")
+    got = {df.repartition(n).agg(exact_sum(F.col("a"))).first()[0] for n in (1, 3, 7)}
+    assert len(got) == 1 and str(got.pop()) == "1999992000.000000"
+
+
 def test_reconcile_reports_loss(frame):
     before = frame("price string, keep double, lines string", ("$1.50", 1.0, '[{"a": "2.00"}]'), ("$2.50", 2.0, "[{'a': '3.5'}]"))
     after = frame("price double, keep double", (1.5, 1.0), (None, 2.0))
