@@ -205,12 +205,30 @@ def stream_gate(spark, sf):
     return good.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("good").alias("target"), "n_rows")
 
 
-@query("stream_ingest", "SELECT 'C-' || c_custkey AS customer, c_mktsegment AS segment FROM customer WHERE c_custkey % 9 <> 0")
+@query(
+    "stream_ingest",
+    """SELECT 'C-' || c_custkey AS customer, CASE WHEN c_custkey % 11 = 0 THEN 'two' || chr(10) || 'lines, ' || c_mktsegment
+         WHEN c_custkey % 10 = 0 THEN 'segment' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 9 <> 0""",
+)
 def stream_ingest(spark, sf):
+    """Files with a quoted header, cells with line breaks, and rows with too many cells."""
+    return spark.read.parquet(f"{_arrivals(spark, sf)}/table").select("customer", "segment")
+
+
+@query("stream_quarantine", "SELECT count(*) AS n_rows, count(*) AS placed FROM customer WHERE c_custkey % 9 = 0")
+def stream_quarantine(spark, sf):
+    bad = spark.read.parquet(f"{_arrivals(spark, sf)}/quarantine")
+    return bad.agg(F.count("*").alias("n_rows"), F.count_if(F.col("row_ref").rlike("^row [0-9]+$")).alias("placed"))
+
+
+def _arrivals(spark, sf) -> str:
     root = scratch_dir(spark, "arrivals")
     k = F.col("c_custkey")
-    line = F.concat_ws(",", F.concat(F.lit("C-"), k.cast("string")), F.col("c_mktsegment"), F.when(k % 9 == 0, F.lit("too,many")))
-    views.table(spark, sf, "customer").select(line.alias("value")).write.text(f"{root}/in")
+    segment = F.when(k % 11 == 0, F.concat(F.lit('"two\nlines, '), F.col("c_mktsegment"), F.lit('"'))).when(k % 10 == 0, F.lit("segment")).otherwise(F.col("c_mktsegment"))
+    line = F.concat_ws(",", F.concat(F.lit("C-"), k.cast("string")), segment, F.when(k % 9 == 0, F.lit("too,many")))
+    for part in range(2):  # two files, each with its header
+        rows = views.table(spark, sf, "customer").filter(k % 2 == part).select(k.alias("k"), line.alias("value"))
+        head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit('"customer","segment"').alias("value"))
+        rows.unionByName(head).coalesce(1).sortWithinPartitions("k").select("value").write.mode("append").text(f"{root}/in")
     ingest_text_stream(spark, f"{root}/in", ["customer", "segment"], f"{root}/out", f"{root}/check").awaitTermination()
-    return spark.read.parquet(f"{root}/out/table").select("customer", "segment")
-
+    return f"{root}/out"

@@ -57,41 +57,42 @@ def _regex_literal(sep: str) -> str:
 
 def split_cells(record: Column, sep: str = ",") -> Column:
     """Cells of one record. Quotes inside an unquoted cell are plain text; text behind a
-    closing quote is kept; doubled quotes are one quote."""
+    closing quote is kept; doubled quotes are one quote.
 
-    def opened(piece: Column) -> Column:
-        """Text behind an opening quote, with the closing quote resolved if there is one."""
-        marked = F.replace(piece, F.lit('""'), F.lit(_PAIR))
-        head = F.substring_index(marked, '"', 1)
-        tail = F.substring(marked, F.length(head) + 2, 2**31 - 1)
-        return F.concat(
-            F.replace(head, F.lit(_PAIR), F.lit('"')), F.replace(tail, F.lit(_PAIR), F.lit('""'))
-        )
-
-    empty = F.struct(
-        F.lit(False).alias("open"), F.lit("").alias("cur"), F.array().cast("array<string>").alias("cells")
+    The pieces between separators are walked once to find where each cell begins and ends; its text is then put
+    together in one go, so a quoted cell with many separators costs time in proportion to its length.
+    """
+    span = "struct<begin:int,end:int>"
+    start = F.struct(
+        F.lit(False).alias("open"), F.lit(0).alias("begin"), F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("cells")
     )
 
     def step(acc: Column, piece: Column) -> Column:
         quoted = acc["open"] | piece.startswith('"')
-        body = F.when(acc["open"], piece).otherwise(F.substring(piece, 2, 2**31 - 1))
-        goes_on = quoted & _leaves_open(body)
-        text = F.concat(acc["cur"], F.when(quoted, opened(body)).otherwise(piece))
+        goes_on = quoted & _leaves_open(F.when(acc["open"], piece).otherwise(F.substring(piece, 2, 2**31 - 1)))
+        begin = F.when(acc["open"], acc["begin"]).otherwise(acc["at"])
+        cell = F.struct(begin.alias("begin"), acc["at"].alias("end"))
         return F.struct(
-            goes_on.alias("open"),
-            F.when(goes_on, F.concat(text, F.lit(sep))).otherwise(F.lit("")).alias("cur"),
-            F.when(goes_on, acc["cells"]).otherwise(F.concat(acc["cells"], F.array(text))).alias("cells"),
+            goes_on.alias("open"), begin.alias("begin"), (acc["at"] + 1).alias("at"),
+            F.when(goes_on, acc["cells"]).otherwise(F.concat(acc["cells"], F.array(cell))).alias("cells"),
         )
 
     def finish(acc: Column) -> Column:
         # an unclosed cell at the end of the file keeps what it has
-        rest = F.substring(acc["cur"], F.lit(1), F.length(acc["cur"]) - len(sep))
+        rest = F.struct(acc["begin"].alias("begin"), (acc["at"] - 1).alias("end"))
         return F.when(acc["open"], F.concat(acc["cells"], F.array(rest))).otherwise(acc["cells"])
 
+    def text(cell: Column) -> Column:
+        whole = F.array_join(F.slice(pieces, cell["begin"] + 1, cell["end"] - cell["begin"] + 1), sep)
+        marked = F.replace(F.substring(whole, 2, 2**31 - 1), F.lit('""'), F.lit(_PAIR))
+        head = F.substring_index(marked, '"', 1)
+        tail = F.substring(marked, F.length(head) + 2, 2**31 - 1)
+        resolved = F.concat(F.replace(head, F.lit(_PAIR), F.lit('"')), F.replace(tail, F.lit(_PAIR), F.lit('""')))
+        return F.when(whole.startswith('"'), resolved).otherwise(whole)
+
     pieces = F.split(record, _regex_literal(sep))
-    return F.when(F.contains(record, F.lit('"')), F.aggregate(pieces, empty, step, finish)).when(
-        record == "", F.array().cast("array<string>")
-    ).otherwise(pieces)
+    cells = F.transform(F.aggregate(pieces, start, step, finish), text)
+    return F.when(F.contains(record, F.lit('"')), cells).when(record == "", F.array().cast("array<string>")).otherwise(pieces)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], sep: str = ",", line_sep: str = "\n") -> DataFrame:

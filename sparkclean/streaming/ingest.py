@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from typing import Any, Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.functions.text import (
     bind,
-    blank_to_null,
     fold_native,
     has_instruction,
     needs_fold,
@@ -17,12 +17,14 @@ from sparkclean.functions.text import (
     nfkc,
     redact_pii,
 )
-from sparkclean.operators.base import q
+from sparkclean.operators.base import ROW_ID, q
 from sparkclean.operators.catalogue import get_op
 from sparkclean.operators.checks import Check, run_checks
 from sparkclean.operators.guards import text_columns
-from sparkclean.sources.delimited import split_cells
-from sparkclean.sources.shaping import clean_header, header_width, is_padding, malformed_reason, unique_names
+from sparkclean.operators.identity import FILE_BITS
+from sparkclean.session import scratch_dir
+from sparkclean.sources.ingest import read_csv
+from sparkclean.sources.shaping import clean_header, header_width, unique_names
 
 # Operations whose result for one row needs no other row.
 ROW_LOCAL = ("replace_value", "fill_missing", "cast_type", "standardise_format", "derive_column", "drop_column")
@@ -70,6 +72,12 @@ def quality_gate(checks: list[Check], good: str, rejected: str) -> Callable[[Dat
         results = run_checks(checks, batch)
         target, other = (good, rejected) if all(r.passed for r in results) else (rejected, good)
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        stale = f"{other}/batch_id={batch_id}"  # an earlier attempt may have judged otherwise
+        try:
+            before = batch.sparkSession.read.parquet(stale)
+        except AnalysisException:
+            return
+        before.limit(0).write.mode("overwrite").parquet(stale)
 
     return route
 
@@ -79,28 +87,27 @@ def ingest_text_stream(
 ):
     """Follow a folder of delimited files that share a known header.
 
-    Rows go to ``out/table`` or, when malformed, to ``out/quarantine``; one directory per
-    batch keeps a replay from storing rows twice. Cells with line breaks need whole files
-    and go through the batch reader (``foreachBatch`` with :func:`sparkclean.sources.ingest.read_csv`).
+    The stream lists the new files; each batch reads its files whole with :func:`read_csv`, so cells with line breaks
+    stay whole, the header is the first record of a file and no other, and malformed rows keep their place. Rows go to
+    ``out/table`` or ``out/quarantine``; one directory per batch keeps a replay from storing rows twice. A file with
+    another header stops the stream.
     """
-    width = header_width(header)
-    names, _ = unique_names([clean_header(h) for h in header[:width]])
-    head_line = sep.join(header)
-    lines = spark.readStream.option("lineSep", "\n").text(folder).select(
-        F.regexp_replace(F.make_valid_utf8("value"), "^﻿|\r$", "").alias("record"),
-        F.col("_metadata.file_name").alias("file"),
-    )
+    names, _ = unique_names([clean_header(h) for h in header[: header_width(header)]])
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.where(F.col("record") != head_line).withColumn("cells", split_cells(F.col("record"), sep))
-        rows = rows.where(~is_padding(F.col("cells"))).withColumn("reason", malformed_reason(F.col("cells"), width))
-        rows.where("reason IS NULL").select(
-            "file", *[blank_to_null(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)]
-        ).write.mode("overwrite").parquet(f"{out}/table/batch_id={batch_id}")
-        rows.where("reason IS NOT NULL").select("file", "reason", "cells").write.mode("overwrite").parquet(
-            f"{out}/quarantine/batch_id={batch_id}"
-        )
+        session = batch.sparkSession
+        paths = sorted(r["path"] for r in batch.collect())  # names only, as many as one trigger takes
+        if not paths:
+            return
+        r = read_csv(session, paths, scratch_dir(session, "stream"), sep)
+        if [c for c in r.table.columns if c != ROW_ID] != names:
+            raise ValueError(f"a file of batch {batch_id} has the header {r.table.columns}, not {names}")
+        listing = F.array(*[F.element_at(F.split(F.lit(p), "/"), -1) for p in paths])
+        file = F.element_at(listing, (F.shiftright(ROW_ID, FILE_BITS) + 1).cast("int")).alias("file")
+        r.table.select(file, *map(q, names)).write.mode("overwrite").parquet(f"{out}/table/batch_id={batch_id}")
+        r.quarantined.select(file, "row_ref", "reason", "cells").write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
 
     return (
-        lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        files.select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
