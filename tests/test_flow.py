@@ -224,7 +224,7 @@ def test_all_kinds_of_steps_in_order(frame):
         k = i % 9
         late = k in (3, 4)
         return (
-            f"P{k:04d}", f"{k + 1}.50 $", "Nord Cargo" if k < 5 else "Nord Cargo (North)", f"1{k}.02.2023", None, None if late else f"zone {k}",
+            f"P{k:04d}", f"{k + 1}.50 $", "Nord Cargo" if k % 2 else "Nord Cargo (North)", f"1{k}.02.2023", None, None if late else f"zone {k}",
             "LATE" if late else f"run {k}", json.dumps([{"box": k}]), k * 2.0, k * 2.0,
         )
 
