@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents by their word n-grams.
 
 The document by n-gram incidence matrix is multiplied with its transpose block by block, and only where a pair can
-still reach the threshold. N-grams are ordered from rare to frequent words (a sketch of the words of all documents); a
+still reach the threshold. N-grams are ordered by the rarest word pair in them (a sketch of the pairs of all documents); a
 document brings the first |x| - ceil(t|x|) + k of them. Equal sets meet once.
 
 1. Each document is tried against the most central document of its n-grams: its leader.
@@ -42,13 +42,24 @@ SLICE = 4096  # n-grams of a block that are multiplied at once
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 
 
+def _part(n: int) -> int:
+    """Words of the parts of an n-gram whose counts are sketched; the rarest part bounds the n-gram."""
+    return min(n, 2)
+
+
+def _bucket(values: np.ndarray, n: int) -> np.ndarray:
+    return (gram_hashes(values, _part(n)) >> _SHIFT).astype(np.int64)
+
+
 def _sets(values: np.ndarray, offsets: np.ndarray, n: int, weight: np.ndarray | None = None):
-    """The distinct n-gram hashes of each list, sorted, and the frequency of each (sum over its words of ``weight`` by
-    bucket); of a shorter list, one hash of the whole."""
+    """The distinct n-gram hashes of each list, sorted, and the frequency of each (the least of its parts, ``weight``
+    by bucket); of a shorter list, one hash of the whole."""
     grams = gram_hashes(values, n)
     if weight is not None:
-        total = np.concatenate([[0], np.cumsum(weight[(values >> _SHIFT).astype(np.int64)])])
-        often = total[n:] - total[:-n] if len(grams) else total[:0]
+        part = weight[_bucket(values, n)]
+        often = part[: len(grams)]
+        for k in range(1, n - _part(n) + 1):
+            often = np.minimum(often, part[k : k + len(grams)])
     for start, end in zip(offsets[:-1], offsets[1:], strict=True):
         if end - start >= n:
             if weight is None:
@@ -68,14 +79,14 @@ def _name(own: np.ndarray) -> bytes:
 
 
 def _overview(own: DataFrame, n: int) -> DataFrame:
-    """_id, ``size``, ``set`` (hash of the set) per row, and ``bucket``, ``size``: one sketch of word counts per task."""
+    """_id, ``size``, ``set`` (hash of the set) per row, and ``bucket``, ``size``: one sketch of word pair counts per task."""
     schema = pa.schema([("_id", pa.int64()), ("size", pa.int64()), ("set", pa.binary()), ("bucket", pa.int32())])
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             values, offsets = lists_of(batch.column("_words"))
-            sketch += np.bincount((values >> _SHIFT).astype(np.int64), minlength=1 << SKETCH_BITS)
+            sketch += np.bincount(_bucket(values, n), minlength=1 << SKETCH_BITS)
             size, name = [], []
             for s, _ in _sets(values, offsets, n):
                 size.append(len(s))
@@ -94,14 +105,13 @@ def _lead(size, percent: int):
 def _postings(own: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """gram, _id, ``size``, ``place`` for the leading n-grams of every row; a set once per task."""
     schema = pa.schema([("gram", pa.int64()), ("_id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
-    weight = np.round(16 * np.log2(sketch + 1.0)).astype(np.int64)
 
     def run(batches):
         seen = set()
         for batch in batches:
             ids = batch.column("_id").to_numpy()
             grams, rows, places, sizes = [], [], [], []
-            for r, (s, often) in enumerate(_sets(*lists_of(batch.column("_words")), n, weight)):
+            for r, (s, often) in enumerate(_sets(*lists_of(batch.column("_words")), n, sketch)):
                 if not len(s) or (name := _name(s)) in seen:
                     continue
                 seen.add(name)
@@ -296,12 +306,18 @@ def classes(
     stars = stored(stars, "jaccard-stars")
     edges = stored(_linked(stars, incidence, percent), "jaccard-edges")
 
-    # a family is a leader and the documents whose best leader it is; all pairs within are settled block by block
-    tied = edges.select(F.col("a").alias("rep"), F.col("b").alias("family"), F.lit(True).alias("_tied"))
-    family = stars.select(F.col("a").alias("rep"), F.col("b").alias("family")).join(tied, ["rep", "family"], "left")
-    family = family.select("rep", "family", F.coalesce("_tied", F.lit(False)).alias("bound"))
+    # a family: a leader, the documents whose best leader it is, and those of which one of these is the best leader;
+    # all pairs within are settled block by block
+    tied = edges.select("a", "b", F.lit(True).alias("_tied"))
+    first = stored(stars.join(tied, ["a", "b"], "left").withColumn("_tied", F.coalesce("_tied", F.lit(False))), "jaccard-first")
+    second = first.select(F.col("a").alias("b"), F.col("b").alias("_up"), F.col("_tied").alias("_up_tied"))
+    up = F.when(F.col("_up") == F.col("a"), F.least("a", "b")).otherwise(F.coalesce("_up", "b"))
+    family = first.join(second, "b", "left").withColumn("family", up)
+    bound = F.col("_tied") & ((F.col("family") == F.col("b")) | (F.col("family") == F.col("a")) | F.coalesce("_up_tied", F.lit(False)))
+    family = family.select(F.col("a").alias("rep"), "family", bound.alias("bound"))
     heads = family.select(F.col("family").alias("rep"), "family", F.lit(True).alias("bound")).distinct()
-    inner = _family_links(stored(family, "jaccard-family").unionByName(heads), incidence, percent)
+    members = family.unionByName(heads).groupBy("rep", "family").agg(F.max("bound").alias("bound"))
+    inner = _family_links(stored(members, "jaccard-family"), incidence, percent)
     edges = stored(edges.unionByName(inner), "jaccard-edges")
     label = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("class"))
 
