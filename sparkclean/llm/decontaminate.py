@@ -55,11 +55,12 @@ class Items:
 
     def __post_init__(self):
         self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # seed length -> sorted hashes, items
+        self.seeds: list[np.ndarray] = [gram_hashes(t, min(self.min_match, len(t))) if len(t) else t for t in self.tokens]
         by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, t in enumerate(self.tokens):
             if len(t):
                 size = min(self.min_match, len(t))
-                by_size.setdefault(size, []).append((np.unique(gram_hashes(t, size)), k))
+                by_size.setdefault(size, []).append((np.unique(self.seeds[k]), k))
         for size, rows in by_size.items():
             grams = np.concatenate([g for g, _ in rows])
             owner = np.concatenate([np.full(len(g), k) for g, k in rows])
@@ -85,9 +86,9 @@ class Items:
             starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
             for s, e in zip(starts, np.r_[starts[1:], len(pair)], strict=True):
                 row, k = divmod(int(pair[s]), len(self.tokens))
-                # every marked token lies in a seed, and a seed marks at most its own length
-                kinds = len(np.unique(found[at[s:e]]))
-                if kinds * size >= self.coverage * len(self.tokens[k]):
+                # every marked token of the item lies in a seed that the document holds; a seed may recur in the item
+                places = np.flatnonzero(np.isin(self.seeds[k], found[at[s:e]]))
+                if size + np.minimum(np.diff(places), size).sum() >= self.coverage * len(self.tokens[k]):
                     yield row, k, size, at[s:e] - offsets[row]
 
 

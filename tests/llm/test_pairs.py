@@ -142,6 +142,32 @@ def test_decontamination(spark):
     assert kept.columns == df.columns and rows_of(kept, "doc_id") == [(12,), (13,), (15,), (16,)]
 
 
+def test_decontamination_of_repetitive_items(spark):
+    """A seed that recurs in an item marks its tokens at every place."""
+    refrain, table = " ".join(["row the boat"] * 8), " ".join(["0 1 1 0"] * 20) + " end"
+    bench = spark.createDataFrame([(1, refrain), (2, table)], "item_id bigint, text string")
+    docs = [(1, "so they sang " + refrain + " until dawn"), (2, table), (3, "row the boat and row the boat"), (4, "0 1 1 0 0 1"), (5, " ".join(["row the boat"] * 5))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = rows_of(decontaminate.contaminated(df, bench), "doc_id", "item_id", "matched", "item_tokens")
+    assert got == [(1, 1, 24, 24), (2, 2, 81, 81), (5, 1, 15, 24)]
+    assert rows_of(decontaminate.clean_documents(df, bench), "doc_id") == [(3,), (4,)]
+
+
+def test_candidates_lose_no_tiling():
+    """Whatever tiling marks to the share is a candidate, also with few kinds of tokens."""
+    r = random.Random(12)
+    hits = 0
+    for _ in range(300):
+        item = [r.randint(1, 3) for _ in range(r.randint(1, 40))] if r.random() < 0.5 else [1, 2, 3][: r.randint(1, 3)] * r.randint(1, 12)
+        doc = item[r.randrange(len(item)) :] + [r.randint(1, 3) for _ in range(r.randint(0, 20))]
+        items = decontaminate.Items(["x"], [np.array(item, np.uint64)], 4, 0.6)
+        marked = brute.tiling(doc, item, min(4, len(item)))[0]
+        found = list(items.candidates(np.array(doc, np.uint64), np.array([0, len(doc)])))
+        assert found or marked < 0.6 * len(item), (doc, item)
+        hits += marked >= 0.6 * len(item)
+    assert hits > 50
+
+
 def test_decontamination_empty(docs, no_docs, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(docs, none).collect() == []
