@@ -5,9 +5,9 @@ and the leading words choose a leaf. In a leaf the most frequent line is a templ
 enough places belong to it, their differing places being further variables; the rest makes up to ``rounds`` further
 templates, and what is left stands for itself. Everything is DataFrame functions.
 
-A template counts as boilerplate when enough documents have it that consist mainly of lines of their own. Documents
-that mainly consist of recurring lines are copies of other documents: they prove nothing about a line (removing copies
-is the work of near-duplicate detection), so the lines of a copied document do not count as boilerplate.
+A template counts as boilerplate when documents of enough groups have it. Copies and near copies of a document are one
+group, known by the rarest line, so the lines of a copied document do not count as boilerplate (removing copies is the
+work of near-duplicate detection). How much of a document recurs elsewhere does not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ MIN_DOCS = 5
 DEPTH = 3
 SIMILAR = 0.6
 ROUNDS = 3
-AGAIN_SHARE = 0.25  # of a document, in recurring lines, up to which it proves something
+END = 3  # words at either end of a line by which it is known again after an edit
 _VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
 
 
@@ -30,12 +30,18 @@ def _masked(line: Column) -> Column:
 
 
 def _parsed(own: DataFrame, depth: int) -> DataFrame:
-    """_id, _th, ``line`` (number), ``size``, ``leaf``, ``hash``, ``tokens`` of every line that is not blank."""
+    """_id, _th, ``line`` (number), ``leaf``, ``hash``, ``head``, ``tail``, ``tokens`` of every line that is not blank.
+
+    ``head`` and ``tail`` are hashes of the outer words of a line, of which an edit inside the line leaves one; a short
+    line is both by itself."""
     lines = own.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
-    lines = lines.select("_id", "_th", "line", F.length("_line").alias("size"), _masked(F.col("_line")).alias("_masked")).filter("_masked <> ''")
-    words = lines.withColumn("tokens", F.split("_masked", r"\s+"))
+    lines = lines.select("_id", "_th", "line", _masked(F.col("_line")).alias("_masked")).filter("_masked <> ''")
+    words = lines.withColumn("tokens", F.split("_masked", r"\s+")).withColumn("hash", F.xxhash64("_masked"))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return words.select("_id", "_th", "line", "size", leaf.alias("leaf"), F.xxhash64("_masked").alias("hash"), "tokens")
+    short = F.size("tokens") < 2 * END
+    head = F.when(short, F.col("hash")).otherwise(F.xxhash64(F.lit("head"), F.slice("tokens", 1, END)))
+    tail = F.when(short, F.col("hash")).otherwise(F.xxhash64(F.lit("tail"), F.slice("tokens", -END, END)))
+    return words.select("_id", "_th", "line", leaf.alias("leaf"), "hash", head.alias("head"), tail.alias("tail"), "tokens")
 
 
 def _templates(near: DataFrame, open_: DataFrame, depth: int, similar: float, rounds: int) -> DataFrame:
@@ -58,6 +64,19 @@ def _templates(near: DataFrame, open_: DataFrame, depth: int, similar: float, ro
     return stored(out.filter("hash <> template"), "line-templates")
 
 
+def _groups(lines: DataFrame) -> DataFrame:
+    """_id, _th and ``group`` of documents, given their lines: the rarest line, known by the more common of its ends.
+
+    Copies have the same rarest line, and so have near copies: an edited line keeps an end that the others have too."""
+    ends = lines.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("end"))
+    many = stored(ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1"), "line-ends")
+    own = lines.select("_id", "_th", "head", "tail")
+    for end in ("head", "tail"):
+        own = own.join(many.select(F.col("end").alias(end), F.col("n").alias(f"_{end}")), end, "left")
+    known = F.greatest(*[F.struct(F.coalesce(f"_{e}", F.lit(1).cast("long")).alias("n"), F.col(e).alias("end")) for e in ("head", "tail")])
+    return own.groupBy("_id", "_th").agg(F.min(known)["end"].alias("group"))
+
+
 def boilerplate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
     similar: float = SIMILAR, rounds: int = ROUNDS,
@@ -66,27 +85,27 @@ def boilerplate(
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
     lines = stored(_parsed(own, depth).drop("tokens"), "lines")
-    # leaves where lines of different documents differ
-    open_ = lines.groupBy("leaf").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("_th").alias("c"), F.max("_th").alias("d"))
-    open_ = stored(open_.filter("a <> b and c <> d").select("leaf"), "line-open")
+    # leaves where lines of different documents differ; fewer than min_docs lines make no boilerplate
+    open_ = lines.groupBy("leaf").agg(
+        F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("_th").alias("c"), F.max("_th").alias("d"), F.count("*").alias("n")
+    )
+    open_ = stored(open_.filter("a <> b and c <> d").filter(F.col("n") >= min_docs).select("leaf"), "line-open")
     holders = lines.select("leaf", "_th").join(open_, "leaf", "left_semi").select("_th")
     near, _ = split_by_bitmap(own, "_th", key_bitmap(holders, "_th"))
     belongs = _templates(near, open_, depth, similar, rounds)
     lines = stored(
-        lines.join(belongs, "hash", "left").select("_id", "_th", "line", "size", F.coalesce("template", "hash").alias("template")),
+        lines.join(belongs, "hash", "left").select("_id", "_th", "line", "head", "tail", F.coalesce("template", "hash").alias("template")),
         "lines",
     )
 
-    def documents_of(rows: DataFrame) -> DataFrame:
-        return rows.select("template", "_id", "_th").distinct().groupBy("template").agg(F.count("*").alias("n"))
+    def often(rows: DataFrame) -> DataFrame:
+        return rows.distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template")
 
-    recurring = stored(documents_of(lines).filter("n > 1").select("template"), "line-recurring")
-    again = stored(lines.join(recurring, "template", "left_semi"), "line-again")
-    total = lines.groupBy("_id", "_th").agg(F.sum("size").alias("all"))
-    shared = again.groupBy("_id", "_th").agg(F.sum("size").alias("again"))
-    witness = shared.join(total, ["_id", "_th"]).filter(F.col("again") <= AGAIN_SHARE * F.col("all")).select("_id", "_th")
-    proof = documents_of(again.join(witness, ["_id", "_th"], "left_semi"))
-    plate = stored(proof.filter(F.col("n") >= min_docs).select("template"), "line-boilerplate")
+    common = stored(often(lines.select("template", "_id", "_th")), "line-common")
+    again = stored(lines.join(common, "template", "left_semi").select("_id", "_th", "line", "template"), "line-again")
+    holding = again.select("_id", "_th").distinct()
+    groups = _groups(stored(lines.join(holding, ["_id", "_th"], "left_semi"), "line-holding"))
+    plate = stored(often(again.join(groups, ["_id", "_th"]).select("template", "group")), "line-boilerplate")
     gone = again.join(plate, "template", "left_semi")
     return stored(gone.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("line")).alias("dropped")), "line-dropped")
 

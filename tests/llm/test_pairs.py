@@ -88,6 +88,28 @@ def test_lines(spark):
     assert got[None] == [("Follow us on the net today", [])]
 
 
+def _prose(seed, n):
+    r = random.Random(seed)
+    return [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(n)]
+
+
+def test_lines_of_copied_and_short_documents(spark):
+    """A footer of documents with one copy each, and one that is most of its documents; near copies keep their lines."""
+    own, small, base = _prose(1, 24), _prose(2, 6), _prose(3, 10)
+    foot, notice = "Sent from the reading room of the town", "This long notice of the house goes under every page that it prints for its readers and for all others"
+    rows = [(2 * d + c, "\n".join([*own[3 * d : 3 * d + 3], foot])) for d in range(8) for c in range(2)]
+    rows += [(100 + d, small[d][:20] + "\n" + notice) for d in range(6)]
+    near = []
+    for d in range(9):
+        edited = [x.split(" ") for x in base]
+        edited[d][5] = f"edit{'abcdefghi'[d]}"
+        near.append((200 + d, "\n".join(map(" ".join, edited))))
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.deduplicated(spark.createDataFrame(rows + near, "doc_id bigint, text string")).collect()}
+    assert all(got[d] == [3] for d in range(16))
+    assert all(got[100 + d] == [1] for d in range(6))
+    assert all(got[200 + d] == [] for d in range(9))
+
+
 def test_lines_plan_is_native(docs):
     plan = lines.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
