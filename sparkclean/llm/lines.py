@@ -2,8 +2,8 @@
 
 Lines are parsed by a log-template tree of fixed depth: words with a digit become a variable, then the number of words
 and the leading words choose a leaf. In a leaf the most frequent line is a template; lines that agree with it in
-enough places belong to it, their differing places being further variables; the rest makes up to ``rounds`` further
-templates, and what is left stands for itself. Everything is DataFrame functions.
+enough places belong to it, their differing places being further variables; the most frequent line of the rest is the
+next template, until no line is left. Everything is DataFrame functions.
 
 A template counts as boilerplate when documents of enough groups have it. Copies and near copies of a document are one
 group, known by the rarest line, so the lines of a copied document do not count as boilerplate (removing copies is the
@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkclean.llm.common import key_bitmap, split_by_bitmap, stored
 
 MIN_DOCS = 5
 DEPTH = 3
 SIMILAR = 0.6
-ROUNDS = 3
+AT_ONCE = 64  # lines of a leaf that are tried as templates in one pass; passes go on until no line is left
 END = 3  # words at either end of a line by which it is known again after an edit
 _VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
 
@@ -44,24 +45,39 @@ def _parsed(own: DataFrame, depth: int) -> DataFrame:
     return words.select("_id", "_th", "line", leaf.alias("leaf"), "hash", head.alias("head"), tail.alias("tail"), "tokens")
 
 
-def _templates(near: DataFrame, open_: DataFrame, depth: int, similar: float, rounds: int) -> DataFrame:
+def _templates(near: DataFrame, open_: DataFrame, depth: int, similar: float) -> DataFrame:
     """``hash`` and ``template`` of the lines that belong to the template of another line."""
     lines = _parsed(near, depth).join(open_, "leaf", "left_semi")
     rest = stored(lines.groupBy("leaf", "hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")), "line-leaves")
+
+    def agree(a: Column, b: Column) -> Column:
+        same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        return same >= similar * F.size(a)
+
+    kind = "array<struct<hash: bigint, tokens: array<string>>>"
+    most = Window.partitionBy("leaf").orderBy(F.desc("n"), F.desc("hash"))
     found = []
-    for _ in range(rounds):
-        top = rest.groupBy("leaf").agg(F.max(F.struct("n", "hash", "tokens")).alias("top"))
-        top = stored(top.select("leaf", F.col("top.hash").alias("template"), F.col("top.tokens").alias("_top")), "line-tops")
-        same = F.aggregate(F.zip_with("tokens", "_top", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-        tried = stored(rest.join(top, "leaf").withColumn("_in", same >= similar * F.size("tokens")).drop("_top"), "line-tried")
-        found.append(tried.filter("_in").select("hash", "template"))
-        rest = tried.filter("not _in").select("leaf", "hash", "tokens", "n")
+    while True:
+        top = rest.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= AT_ONCE)
+        top = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "hash", "tokens"))).alias("_top"))
+        # in the order of their frequency, a line that agrees with no template so far is the next one
+        own = F.aggregate(
+            "_top", F.array().cast(kind),
+            lambda made, x: F.when(F.exists(made, lambda t: agree(t["tokens"], x["tokens"])), made).otherwise(
+                F.concat(made, F.array(F.struct(x["hash"].alias("hash"), x["tokens"].alias("tokens"))))
+            ),
+        )
+        top = stored(top.select("leaf", own.alias("_made")), "line-tops")
+        first = F.filter("_made", lambda t: agree(t["tokens"], F.col("tokens")))
+        tried = stored(rest.join(top, "leaf").withColumn("template", F.get(first, F.lit(0))["hash"]).drop("_made"), "line-tried")
+        found.append(tried.filter("template is not null and hash <> template").select("hash", "template"))
+        rest = tried.filter("template is null").select("leaf", "hash", "tokens", "n")
         if rest.isEmpty():
             break
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return stored(out.filter("hash <> template"), "line-templates")
+    return stored(out, "line-templates")
 
 
 def _groups(lines: DataFrame) -> DataFrame:
@@ -79,7 +95,7 @@ def _groups(lines: DataFrame) -> DataFrame:
 
 def boilerplate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
-    similar: float = SIMILAR, rounds: int = ROUNDS,
+    similar: float = SIMILAR,
 ) -> DataFrame:
     """_id, _th (hash of the text) and ``dropped`` (sorted line numbers from 0) of the documents that lose lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -92,7 +108,7 @@ def boilerplate(
     open_ = stored(open_.filter("a <> b and c <> d").filter(F.col("n") >= min_docs).select("leaf"), "line-open")
     holders = lines.select("leaf", "_th").join(open_, "leaf", "left_semi").select("_th")
     near, _ = split_by_bitmap(own, "_th", key_bitmap(holders, "_th"))
-    belongs = _templates(near, open_, depth, similar, rounds)
+    belongs = _templates(near, open_, depth, similar)
     lines = stored(
         lines.join(belongs, "hash", "left").select("_id", "_th", "line", "head", "tail", F.coalesce("template", "hash").alias("template")),
         "lines",

@@ -110,6 +110,18 @@ def test_lines_of_copied_and_short_documents(spark):
     assert all(got[200 + d] == [] for d in range(9))
 
 
+def test_lines_of_many_templates_in_one_leaf(spark, monkeypatch):
+    """Templates of the same leading words and length, each with a field of words that never recur."""
+    monkeypatch.setattr(lines, "AT_ONCE", 3)  # several passes
+    own, tails, names = _prose(4, 60), _prose(5, 7), [w for x in _prose(6, 10) for w in x.split(" ")]
+    rows = []
+    for d in range(60):
+        tail = tails[d % 7].split(" ")
+        rows.append((d, own[d] + "\n" + " ".join(["Brought to you", *tail[:3], names[d], *tail[3:]])))
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["dropped_lines"] == [1] for r in got) and len(got) == 60
+
+
 def test_lines_plan_is_native(docs):
     plan = lines.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
