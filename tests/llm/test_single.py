@@ -274,6 +274,14 @@ def test_neighbours(spark):
     assert ann.recall(df, found, queries=40) >= 0.9
 
 
+def test_neighbours_read_as_many_lists_as_recall_needs(spark):
+    """Vectors without clusters, in far more lists than a query reads at first."""
+    x = np.random.default_rng(4).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = ann.nearest(df, list_size=20, reads=2).cache()
+    assert found.count() == 300 and ann.recall(df, found, queries=60) >= 0.9
+
+
 @pytest.mark.parametrize("rows,want", [([], []), ([(0, [1.0, 0.0])], []), ([(0, [1.0, 0.0]), (7, [2.0, 0.0]), (3, [4.0, 0.0]), (50, [0.0, 1.0])], [
     (0, 1, 3, 1.0), (0, 2, 7, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 3, 0.0), (50, 3, 7, 0.0),
 ])])
