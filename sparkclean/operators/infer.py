@@ -26,7 +26,6 @@ EQUAL_TOLERANCE = 1e-6
 EQUAL_SHARE = 0.95
 # -------------------------------------------------------------------------------------------
 EXPRESSIONS_PER_PASS = 300
-BLOCK_VALUES = 1000
 
 log = logging.getLogger(__name__)
 
@@ -113,9 +112,8 @@ def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None =
     """(column, canonical, variants) of the spellings of text columns.
 
     The table is first reduced to (column, value, count, first row). A column of up to ``CATEGORY_MAX`` values is
-    grouped as a whole. Values of a larger one meet in blocks of the same first word, and where a block has more than
-    ``BLOCK_VALUES`` values, of the same first two words, then three; spellings that differ in their first word are
-    then not compared.
+    grouped as a whole, values of a larger one in blocks of the same shortest spelling that they extend. A variant
+    extends the other spelling at a boundary, so no pair is lost, whatever the size of a block.
     """
     values = [q(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
     freq = (
@@ -136,15 +134,21 @@ def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None =
             "variants": [g["variants"] for g in found],
         })
 
-    words = F.split(F.lower(strip_ws(F.col("value"))), r"[\s,.(]+")
-    blocked = freq.withColumn("block", F.lit(""))
-    for depth, most in ((1, CATEGORY_MAX), (2, BLOCK_VALUES), (3, BLOCK_VALUES)):
-        size = blocked.groupBy("col_no", "block").agg(F.count("*").alias("values"))
-        blocked = (
-            blocked.join(size, ["col_no", "block"])
-            .withColumn("block", F.when(F.col("values") > most, F.array_join(F.slice(words, 1, depth), " ")).otherwise(F.col("block")))
-            .drop("values")
-        )
+    # a shorter spelling that another extends is one of its prefixes that end before a boundary; all spellings that
+    # extend each other share the shortest of these that is a spelling itself
+    spelled = freq.withColumn("spelling", F.lower(strip_ws(F.col("value"))))
+    ends = F.filter(
+        F.sequence(F.lit(0), F.length("spelling")),
+        lambda i: (i == F.length("spelling")) | F.lit(VARIANT_BOUNDARY).contains(F.substring(F.col("spelling"), i + 1, F.lit(1))),
+    )
+    starts = spelled.select("col_no", "spelling").distinct().select("col_no", "spelling", F.explode(ends).alias("end"))
+    starts = starts.withColumn("block", F.substring(F.col("spelling"), F.lit(1), F.col("end")))
+    known = spelled.select("col_no", F.col("spelling").alias("block")).distinct()
+    roots = starts.join(known, ["col_no", "block"]).groupBy("col_no", "spelling").agg(F.min_by("block", "end").alias("block"))
+    many = freq.groupBy("col_no").agg(F.count("*").alias("values"))  # one row a column
+    blocked = spelled.join(roots, ["col_no", "spelling"]).join(F.broadcast(many), "col_no")
+    # a small column is one block, which numbers its groups in order; the groups are the same
+    blocked = blocked.withColumn("block", F.when(F.col("values") > CATEGORY_MAX, F.concat(F.lit("_"), "block")).otherwise(""))
     return blocked.groupBy("col_no", "block").applyInPandas(
         cluster, "column string, group_no int, canonical string, variants array<string>"
     )

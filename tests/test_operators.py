@@ -6,9 +6,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from sparkclean.operators.base import schema_of
+from sparkclean.operators.base import ROW_ID, schema_of
 from sparkclean.operators.catalogue import OPS, apply_inverse, get_op, register
 from sparkclean.operators.identity import content_hash, frame_equal, with_row_ids
+from sparkclean.operators.infer import entity_groups, spelling_groups
 from sparkclean.operators.structure import has_exact_duplicates
 from sparkclean.plans.loss import cumulative_loss, estimate_losses, estimate_step_loss, within_threshold
 
@@ -189,3 +190,14 @@ def test_round_trip_property(frame, op, params):
         assert frame_equal(apply_inverse(after, OPS[op].inverse(before, after, params)), before)
 
     check()
+
+
+def test_spelling_groups_do_not_depend_on_size(spark):
+    """Blocks of a large column give the groups of the whole column, also with many values of one first word."""
+    names = ["Acme", "Acme Co", "ACME-Co", "Acme, Co", "Beta.com", "Beta.com Ltd", "Beta", "(x", "", "Acme Trading", "Acme Trading Co"]
+    names += [f"Acme {i} of the long list of the firms of the land" for i in range(1010)]
+    df = spark.createDataFrame(list(enumerate(names)), f"{ROW_ID} bigint, firm string")
+    got = sorted((r["canonical"], sorted(r["variants"])) for r in entity_groups(df, ["firm"]).collect())
+    want = spelling_groups([(v, 1, i) for i, v in enumerate(names)])
+    assert got == sorted((g["canonical"], sorted(g["variants"])) for g in want)
+    assert any(set(v) >= {"Acme", "Acme Co", "ACME-Co"} for _, v in got)
