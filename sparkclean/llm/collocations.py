@@ -5,7 +5,7 @@ with the occurrences of single words at the same piece and the adjacent position
 grouped and counted, and a semi-join with the frequent groups gives the relation of the next length.
 
 The relation is stored as *runs*: maximal stretches of a piece in which every phrase of k words may be frequent, as
-text in the order of piece and position. Position i + 1 of a run is the next word of position i, so the merge-join is a
+words in the order of piece and position. Position i + 1 of a run is the next word of position i, so the merge-join is a
 shift of an array inside the task, and only counts are shuffled, combined before. The semi-join sends a bitmap of
 the frequent groups (at most 2^27 bits, 16 MiB, whatever the number of groups): it may let a rare phrase through, which
 costs work but no result, since counts are exact and decided by phrase text. A phrase is frequent only if its parts
@@ -22,7 +22,9 @@ import zlib
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,51 +47,66 @@ def byte_table() -> bytes:
     return bytes(table)
 
 
-def tokens(texts: list[bytes]) -> list[bytes]:
-    """Words of all texts in order, with ``BREAK`` between pieces and texts."""
-    # only bytes that the table made blank or BREAK divide: what else bytes.split() divides at is BREAK by now
-    return BREAK.join([*texts, b""]).translate(byte_table()).replace(BREAK, b" \xff ").split()
+def marked_text(texts: list[bytes]) -> bytes:
+    """All texts as words and ``BREAK`` between pieces and texts, divided by blanks."""
+    return BREAK.join([*texts, b""]).translate(byte_table()).replace(BREAK, b" \xff ")
 
 
-def tokens_of_runs(runs: list[bytes]) -> list[bytes]:
-    return b"\n".join([*runs, b""]).replace(b"\n", b" \xff ").split()
+def marked_runs(runs: list[bytes]) -> bytes:
+    return b" \xff ".join(runs)
 
 
 # ---------------------------------------------------------------- relations inside tasks
 
 
-class Windows:
-    """All runs of ``size`` words in a token list that cross no break: where they start, and which are equal."""
+class Occurrences:
+    """All runs of ``size`` words in a marked text that cross no break: where they start, and which are equal."""
 
-    def __init__(self, words: list[bytes], size: int):
-        self.words, self.size = words, size
-        number = {w: i for i, w in enumerate(dict.fromkeys([BREAK, *words]))}
-        codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        inside = codes > 0
-        keys, count = codes, len(number)
+    def __init__(self, text: bytes, size: int):
+        flat = pc.split_pattern(pa.array([text], pa.large_binary()), pattern=b" ").values.dictionary_encode()
+        self.names, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+        self.codes = codes = codes[codes != pc.index(self.names, b"").as_py()]
+        self.stop, self.size = pc.index(self.names, BREAK).as_py(), size
+        starts = np.flatnonzero(codes != self.stop)
+        keys = codes[starts]
         for k in range(1, size):  # the merge-join: position i with position i + k of the same piece
-            keys = keys[:-1] if len(keys) else keys
-            inside = inside[: len(keys)] & (codes[k:] > 0)
-            keys = np.where(inside, keys * count + codes[k:], 0)
-            if k + 1 < size:
-                keys = np.unique(keys, return_inverse=True)[1].reshape(-1)
-        self.starts = np.flatnonzero(inside)
-        # where each distinct phrase stands first, which one each start has, how often each occurs
-        _, self.first, self.which, self.count = np.unique(keys[self.starts], return_index=True, return_inverse=True, return_counts=True)
-
-    def phrases(self) -> list[bytes]:
+            starts, keys = (x[: np.searchsorted(starts, len(codes) - k)] for x in (starts, keys))
+            word = codes[starts + k]
+            go_on = word != self.stop
+            starts = starts[go_on]
+            keys = pd.factorize(keys[go_on] * len(self.names) + word[go_on])[0]
+        self.starts = starts
+        self.which, distinct = pd.factorize(keys) if size == 1 else (keys, range(keys.max() + 1 if len(keys) else 0))
+        self.count = np.bincount(self.which, minlength=len(distinct))
+        first = np.zeros(len(distinct), np.int64)
+        first[self.which[::-1]] = starts[::-1]
+        self.words = [codes[first + k] for k in range(size)]  # of each distinct phrase
+
+    def phrases(self) -> pa.Array:
         """Text of every distinct phrase."""
-        words, size = self.words, self.size
-        at = self.starts[self.first].tolist()
-        return [words[i] for i in at] if size == 1 else [b" ".join(words[i : i + size]) for i in at]
+        return pc.binary_join_element_wise(*[self.names.take(pa.array(w)) for w in self.words], pa.scalar(b" ", pa.large_binary())).cast(pa.string())
+
+    def slots(self, lang: str) -> np.ndarray:
+        """The checksum of every distinct phrase that :func:`_checksum` gives in Spark."""
+        own = np.fromiter(map(zlib.crc32, self.names.to_numpy(zero_copy_only=False)), np.int64, len(self.names))
+        return reduce(np.bitwise_xor, [own[w] << (3 * k) for k, w in enumerate(self.words)], np.int64(zlib.crc32(lang.encode())))
 
     def runs(self, alive: np.ndarray) -> bytes:
-        """The stretches in which two or more phrases in a row are ``alive`` (by distinct phrase), one a line."""
-        own = np.zeros(len(self.words) + 2, bool)
-        own[self.starts[alive[self.which.reshape(-1)]] + 1] = True
+        """The stretches in which two or more phrases in a row are ``alive`` (by distinct phrase), marked."""
+        own = np.zeros(len(self.codes) + 2, bool)
+        own[self.starts[alive[self.which]] + 1] = True
         edge = np.flatnonzero(own[1:] != own[:-1])
-        words, size = self.words, self.size
-        return b"\n".join([b" ".join(words[a : b + size - 1]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > 1])
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        start, length = start[length > 1], length[length > 1] + self.size  # words, and a break
+        if not len(start):
+            return b""
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
+        code = self.codes[np.minimum(at, len(self.codes) - 1)]
+        names = pa.concat_arrays([self.names, pa.array([BREAK], pa.large_binary())])
+        code[ends - 1] = len(names) - 1
+        words = names.take(pa.array(code))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", pa.large_binary()))[0].as_py()
 
 
 def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
@@ -99,43 +116,44 @@ def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
     return groups
 
 
-def _seed(lang: str) -> int:
-    return zlib.crc32(lang.encode() + b"\n")
-
-
-def _count(source: DataFrame, size: int, split) -> DataFrame:
+def _count(source: DataFrame, size: int, mark) -> DataFrame:
     """(lang, phrase, n) of all phrases of ``size`` words; for single words also the total, as the empty phrase."""
 
     def run(batches):
         for batch in batches:
             for lang, texts in _by_lang(batch).items():
-                found = Windows(split(texts), size)
+                found = Occurrences(mark(texts), size)
                 names, n = found.phrases(), found.count
                 if size == 1:
-                    names, n = [*names, b""], np.append(n, n.sum())
-                if len(n):
-                    column = pa.array(names, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), column, pa.array(n)], ["lang", "phrase", "n"])
+                    names, n = pa.concat_arrays([names, pa.array([""])]), np.append(n, n.sum())
+                column = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([column, names, pa.array(n)], ["lang", "phrase", "n"])
 
     parts = source.mapInArrow(run, "lang string, phrase string, n bigint")
     return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(groups: DataFrame) -> np.ndarray:
+def _checksum(size: int) -> Column:
+    words = F.split("phrase", " ")
+    parts = [F.shiftleft(F.crc32(F.get(words, F.lit(k)).cast("binary")), 3 * k) for k in range(size)]
+    return reduce(Column.bitwiseXOR, parts, F.crc32(F.col("lang").cast("binary")))
+
+
+def _bitmap(groups: DataFrame, size: int) -> np.ndarray:
     """Bits of the frequent groups' checksums: 16 a group, 2^16 to 2^27 in all, so at most 16 MiB reach the driver."""
     n = groups.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    slot = F.crc32(F.concat_ws("\n", "lang", "phrase").cast("binary")).bitwiseAND((1 << bits) - 1)
-    found = groups.select(slot.alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
+    found = groups.select(_checksum(size).bitwiseAND((1 << bits) - 1).alias("s"))
+    found = found.select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
     words = np.zeros(1 << (bits - 6), np.int64)
     rows = found.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return words.view(np.uint64)
 
 
-def _semi_join(source: DataFrame, size: int, split, groups: DataFrame) -> DataFrame:
+def _semi_join(source: DataFrame, size: int, mark, groups: DataFrame) -> DataFrame:
     """Runs of the occurrences in ``source`` whose phrases of ``size`` words may be among ``groups``."""
-    shared = source.sparkSession.sparkContext.broadcast(_bitmap(groups))
+    shared = source.sparkSession.sparkContext.broadcast(_bitmap(groups, size))
 
     def run(batches):
         bitmap = shared.value
@@ -143,9 +161,8 @@ def _semi_join(source: DataFrame, size: int, split, groups: DataFrame) -> DataFr
         for batch in batches:
             langs, out = [], []
             for lang, texts in _by_lang(batch).items():
-                found, seed = Windows(split(texts), size), _seed(lang)
-                names = found.phrases()
-                slot = np.fromiter((zlib.crc32(p, seed) for p in names), np.int64, len(names)) & mask
+                found = Occurrences(mark(texts), size)
+                slot = found.slots(lang) & mask
                 alive = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
                 if text := found.runs(alive):
                     langs.append(lang), out.append(text)
@@ -163,17 +180,17 @@ def relations(
 ) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``k`` words, ``n``) of all phrases of up to ``max_words`` words that occur ``least_count``
     times; (``lang``, ``n``) with all word occurrences of every language."""
-    bounded_batches(docs.sparkSession, rows=4000)
+    bounded_batches(docs.sparkSession, rows=2000, size="8m")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
     own = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
-    words = stored(_count(own, 1, tokens), "setm-words")
+    words = stored(_count(own, 1, marked_text), "setm-words")
     totals = words.filter("phrase = ''").select("lang", "n")
     groups = words.filter(F.col("phrase") != "").filter(F.col("n") >= least_count)
-    found, source, split = [groups.withColumn("k", F.lit(1))], own, tokens
+    found, source, mark = [groups.withColumn("k", F.lit(1))], own, marked_text
     for k in range(2, max_words + 1):
-        source = stored(_semi_join(source, k - 1, split, groups), f"setm-runs-{k - 1}")
-        split = tokens_of_runs
-        groups = stored(_count(source, k, split).filter(F.col("n") >= least_count), f"setm-groups-{k}")
+        source = stored(_semi_join(source, k - 1, mark, groups), f"setm-runs-{k - 1}")
+        mark = marked_runs
+        groups = stored(_count(source, k, mark).filter(F.col("n") >= least_count), f"setm-groups-{k}")
         found.append(groups.withColumn("k", F.lit(k)))
     return reduce(DataFrame.unionByName, found).select("lang", "phrase", "k", "n"), totals
 
