@@ -6,29 +6,30 @@ grouped and counted, and a semi-join with the frequent groups gives the relation
 
 The relation is stored as *runs*: maximal stretches of a piece in which every phrase of k words may be frequent, as
 words in the order of piece and position. Position i + 1 of a run is the next word of position i, so the merge-join is a
-shift of an array inside the task, and only counts are shuffled, combined before. The semi-join sends a bitmap of
-the frequent groups (at most 2^27 bits, 16 MiB, whatever the number of groups): it may let a rare phrase through, which
-costs work but no result, since counts are exact and decided by phrase text. A phrase is frequent only if its parts
-are, so nothing is lost.
-
-Scale: one pass over the texts for words, one for runs, two for each further length over relations that shrink. A hot
-word or language reaches its reducer as one row per task. Tables of phrases are joined by Spark; the best of a
-language are taken from salted groups first.
+shift of an array inside the task. Groups are counted by a 64-bit key of language and words, combined in the task, so
+that most of what is shuffled is two numbers. The semi-join sends a bitmap of the frequent keys (at most 2^27 bits,
+16 MiB, whatever their number). Equal keys or bits may let a rare phrase through, which costs work but no result: the
+pass over the next relation, which has few phrases left, counts these exactly by their text. A phrase is frequent only
+if its parts are, so nothing is lost.
+
+Scale: two passes over the texts, two over each further relation, which shrink. A hot word or language reaches its
+reducer as one row per task. Tables of phrases are joined by Spark; the best of a language are taken from salted
+groups first.
 """
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import bounded_batches, stored
+from sparkclean.llm.common import bounded_batches, mix, stored
 
 MAX_WORDS, LEAST_COUNT, COVERED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 LEAST_BITS, MOST_BITS = 16, 27
@@ -59,54 +60,65 @@ def marked_runs(runs: list[bytes]) -> bytes:
 # ---------------------------------------------------------------- relations inside tasks
 
 
-class Occurrences:
-    """All runs of ``size`` words in a marked text that cross no break: where they start, and which are equal."""
+class Words:
+    """Words of a marked text: ``codes`` in order, the text of each code, the code of a break."""
 
-    def __init__(self, text: bytes, size: int):
+    def __init__(self, text: bytes):
         flat = pc.split_pattern(pa.array([text], pa.large_binary()), pattern=b" ").values.dictionary_encode()
         self.names, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
-        self.codes = codes = codes[codes != pc.index(self.names, b"").as_py()]
-        self.stop, self.size = pc.index(self.names, BREAK).as_py(), size
-        starts = np.flatnonzero(codes != self.stop)
-        keys = codes[starts]
+        self.codes = codes[codes != pc.index(self.names, b"").as_py()]
+        self.stop = pc.index(self.names, BREAK).as_py()
+
+
+class Occurrences:
+    """All runs of ``size`` words that cross no break: where they start, which are equal, how often each occurs."""
+
+    def __init__(self, words: Words, size: int):
+        self.words, self.size, codes = words, size, words.codes
+        starts = np.flatnonzero(codes != words.stop)
+        which, distinct = pd.factorize(codes[starts])
         for k in range(1, size):  # the merge-join: position i with position i + k of the same piece
-            starts, keys = (x[: np.searchsorted(starts, len(codes) - k)] for x in (starts, keys))
+            starts, which = (x[: np.searchsorted(starts, len(codes) - k)] for x in (starts, which))
             word = codes[starts + k]
-            go_on = word != self.stop
+            go_on = word != words.stop
             starts = starts[go_on]
-            keys = pd.factorize(keys[go_on] * len(self.names) + word[go_on])[0]
-        self.starts = starts
-        self.which, distinct = pd.factorize(keys) if size == 1 else (keys, range(keys.max() + 1 if len(keys) else 0))
-        self.count = np.bincount(self.which, minlength=len(distinct))
+            which, distinct = pd.factorize(which[go_on] * len(words.names) + word[go_on])
+        self.starts, self.which = starts, which
+        self.count = np.bincount(which, minlength=len(distinct))
         first = np.zeros(len(distinct), np.int64)
-        first[self.which[::-1]] = starts[::-1]
-        self.words = [codes[first + k] for k in range(size)]  # of each distinct phrase
+        first[which[::-1]] = starts[::-1]
+        self.parts = [codes[first + k] for k in range(size)]  # of each distinct phrase
 
     def phrases(self) -> pa.Array:
         """Text of every distinct phrase."""
-        return pc.binary_join_element_wise(*[self.names.take(pa.array(w)) for w in self.words], pa.scalar(b" ", pa.large_binary())).cast(pa.string())
-
-    def slots(self, lang: str) -> np.ndarray:
-        """The checksum of every distinct phrase that :func:`_checksum` gives in Spark."""
-        own = np.fromiter(map(zlib.crc32, self.names.to_numpy(zero_copy_only=False)), np.int64, len(self.names))
-        return reduce(np.bitwise_xor, [own[w] << (3 * k) for k, w in enumerate(self.words)], np.int64(zlib.crc32(lang.encode())))
+        parts = [self.words.names.take(pa.array(p)) for p in self.parts]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.string())
+
+    def keys(self, lang: str) -> np.ndarray:
+        """A 64-bit key of language and words for every distinct phrase."""
+        names = self.words.names.to_numpy(zero_copy_only=False)
+        own = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+        key = np.full(len(self.count), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+        for part in self.parts:
+            key = mix(key * np.uint64(3) + own[part])
+        return key.view(np.int64)
 
     def runs(self, alive: np.ndarray) -> bytes:
-        """The stretches in which two or more phrases in a row are ``alive`` (by distinct phrase), marked."""
-        own = np.zeros(len(self.codes) + 2, bool)
+        """The words of all stretches in which every phrase is ``alive`` (by distinct phrase), marked."""
+        codes, names = self.words.codes, self.words.names
+        own = np.zeros(len(codes) + 2, bool)
         own[self.starts[alive[self.which]] + 1] = True
         edge = np.flatnonzero(own[1:] != own[:-1])
-        start, length = edge[::2], edge[1::2] - edge[::2]
-        start, length = start[length > 1], length[length > 1] + self.size  # words, and a break
+        start, length = edge[::2], edge[1::2] - edge[::2] + self.size  # words, and a break
         if not len(start):
             return b""
         ends = np.cumsum(length)
         at = np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
-        code = self.codes[np.minimum(at, len(self.codes) - 1)]
-        names = pa.concat_arrays([self.names, pa.array([BREAK], pa.large_binary())])
+        code = codes[np.minimum(at, len(codes) - 1)]
+        names = pa.concat_arrays([names, pa.array([BREAK], pa.large_binary())])
         code[ends - 1] = len(names) - 1
-        words = names.take(pa.array(code))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+        line = pa.ListArray.from_arrays(pa.array([0, len(code)], pa.int32()), names.take(pa.array(code)))
+        return pc.binary_join(line, pa.scalar(b" ", pa.large_binary()))[0].as_py()
 
 
 def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
@@ -116,34 +128,41 @@ def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
     return groups
 
 
-def _count(source: DataFrame, size: int, mark) -> DataFrame:
-    """(lang, phrase, n) of all phrases of ``size`` words; for single words also the total, as the empty phrase."""
+COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def _count(source: DataFrame, size: int, mark, longer: bool) -> DataFrame:
+    """Counts of the phrases of ``size`` words by text (of size 0: of all words, as the empty phrase) and, if
+    ``longer``, of the phrases of one word more by ``key``."""
 
     def run(batches):
         for batch in batches:
             for lang, texts in _by_lang(batch).items():
-                found = Occurrences(mark(texts), size)
-                names, n = found.phrases(), found.count
-                if size == 1:
-                    names, n = pa.concat_arrays([names, pa.array([""])]), np.append(n, n.sum())
-                column = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang], pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([column, names, pa.array(n)], ["lang", "phrase", "n"])
+                words = Words(mark(texts))
+                if size:
+                    found = Occurrences(words, size)
+                    yield _counted(lang, found.phrases(), found.count)
+                if longer:
+                    found = Occurrences(words, size + 1)
+                    n = len(found.count)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array(found.keys(lang)), pa.array(found.count)], schema=COUNTS)
+                    if not size:
+                        yield _counted(lang, pa.array([""]), found.count.sum(keepdims=True))
 
-    parts = source.mapInArrow(run, "lang string, phrase string, n bigint")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    parts = source.mapInArrow(run, "lang string, phrase string, key bigint, n bigint")
+    return parts.groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n"))
 
 
-def _checksum(size: int) -> Column:
-    words = F.split("phrase", " ")
-    parts = [F.shiftleft(F.crc32(F.get(words, F.lit(k)).cast("binary")), 3 * k) for k in range(size)]
-    return reduce(Column.bitwiseXOR, parts, F.crc32(F.col("lang").cast("binary")))
+def _counted(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang], pa.string()))
+    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), phrases, pa.nulls(len(n), pa.int64()), pa.array(n)], schema=COUNTS)
 
 
-def _bitmap(groups: DataFrame, size: int) -> np.ndarray:
-    """Bits of the frequent groups' checksums: 16 a group, 2^16 to 2^27 in all, so at most 16 MiB reach the driver."""
-    n = groups.count()
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the frequent keys: 16 a key, 2^16 to 2^27 in all, so at most 16 MiB reach the driver."""
+    n = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    found = groups.select(_checksum(size).bitwiseAND((1 << bits) - 1).alias("s"))
+    found = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("s"))
     found = found.select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
     words = np.zeros(1 << (bits - 6), np.int64)
     rows = found.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -151,9 +170,9 @@ def _bitmap(groups: DataFrame, size: int) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def _semi_join(source: DataFrame, size: int, mark, groups: DataFrame) -> DataFrame:
-    """Runs of the occurrences in ``source`` whose phrases of ``size`` words may be among ``groups``."""
-    shared = source.sparkSession.sparkContext.broadcast(_bitmap(groups, size))
+def _semi_join(source: DataFrame, size: int, mark, keys: DataFrame) -> DataFrame:
+    """Runs of the occurrences in ``source`` whose phrases of ``size`` words may be among ``keys``."""
+    shared = source.sparkSession.sparkContext.broadcast(_bitmap(keys))
 
     def run(batches):
         bitmap = shared.value
@@ -161,8 +180,8 @@ def _semi_join(source: DataFrame, size: int, mark, groups: DataFrame) -> DataFra
         for batch in batches:
             langs, out = [], []
             for lang, texts in _by_lang(batch).items():
-                found = Occurrences(mark(texts), size)
-                slot = found.slots(lang) & mask
+                found = Occurrences(Words(mark(texts)), size)
+                slot = found.keys(lang) & mask
                 alive = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
                 if text := found.runs(alive):
                     langs.append(lang), out.append(text)
@@ -180,18 +199,18 @@ def relations(
 ) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``k`` words, ``n``) of all phrases of up to ``max_words`` words that occur ``least_count``
     times; (``lang``, ``n``) with all word occurrences of every language."""
-    bounded_batches(docs.sparkSession, rows=2000, size="8m")
+    bounded_batches(docs.sparkSession, rows=2000, size="4m")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
     own = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
-    words = stored(_count(own, 1, marked_text), "setm-words")
-    totals = words.filter("phrase = ''").select("lang", "n")
-    groups = words.filter(F.col("phrase") != "").filter(F.col("n") >= least_count)
-    found, source, mark = [groups.withColumn("k", F.lit(1))], own, marked_text
-    for k in range(2, max_words + 1):
-        source = stored(_semi_join(source, k - 1, mark, groups), f"setm-runs-{k - 1}")
+    frequent = F.col("n") >= least_count
+    counts = stored(_count(own, 0, marked_text, longer=True).filter(frequent | (F.col("phrase") == "")), "setm-words")
+    totals = counts.filter("phrase = '' and n > 0").select("lang", "n")
+    found, source, mark = [], own, marked_text
+    for k in range(1, max_words + 1):
+        source = stored(_semi_join(source, k, mark, counts.filter("key is not null")), f"setm-runs-{k}")
         mark = marked_runs
-        groups = stored(_count(source, k, mark).filter(F.col("n") >= least_count), f"setm-groups-{k}")
-        found.append(groups.withColumn("k", F.lit(k)))
+        counts = stored(_count(source, k, mark, longer=k < max_words).filter(frequent), f"setm-groups-{k}")
+        found.append(counts.filter("phrase is not null").withColumn("k", F.lit(k)))
     return reduce(DataFrame.unionByName, found).select("lang", "phrase", "k", "n"), totals
 
 

@@ -80,7 +80,7 @@ def test_rare_phrases_let_through_change_nothing(spark, monkeypatch):
     rows = [("en", "one two three four five six"), ("en", "one two three, six seven")] * 4 + [("en", "four five one two")]
     df = spark.createDataFrame(rows, "lang string, text string")
     want = collocations.mine(df, least_count=5).collect()
-    monkeypatch.setattr(collocations, "_bitmap", lambda groups, size: np.full(1024, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(collocations, "_bitmap", lambda keys: np.full(1024, 2**64 - 1, np.uint64))
     assert collocations.mine(df, least_count=5).collect() == want == [tuple(x) for x in plain_phrases(rows, 5, 80, 2000)]
 
 
