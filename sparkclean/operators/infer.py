@@ -10,18 +10,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclean.functions.nested import child_table_name, with_parsed_cells
-from sparkclean.functions.text import strip_ws
 from sparkclean.operators.base import ROW_ID, is_numeric, q
 from sparkclean.operators.profile import CATEGORY_MAX, TableProfile
+from sparkclean.operators.spellings import category_groups
 
 # --- fixed values ------------------------------------------------------------------------
-VARIANT_SCORE = 60.0
-VARIANT_BOUNDARY = " ,(-"
 EQUAL_TOLERANCE = 1e-6
 EQUAL_SHARE = 0.95
 # -------------------------------------------------------------------------------------------
@@ -53,107 +50,6 @@ def rules_df(spark, rules: list[InferredRule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-# --- spelling variants -----------------------------------------------------------------------
-
-
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit per character of ``a``."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    row = 0
-    for ch in b:
-        x = row | where.get(ch, 0)
-        row = x & ~(x - ((row << 1) | 1))
-    return bin(row).count("1")
-
-
-def variant_score(a: str, b: str) -> float:
-    """Similarity (0..100) of the sorted words of two spellings; 0 unless one spelling
-    extends the other at a word boundary."""
-    short, long = sorted((a, b), key=len)
-    if not long.startswith(short):
-        return 0.0
-    if len(long) > len(short) and long[len(short)] not in VARIANT_BOUNDARY:
-        return 0.0
-    x, y = (" ".join(sorted(s.split())) for s in (a, b))
-    if not x and not y:
-        return 100.0
-    return 200.0 * common_subsequence(x, y) / (len(x) + len(y))
-
-
-def spelling_groups(
-    counts: list[tuple[str, int, int]], cutoff: float = VARIANT_SCORE, max_variants: int | None = None
-) -> list[dict[str, Any]]:
-    """Greedy groups over (value, count, first row): the most frequent spelling that is
-    still free takes every free spelling that scores at least ``cutoff`` with it."""
-    size = {v: n for v, n, _ in counts}
-    order = [v for v, n, first in sorted(counts, key=lambda t: (-t[1], len(t[0]), t[2]))]
-    spellings: dict[str, list[str]] = {}
-    for v in order:
-        spellings.setdefault(v.strip().lower(), []).append(v)
-    free = list(spellings)
-    groups = []
-    while free:
-        head = free[0]
-        scored = [(variant_score(head, s), i, s) for i, s in enumerate(free)]
-        # ``head`` itself always scores: an empty or one-word spelling equals itself
-        hits = sorted((t for t in scored if t[0] >= cutoff), key=lambda t: (-t[0], t[1]))[:max_variants]
-        taken = {s for _, _, s in hits} or {head}
-        members = sorted(
-            (v for s in taken for v in spellings[s]), key=lambda v: (-size[v], len(v), v)
-        )
-        groups.append({"canonical": members[0].strip(), "variants": members})
-        free = [s for s in free if s not in taken]
-    return groups
-
-
-def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None = None) -> DataFrame:
-    """(column, canonical, variants) of the spellings of text columns.
-
-    The table is first reduced to (column, value, count, first row). A column of up to ``CATEGORY_MAX`` values is
-    grouped as a whole, values of a larger one in blocks of the same shortest spelling that they extend. A variant
-    extends the other spelling at a boundary, so no pair is lost, whatever the size of a block.
-    """
-    values = [q(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
-    freq = (
-        df.select(ROW_ID, *values)
-        .unpivot(ROW_ID, [f"c{i}" for i in range(len(columns))], "col_no", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("col_no", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first"))
-    )
-    names = {f"c{i}": c for i, c in enumerate(columns)}
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = spelling_groups(list(zip(pdf["value"], pdf["n"], pdf["first"])), max_variants=max_variants)
-        return pd.DataFrame({
-            "column": [names[pdf["col_no"].iloc[0]]] * len(found),
-            "group_no": range(len(found)),
-            "canonical": [g["canonical"] for g in found],
-            "variants": [g["variants"] for g in found],
-        })
-
-    # a shorter spelling that another extends is one of its prefixes that end before a boundary; all spellings that
-    # extend each other share the shortest of these that is a spelling itself
-    spelled = freq.withColumn("spelling", F.lower(strip_ws(F.col("value"))))
-    ends = F.filter(
-        F.sequence(F.lit(0), F.length("spelling")),
-        lambda i: (i == F.length("spelling")) | F.lit(VARIANT_BOUNDARY).contains(F.substring(F.col("spelling"), i + 1, F.lit(1))),
-    )
-    starts = spelled.select("col_no", "spelling").distinct().select("col_no", "spelling", F.explode(ends).alias("end"))
-    starts = starts.withColumn("block", F.substring(F.col("spelling"), F.lit(1), F.col("end")))
-    known = spelled.select("col_no", F.col("spelling").alias("block")).distinct()
-    roots = starts.join(known, ["col_no", "block"]).groupBy("col_no", "spelling").agg(F.min_by("block", "end").alias("block"))
-    many = freq.groupBy("col_no").agg(F.count("*").alias("values"))  # one row a column
-    blocked = spelled.join(roots, ["col_no", "spelling"]).join(F.broadcast(many), "col_no")
-    # a small column is one block, which numbers its groups in order; the groups are the same
-    blocked = blocked.withColumn("block", F.when(F.col("values") > CATEGORY_MAX, F.concat(F.lit("_"), "block")).otherwise(""))
-    return blocked.groupBy("col_no", "block").applyInPandas(
-        cluster, "column string, group_no int, canonical string, variants array<string>"
-    )
-
-
 # --- numeric relations ---------------------------------------------------------------------------
 
 
@@ -304,7 +200,7 @@ def infer_rules(
     if text:
         groups: dict[str, list[dict]] = {}
         # at most CATEGORY_MAX rows per column
-        for r in entity_groups(df, [c.name for c in text], max_variants).orderBy("column", "group_no").collect():
+        for r in category_groups(df, [c.name for c in text], max_variants).orderBy("column", "group_no").collect():
             groups.setdefault(r["column"], []).append({"canonical": r["canonical"], "variants": list(r["variants"])})
         for c in text:
             found = groups.get(c.name, [])

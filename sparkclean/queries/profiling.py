@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkclean.functions.text import BOOLEAN_WORDS
 from sparkclean.operators.base import ROW_ID
-from sparkclean.operators.infer import arithmetic_candidates, arithmetic_counts, entity_groups, infer_rules
+from sparkclean.operators.infer import arithmetic_candidates, arithmetic_counts, infer_rules
 from sparkclean.operators.profile import (
     ID_NAME,
     MONEY_NAME,
@@ -17,6 +17,7 @@ from sparkclean.operators.profile import (
     safe_samples,
     sparse_columns,
 )
+from sparkclean.operators.spellings import entity_groups
 from sparkclean.queries import views
 from sparkclean.queries.registry import query
 from sparkclean.sources.parquet import read_parquet

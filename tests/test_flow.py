@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkclean.operators.checks import Check, generate_checks, run_checks
 from sparkclean.operators.events import AuditLog, latest_check_runs, page_with_total, replay_after
 from sparkclean.operators.identity import content_hash, frame_equal
-from sparkclean.operators.infer import InferredRule, common_subsequence, infer_rules, merge_rules, rules_df, spelling_groups, variant_score
+from sparkclean.operators.infer import InferredRule, infer_rules, merge_rules, rules_df
+from sparkclean.operators.spellings import common_subsequence, spelling_groups, variant_score
 from sparkclean.operators.profile import distinct_counts_auto, profile_table, safe_samples
 from sparkclean.operators.reconcile import exact_sum, reconcile
 from sparkclean.operators.scoring import bar_report, detection_scores, passed_bar, sheet_verdicts

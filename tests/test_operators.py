@@ -1,15 +1,17 @@
 """Catalogue operations: round trips (also property-based), losses, validation."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkclean.operators.base import ROW_ID, schema_of
 from sparkclean.operators.catalogue import OPS, apply_inverse, get_op, register
 from sparkclean.operators.identity import content_hash, frame_equal, with_row_ids
-from sparkclean.operators.infer import entity_groups, spelling_groups
+from sparkclean.operators.spellings import category_groups, entity_groups, spelling_groups, spelling_members
 from sparkclean.operators.structure import has_exact_duplicates
 from sparkclean.plans.loss import cumulative_loss, estimate_losses, estimate_step_loss, within_threshold
 
@@ -192,12 +194,46 @@ def test_round_trip_property(frame, op, params):
     check()
 
 
+def groups_of(rows):
+    return sorted((r["canonical"], list(r["variants"])) for r in rows)
+
+
 def test_spelling_groups_do_not_depend_on_size(spark):
-    """Blocks of a large column give the groups of the whole column, also with many values of one first word."""
+    """Rounds over pairs give the groups of the choice one by one, also with many values of one first word."""
     names = ["Acme", "Acme Co", "ACME-Co", "Acme, Co", "Beta.com", "Beta.com Ltd", "Beta", "(x", "", "Acme Trading", "Acme Trading Co"]
     names += [f"Acme {i} of the long list of the firms of the land" for i in range(1010)]
     df = spark.createDataFrame(list(enumerate(names)), f"{ROW_ID} bigint, firm string")
-    got = sorted((r["canonical"], sorted(r["variants"])) for r in entity_groups(df, ["firm"]).collect())
-    want = spelling_groups([(v, 1, i) for i, v in enumerate(names)])
-    assert got == sorted((g["canonical"], sorted(g["variants"])) for g in want)
+    got = groups_of(entity_groups(df, ["firm"]).collect())
+    assert got == groups_of(spelling_groups([(v, 1, i) for i, v in enumerate(names)]))
     assert any(set(v) >= {"Acme", "Acme Co", "ACME-Co"} for _, v in got)
+
+
+@pytest.mark.parametrize("cap", [None, 3])
+def test_spelling_rounds_equal_the_choice_one_by_one(spark, cap):
+    r = random.Random(11)
+    parts = ["", " a", "-b", ", c", " (d", " ab", "  a", " A", "e"]
+    rows = []
+    for _ in range(700):
+        rows.append((r.choice(["ab", "abc", "Ab", "", "x y"]) + "".join(r.choice(parts) for _ in range(r.randint(0, 4))) + r.choice(["", " "]), r.choice(["p", "p q", None])))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], f"{ROW_ID} bigint, firm string, other string")
+    found = entity_groups(df, ["firm", "other"], cap).collect()
+    for k, column in enumerate(["firm", "other"]):
+        counts = {}
+        for i, row in enumerate(rows):
+            if row[k] is not None:
+                n, first = counts.get(row[k], (0, i))
+                counts[row[k]] = (n + 1, first)
+        want = groups_of(spelling_groups([(v, n, first) for v, (n, first) in counts.items()], max_variants=cap))
+        assert groups_of(x for x in found if x["column"] == column) == want
+    assert groups_of(category_groups(df, ["firm", "other"], cap).collect()) == groups_of(found)
+    assert spelling_members(df.where("1 = 0"), ["firm"]).collect() == []
+
+
+def test_spelling_chain_and_hub(spark):
+    """A chain in which every spelling is like the next ones, and a root that all others extend."""
+    chain = ["a" + " b" * i for i in range(12)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(chain + ["Northern House"] + [f"Northern House {i}" for i in range(3000)])], f"{ROW_ID} bigint, firm string")
+    got = {r["canonical"]: r["n"] for r in spelling_members(df, ["firm"]).groupBy("canonical").agg(F.count("*").alias("n")).collect()}
+    want = spelling_groups([(v, 1, i) for i, v in enumerate(chain)])
+    assert got == {**{g["canonical"]: len(g["variants"]) for g in want}, "Northern House": 3001}
+
