@@ -5,8 +5,6 @@ from __future__ import annotations
 import itertools
 import json
 import logging
-import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,14 +14,9 @@ from pyspark.sql import functions as F
 from sparkclean.functions.nested import child_table_name, with_parsed_cells
 from sparkclean.operators.base import ROW_ID, is_numeric, q
 from sparkclean.operators.profile import CATEGORY_MAX, TableProfile
+from sparkclean.operators.relations import EQUAL_TOLERANCE, arithmetic_relations, fill_sources, untested_candidates
 from sparkclean.operators.spellings import category_groups
 
-# --- fixed values ------------------------------------------------------------------------
-EQUAL_TOLERANCE = 1e-6
-EQUAL_SHARE = 0.95
-# -------------------------------------------------------------------------------------------
-EXPRESSIONS_PER_PASS = 300
-
 log = logging.getLogger(__name__)
 
 RULE_SCHEMA = (
@@ -53,37 +46,6 @@ def rules_df(spark, rules: list[InferredRule]) -> DataFrame:
 # --- numeric relations ---------------------------------------------------------------------------
 
 
-def arithmetic_candidates(columns: list[str], budget: int | None = None) -> Iterator[tuple[str, ...]]:
-    """Pairs (a = b) first, then triples (a = b + c); all of them unless a budget is given."""
-    pairs = itertools.combinations(columns, 2)
-    triples = (
-        (a, b, c)
-        for a in columns
-        for b, c in itertools.combinations([x for x in columns if x != a], 2)
-    )
-    return itertools.islice(itertools.chain(pairs, triples), budget)
-
-
-def untested_candidates(columns: int, budget: int | None) -> int:
-    """How many candidates of that many columns a budget leaves out."""
-    total = math.comb(columns, 2) + columns * math.comb(max(columns - 1, 0), 2)
-    return max(0, total - budget) if budget is not None else 0
-
-
-def arithmetic_counts(df: DataFrame, candidates: list[tuple[str, ...]]) -> list[tuple[int, int]]:
-    """(matching rows, comparable rows) of all candidates in one pass."""
-    if not candidates:
-        return []
-    aggs = []
-    for i, cols in enumerate(candidates):
-        a, *rest = [q(c).cast("double") for c in cols]
-        gap = F.abs(a - (rest[0] if len(rest) == 1 else rest[0] + rest[1]))
-        aggs.append(F.count_if(gap <= EQUAL_TOLERANCE).alias(f"m{i}"))
-        aggs.append(F.count(gap).alias(f"n{i}"))
-    r = df.agg(*aggs).first()
-    return [(r[f"m{i}"], r[f"n{i}"]) for i in range(len(candidates))]
-
-
 def _pick_target(a: str, b: str) -> tuple[str, str]:
     """Which of two equal columns is the redundant one: the one named like a total if only
     one is, else the one later in the alphabet."""
@@ -93,20 +55,13 @@ def _pick_target(a: str, b: str) -> tuple[str, str]:
     return (a, b) if a.lower() > b.lower() else (b, a)
 
 
-def _arithmetic_tests(df: DataFrame, candidates: Iterator[tuple[str, ...]]) -> Iterator[tuple[tuple[str, ...], tuple[int, int]]]:
-    """Candidates with their counts, as many in one pass as a plan can hold."""
-    while chunk := list(itertools.islice(candidates, EXPRESSIONS_PER_PASS // 6)):
-        yield from zip(chunk, arithmetic_counts(df, chunk))
-
-
-def _arithmetic_rules(df: DataFrame, budget: int | None) -> list[InferredRule]:
+def _arithmetic_rules(df: DataFrame, profile: TableProfile, budget: int | None) -> list[InferredRule]:
     numeric = [f.name for f in df.schema.fields if f.name != ROW_ID and is_numeric(f.dataType)]
     if left := untested_candidates(len(numeric), budget):
         log.warning("%d arithmetic candidates are not tested: the budget is %d", left, budget)
+    present = {c.name: profile.row_count - c.null_count for c in profile.columns}
     rules = []
-    for cols, (hits, rows) in _arithmetic_tests(df, arithmetic_candidates(numeric, budget)):
-        if not rows or hits / rows < EQUAL_SHARE:
-            continue
+    for cols, hits, rows in arithmetic_relations(df, numeric, present, budget):
         evidence = {"matching_rows": hits, "total_rows": rows, "tolerance": EQUAL_TOLERANCE}
         if len(cols) == 2:
             target, formula = _pick_target(*cols)
@@ -141,27 +96,15 @@ def nested_facts(df: DataFrame, column: str) -> tuple[int, list[str]]:
 
 
 def _fill_rules(df: DataFrame, profile: TableProfile) -> list[InferredRule]:
-    targets = [c for c in profile.columns if 2 <= c.null_count < profile.row_count]
-    tests = [(t, o) for t in targets for o in profile.columns if o.name != t.name and _can_compare(df, o.name)]
-    rules = []
-    for start in range(0, len(tests), EXPRESSIONS_PER_PASS // 5):
-        chunk, aggs = tests[start : start + EXPRESSIONS_PER_PASS // 5], []
-        for i, (t, o) in enumerate(chunk):
-            gone, other = q(t.name).isNull(), q(o.name)
-            there, here = F.when(gone, other), F.when(~gone, other)
-            aggs += [
-                F.count(there).alias(f"n{i}"), F.min(there).alias(f"a{i}"), F.max(there).alias(f"b{i}"),
-                (F.min(here) < F.max(here)).alias(f"v{i}"),
-            ]
-        r = df.agg(*aggs).first()
-        for i, (t, o) in enumerate(chunk):
-            if r[f"n{i}"] == t.null_count and r[f"a{i}"] == r[f"b{i}"] and r[f"v{i}"]:
-                rules.append(InferredRule(
-                    "cross_field_fill", [t.name, o.name],
-                    {"target": t.name, "source": o.name, "value": r[f"a{i}"]},
-                    0.85, {"null_rows_matched": t.null_count},
-                ))
-    return rules
+    targets = {c.name: c.null_count for c in profile.columns if 2 <= c.null_count < profile.row_count}
+    others = [c.name for c in profile.columns if _can_compare(df, c.name)]
+    return [
+        InferredRule(
+            "cross_field_fill", [target, other], {"target": target, "source": other, "value": value},
+            0.85, {"null_rows_matched": targets[target]},
+        )
+        for target, other, value in fill_sources(df, targets, others)
+    ]
 
 
 def _can_compare(df: DataFrame, name: str) -> bool:
@@ -216,7 +159,7 @@ def infer_rules(
                     },
                 ))
 
-    rules += _arithmetic_rules(df, arithmetic_tests)
+    rules += _arithmetic_rules(df, profile, arithmetic_tests)
 
     for c in profile.columns:
         if c.semantic_type == "nested_json":

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclean.functions.text import BOOLEAN_WORDS
 from sparkclean.operators.base import ROW_ID
-from sparkclean.operators.infer import arithmetic_candidates, arithmetic_counts, infer_rules
+from sparkclean.operators.infer import infer_rules
 from sparkclean.operators.profile import (
     ID_NAME,
     MONEY_NAME,
@@ -17,6 +19,7 @@ from sparkclean.operators.profile import (
     safe_samples,
     sparse_columns,
 )
+from sparkclean.operators.relations import arithmetic_candidates, arithmetic_counts, arithmetic_relations, fill_sources
 from sparkclean.operators.spellings import entity_groups
 from sparkclean.queries import views
 from sparkclean.queries.registry import query
@@ -218,6 +221,68 @@ def arithmetic(spark, sf):
     return spark.createDataFrame(rows, "candidate string, matching_rows bigint, comparable_rows bigint")
 
 
+# sixty columns: a base, multiples of it by powers that no sum of two others gives, and a few sums and copies of them
+_WIDE = [f"w{i:02d}" for i in range(57)]
+_WIDE_SUMS = {"x_total": ("w03", "w50"), "x_gross": ("w10", "w11"), "x_copy": ("w20",)}
+
+
+def _wide_sql() -> str:
+    columns = ", ".join(f"l_extendedprice * {1.3 + i * i * 0.37!r} + l_partkey * {i % 7}" + f" + l_quantity * {i % 11} AS {n}" for i, n in enumerate(_WIDE))
+    sums = ", ".join(f"{' + '.join(parts)} AS {n}" for n, parts in _WIDE_SUMS.items())
+    return f"SELECT *, {sums} FROM (SELECT {columns} FROM lineitem)"
+
+
+@query(
+    "rule_arithmetic_wide",
+    f"""WITH t AS ({_wide_sql()})
+      SELECT 'x_total,w03,w50' AS relation, count(*) FILTER (abs(x_total - (w03 + w50)) <= 1e-6) AS matching_rows, count(*) AS comparable_rows FROM t
+      UNION ALL SELECT 'x_gross,w10,w11', count(*) FILTER (abs(x_gross - (w10 + w11)) <= 1e-6), count(*) FROM t
+      UNION ALL SELECT 'w20,x_copy', count(*) FILTER (abs(w20 - x_copy) <= 1e-6), count(*) FROM t""",
+)
+def arithmetic_wide(spark, sf):
+    """Over 100,000 sums of sixty columns: two hold, and one column is a copy (and so both stand in no other sum)."""
+    price = F.col("l_extendedprice")
+    columns = [(price * (1.3 + i * i * 0.37) + F.col("l_partkey") * (i % 7) + F.col("l_quantity") * (i % 11)).alias(n) for i, n in enumerate(_WIDE)]
+    df = views.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW_ID), *columns)
+    df = df.withColumns({n: reduce(lambda x, y: x + y, map(F.col, parts)) for n, parts in _WIDE_SUMS.items()})
+    names = df.columns[1:]
+    rows = df.count()
+    found = arithmetic_relations(df, names, dict.fromkeys(names, rows))
+    return spark.createDataFrame([(",".join(c), m, n) for c, m, n in found], "relation string, matching_rows bigint, comparable_rows bigint")
+
+
+_FILL_SQL = """
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
+         CASE WHEN o_orderkey % 14 <> 0 THEN 'C' || o_custkey END AS clerk, 'B' || (o_orderkey % 7) AS batch, o_orderkey % 2 AS even,
+         CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN 'open' ELSE 'none' END AS state
+  FROM orders"""
+_FILL_TARGETS, _FILL_OTHERS = ("priority", "clerk", "price"), ("o_orderkey", "priority", "clerk", "batch", "even", "price", "state")
+
+
+def _fill_pairs_sql() -> str:
+    parts = [
+        f"""SELECT '{t}' AS target, '{o}' AS source, CAST(min({o}) FILTER ({t} IS NULL) AS VARCHAR) AS value FROM t
+            HAVING count({o}) FILTER ({t} IS NULL) = count(*) FILTER ({t} IS NULL) AND count(DISTINCT {o}) FILTER ({t} IS NULL) = 1
+               AND count(DISTINCT {o}) FILTER ({t} IS NOT NULL) > 1"""
+        for t in _FILL_TARGETS for o in _FILL_OTHERS if o != t
+    ]
+    return f"WITH t AS ({_FILL_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("rule_cross_field_fill", _fill_pairs_sql())
+def cross_field_fill(spark, sf):
+    """Three columns with missing values against all others, in one scan."""
+    k = F.col("o_orderkey")
+    df = views.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(k % 7 != 0, F.col("o_orderpriority")).alias("priority"), F.when(k % 14 != 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("clerk"),
+        F.concat(F.lit("B"), (k % 7).cast("string")).alias("batch"), (k % 2).alias("even"),
+        F.when(k % 5 != 0, F.col("o_totalprice")).alias("price"), F.when(k % 5 != 0, "open").otherwise("none").alias("state"),
+    )
+    nulls = df.agg(*[F.count_if(F.col(t).isNull()).alias(t) for t in _FILL_TARGETS]).first().asDict()
+    found = [(t, o, str(v)) for t, o, v in fill_sources(df, nulls, list(_FILL_OTHERS))]
+    return spark.createDataFrame(found, "target string, source string, value string")
+
+
 @query(
     "rule_one_to_many",
     """SELECT 'props' AS columns, 'event_id' AS parent_key, 'Props' AS child_table, count(*) AS item_count, 'k' AS item_keys
