@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkclean.operators.order import Ordered
+
 # --- fixed values -----------------------------------------------------------------------
 AUDIT_SCHEMA = (
     "id string, occurred_at timestamp_ntz, user_id string, user_role string, event_type string, "
@@ -31,7 +33,10 @@ def event_filter(df: DataFrame, time: str, since=None, until=None, **equal) -> D
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
-    """Rows of one page (1-based): a top-k on ``number * size`` rows, not a full sort."""
+    """Rows of one of the first pages (1-based): a top-k on ``number * size`` rows, not a full sort.
+
+    For pages of any depth, or several of one table, see :func:`pages`.
+    """
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
@@ -39,6 +44,11 @@ def page_with_total(df: DataFrame, order: list[Column], number: int = 1, size: i
     return page(df, order, number, size), df.count()
 
 
+def pages(df: DataFrame, order: list[Column]) -> Ordered:
+    """The table in the ranges of an order, written once: every page, its total and ranks without a top-k."""
+    return Ordered(df, *order)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the one with the greatest ``order``; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -81,7 +91,9 @@ class AuditLog:
 
     def append(self, rows: DataFrame | list[tuple]) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, AUDIT_SCHEMA)
-        df.withColumn("day", F.to_date("occurred_at")).write.mode("append").partitionBy("day").parquet(self.path)
+        # the rows of a day meet, and a large day is split again: few files of useful size
+        daily = df.withColumn("day", F.to_date("occurred_at")).hint("rebalance", "day")
+        daily.write.mode("append").partitionBy("day").parquet(self.path)
 
     def read(self, since=None, until=None, event_type=None, user_id=None) -> DataFrame:
         df = self.spark.read.schema(AUDIT_SCHEMA + ", day date").parquet(self.path)

@@ -11,6 +11,7 @@ from sparkclean.operators.events import (
     event_filter,
     latest_per_key,
     page,
+    pages,
     replay_after,
     top_export,
 )
@@ -37,6 +38,16 @@ def events_page(spark, sf):
     return page(e, [F.col("ts").desc(), F.col("event_id").desc()], number=3, size=25).select("event_id", "event_type")
 
 
+@query(
+    "events_deep_page",
+    "SELECT event_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET (SELECT count(*) // 50 * 25 FROM events)",
+)
+def events_deep_page(spark, sf):
+    """The page in the middle of the table."""
+    found = pages(views.table(spark, sf, "events"), [F.col("ts").desc(), F.col("event_id").desc()])
+    return found.page(found.total // 50 + 1, 25).select("event_id", "event_type", "ts")
+
+
 @query("events_total", "SELECT event_type, count(*) AS total FROM events GROUP BY event_type")
 def events_total(spark, sf):
     return views.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))

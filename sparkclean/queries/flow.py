@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkclean.operators.base import ROW_ID
+from sparkclean.operators.base import ROW_ID, q
+from sparkclean.operators.events import pages
 from sparkclean.operators.identity import content_hash
 from sparkclean.operators.profile import profile_table
 from sparkclean.operators.checks import Check
@@ -64,14 +65,49 @@ def ingest_table(spark, sf):
 
 @query(
     "ingest_quarantine",
-    """SELECT 'Row has 2 more cell(s) than the header has columns' AS reason, 'O-' || o_orderkey AS cell_1, o_orderstatus AS cell_2,
+    """SELECT 'row ' || (o_orderkey + 2) AS row_ref, 'Row has 2 more cell(s) than the header has columns' AS reason, 'O-' || o_orderkey AS cell_1, o_orderstatus AS cell_2,
          '' AS cell_3, CASE o_orderkey % 5 WHEN 0 THEN 'one, "two"' WHEN 1 THEN 'first' || chr(10) || 'second' WHEN 2 THEN '5" pipe'
               WHEN 3 THEN '' ELSE o_orderpriority END AS cell_4, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS cell_5,
          'extra' AS cell_6, '' AS cell_7, 'more' AS cell_8 FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 11 = 0""",
 )
 def ingest_quarantine(spark, sf):
     r = _ingested(spark, sf)
-    return wide_quarantine(r.quarantined, r.stats["quarantine_width"]).drop("row_ref")
+    return wide_quarantine(r.quarantined, r.stats["quarantine_width"])
+
+
+@query(
+    "quarantine_page",
+    """WITH q AS (SELECT * FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 11 = 0)
+       SELECT 'row ' || (o_orderkey + 2) AS row_ref, 'Row has 2 more cell(s) than the header has columns' AS reason,
+              (SELECT count(*) FROM q) AS total
+       FROM q ORDER BY o_orderkey LIMIT 20 OFFSET (SELECT count(*) // 40 * 20 FROM q)""",
+)
+def quarantine_page(spark, sf):
+    """The page in the middle of the quarantine table, with the total beside each row."""
+    found = pages(_ingested(spark, sf).quarantined, [F.col(ROW_ID)])
+    return found.page(found.total // 40 + 1, 20).select("row_ref", "reason", F.lit(found.total).cast("bigint").alias("total"))
+
+
+# blank between names, names that differ in case only, invisible characters, blank and unused names at the end
+_RAW_HEADER = "\ufeff code ,,Note, NOTE\u200b,\uff53tate,note,,"
+
+
+@query(
+    "ingest_headers",
+    """SELECT column_name, filled FROM (SELECT count(*) AS filled FROM orders) CROSS JOIN
+         (VALUES ('code'), ('unnamed_1'), ('Note'), ('NOTE_1'), ('state'), ('note_2')) n(column_name)""",
+)
+def ingest_headers(spark, sf):
+    """A header line in every file: which columns come of it, and in how many rows each is filled."""
+    k = F.col("o_orderkey").cast("string")
+    row = F.concat_ws(",", k, F.lit("x"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"), F.lit(" "), F.lit(""))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its file
+    lines = views.table(spark, sf, "orders").select(F.when(first, F.concat(F.lit(_RAW_HEADER + "\n"), row)).otherwise(row).alias("value"))
+    root = scratch_dir(spark, "headers")
+    lines.write.text(f"{root}/text")
+    table = read_csv(spark, f"{root}/text", f"{root}/out").table.drop(ROW_ID)
+    counts = table.agg(*[F.count(q(c)).alias(c) for c in table.columns])
+    return counts.unpivot([], counts.columns, "column_name", "filled")
 
 
 @query(
