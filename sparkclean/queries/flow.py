@@ -167,6 +167,41 @@ def plan_executed(spark, sf):
     return store.read()
 
 
+def _parcels(spark, sf):
+    """A table that asks for every operation a plan can propose; its last row repeats the first."""
+    orders = views.table(spark, sf, "orders")
+    j = F.col("o_orderkey") % F.lit(orders.agg(F.max("o_orderkey")).first()[0])
+    d, late = (j % 9).cast("string"), (j % 9).isin(3, 4)
+    return orders.select(
+        F.col("o_orderkey").alias(ROW_ID), F.concat(F.lit("P"), F.lpad(j.cast("string"), 9, "0")).alias("parcel"),
+        F.concat((j + 1).cast("string"), F.lit(".50 $")).alias("fee"), F.when(j % 2 == 1, "Nord Cargo").otherwise("Nord Cargo (North)").alias("carrier"),
+        F.concat(F.lit("1"), d, F.lit(".02.2023")).alias("sent"), F.lit(None).cast("string").alias("remark"),
+        F.when(~late, F.concat(F.lit("zone "), d)).alias("zone"), F.when(late, "LATE").otherwise(F.concat(F.lit("run "), d)).alias("route"),
+        F.concat(F.lit('[{"box": '), d, F.lit("}]")).alias("boxes"), (j * 2.0).alias("weight"), (j * 2.0).alias("weight_total"),
+    )
+
+
+_PARCELS = """
+  SELECT *, j % 9 IN (3, 4) AS late FROM (SELECT o_orderkey AS _rid, o_orderkey % max(o_orderkey) OVER () AS j, count(*) OVER () AS n FROM orders)"""
+
+
+@query(
+    "plan_steps",
+    f"""WITH p AS ({_PARCELS}), c AS (
+        SELECT count(*) AS n, count(*) FILTER (j % 2 = 0) AS north, count(*) FILTER (late) AS late, count(*) - count(DISTINCT j) AS twice FROM p)
+      SELECT CAST(step_no AS INTEGER) AS step_no, operation, on_column, decision, cells_affected FROM c, LATERAL (VALUES
+        (1, 'drop_column', 'remark', 'accepted', n), (2, 'cast_type', 'fee', 'pending', n),
+        (3, 'replace_value', 'carrier', 'pending', least(north, n - north)), (4, 'standardise_format', 'sent', 'pending', n),
+        (5, 'fill_missing', 'zone', 'pending', late), (6, 'expand_nested', 'boxes', 'accepted', n),
+        (7, 'deduplicate', '', 'accepted', twice * 10), (8, 'drop_column', 'weight_total', 'accepted', n)
+      ) s(step_no, operation, on_column, decision, cells_affected)""",
+)
+def plan_steps(spark, sf):
+    found = make_plan(_parcels(spark, sf)).to_df(spark)
+    column = F.coalesce(F.get_json_object("parameters", "$.column"), F.lit(""))
+    return found.select("step_no", "operation", column.alias("on_column"), "decision", "cells_affected")
+
+
 @query("plan_verified", f"SELECT count(DISTINCT order_number) = count(*) AS checks_passed, true AS reconciled, true AS gate_open FROM ({views.MESSY_ORDERS})")
 def plan_verified(spark, sf):
     """mixed_text was not fully numeric in the source, so its total is not compared."""
