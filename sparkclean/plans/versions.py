@@ -18,6 +18,7 @@ from sparkclean.operators.guards import neutralise_formulas
 from sparkclean.operators.identity import content_hash, fingerprint, row_hash
 from sparkclean.operators.profile import TableProfile
 from sparkclean.operators.reconcile import Reconciliation, reconcile
+from sparkclean.operators.tree import HashTree, frame_difference
 from sparkclean.plans.plan import Plan
 
 # --- fixed values -----------------------------------------------------------------------
@@ -105,6 +106,23 @@ class VersionStore:
         number = self.current() if number is None else number
         return {n: self.spark.read.parquet(p) for n, p in (self.record(number)["children"] or {}).items()}
 
+    def tree(self, number: int) -> HashTree:
+        """The hash tree of a version's table, built when it is first asked for and stored beside it."""
+        path, built = f"{self.root}/_tree/v{number}", f"{self.root}/_trees"
+        self.spark.createDataFrame([], "version_no int").coalesce(1).write.mode("ignore").parquet(built)
+        if self.spark.read.schema("version_no int").parquet(built).where(F.col("version_no") == number).isEmpty():
+            HashTree.build(self.read(number), path)
+            self.spark.createDataFrame([(number,)], "version_no int").coalesce(1).write.mode("append").parquet(built)
+        return HashTree(self.spark, path)
+
+    def difference(self, a: int, b: int) -> DataFrame:
+        """(_rid, kind) of the rows in which two versions differ: added, gone or changed in the second."""
+        return frame_difference(self.read(a), self.read(b), self.tree(a), self.tree(b))
+
+    def same_rows(self, a: int, b: int) -> bool:
+        """Two versions hold the same rows with the same ids: only the roots are compared."""
+        return self.read(a).schema == self.read(b).schema and self.tree(a).root() == self.tree(b).root()
+
     def _listing(self, paths: list[str]) -> DataFrame:
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
         return files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), F.col("length").alias("bytes"))

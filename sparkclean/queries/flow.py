@@ -10,6 +10,8 @@ from sparkclean.operators.events import pages
 from sparkclean.operators.identity import content_hash
 from sparkclean.operators.profile import profile_table
 from sparkclean.operators.checks import Check
+from sparkclean.operators.tree import frame_difference
+from sparkclean.plans.incremental import execute_incremental
 from sparkclean.plans.plan import Plan, make_plan
 from sparkclean.plans.versions import VersionStore
 from sparkclean.queries import views
@@ -167,20 +169,43 @@ def plan_executed(spark, sf):
     return store.read()
 
 
-def _parcels(spark, sf):
-    """A table that asks for every operation a plan can propose; its last row repeats the first."""
-    orders = views.table(spark, sf, "orders")
-    j = F.col("o_orderkey") % F.lit(orders.agg(F.max("o_orderkey")).first()[0])
+def _parcel_columns(rows, j):
+    """Columns of a parcel with the number ``j``; ``rows`` has the row id."""
     d, late = (j % 9).cast("string"), (j % 9).isin(3, 4)
-    return orders.select(
-        F.col("o_orderkey").alias(ROW_ID), F.concat(F.lit("P"), F.lpad(j.cast("string"), 9, "0")).alias("parcel"),
+    return rows.select(
+        ROW_ID, F.concat(F.lit("P"), F.lpad(j.cast("string"), 9, "0")).alias("parcel"),
         F.concat((j + 1).cast("string"), F.lit(".50 $")).alias("fee"), F.when(j % 2 == 1, "Nord Cargo").otherwise("Nord Cargo (North)").alias("carrier"),
-        F.concat(F.lit("1"), d, F.lit(".02.2023")).alias("sent"), F.lit(None).cast("string").alias("remark"),
+        F.concat(F.lit("2"), (j % 8).cast("string"), F.lit(".02.2023")).alias("sent"), F.lit(None).cast("string").alias("remark"),
         F.when(~late, F.concat(F.lit("zone "), d)).alias("zone"), F.when(late, "LATE").otherwise(F.concat(F.lit("run "), d)).alias("route"),
         F.concat(F.lit('[{"box": '), d, F.lit("}]")).alias("boxes"), (j * 2.0).alias("weight"), (j * 2.0).alias("weight_total"),
     )
 
 
+def _last_order(spark, sf) -> int:
+    return views.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
+
+
+def _parcels(spark, sf):
+    """A table that asks for every operation a plan can propose; its last row repeats the first."""
+    rows = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias(ROW_ID))
+    return _parcel_columns(rows, F.col(ROW_ID) % F.lit(_last_order(spark, sf)))
+
+
+def _later_parcels(spark, sf):
+    """The parcels some time later: rows gone, rows added, rows that now repeat the one before, the last row its own."""
+    last = _last_order(spark, sf)
+    rows = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias(ROW_ID))
+    more = rows.where(F.col(ROW_ID) % 200 == 3).select((F.col(ROW_ID) + last + 1).alias(ROW_ID))
+    rows = rows.where(F.col(ROW_ID) % 97 != 0).unionByName(more)
+    return _parcel_columns(rows, F.when(F.col(ROW_ID) % 50 == 7, F.col(ROW_ID) - 1).otherwise(F.col(ROW_ID)))
+
+
+_LATER = """
+  SELECT k AS _rid, CASE WHEN k % 50 = 7 THEN k - 1 ELSE k END AS j FROM (
+    SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 97 <> 0
+    UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 1 FROM orders WHERE o_orderkey % 200 = 3)"""
+
+
 _PARCELS = """
   SELECT *, j % 9 IN (3, 4) AS late FROM (SELECT o_orderkey AS _rid, o_orderkey % max(o_orderkey) OVER () AS j, count(*) OVER () AS n FROM orders)"""
 
@@ -202,6 +227,79 @@ def plan_steps(spark, sf):
     return found.select("step_no", "operation", column.alias("on_column"), "decision", "cells_affected")
 
 
+def _accepted(df) -> Plan:
+    plan = make_plan(df)
+    for step in plan.steps:
+        if step.decision == "pending":
+            plan.decide(step.step_no, "accepted")
+    plan.approve()
+    return plan
+
+
+_CLEAN_PARCELS = """
+  SELECT 'P' || lpad(CAST(j AS VARCHAR), 9, '0') AS parcel, j + 1.5::DOUBLE AS fee, 'Nord Cargo (North)' AS carrier,
+         '2023-02-2' || (j % 8) AS sent, CASE WHEN j % 9 IN (3, 4) THEN 'LATE' ELSE 'zone ' || (j % 9) END AS zone,
+         CASE WHEN j % 9 IN (3, 4) THEN 'LATE' ELSE 'run ' || (j % 9) END AS route, CAST(1 AS BIGINT) AS boxes_count, j * 2.0::DOUBLE AS weight"""
+
+
+@query("plan_incremental", f"{_CLEAN_PARCELS}, min(_rid) AS _rid FROM ({_LATER}) GROUP BY j")
+def plan_incremental(spark, sf):
+    """All eight steps on the parcels, then on the later parcels, of which only the touched rows run again."""
+    df = _parcels(spark, sf)
+    store, plan = VersionStore(spark, scratch_dir(spark, "versions")), _accepted(df)
+    store.execute(plan, df)
+    return store.read(execute_incremental(store, plan, _later_parcels(spark, sf)))
+
+
+@query("plan_incremental_children", f"SELECT 'P' || lpad(CAST(j AS VARCHAR), 9, '0') AS parcel, j % 9 AS box FROM ({_LATER})")
+def plan_incremental_children(spark, sf):
+    df = _parcels(spark, sf)
+    store, plan = VersionStore(spark, scratch_dir(spark, "versions")), _accepted(df)
+    store.execute(plan, df)
+    return store.read_children(execute_incremental(store, plan, _later_parcels(spark, sf)))["Boxes"]
+
+
+def _each_step(spark, sf) -> tuple[VersionStore, Plan]:
+    df = _parcels(spark, sf)
+    store, plan = VersionStore(spark, scratch_dir(spark, "versions")), _accepted(df)
+    store.execute(plan, df, every_step=True)
+    return store, plan
+
+
+@query("plan_every_step", f"{_CLEAN_PARCELS}, min(_rid) AS _rid FROM ({_PARCELS}) GROUP BY j")
+def plan_every_step(spark, sf):
+    """A version and an inverse per step; the last version."""
+    return _each_step(spark, sf)[0].read()
+
+
+@query("plan_read_children", f"SELECT 'P' || lpad(CAST(j AS VARCHAR), 9, '0') AS parcel, j % 9 AS box FROM ({_PARCELS})")
+def plan_read_children(spark, sf):
+    """The child table of the last version, carried forward from the step that made it."""
+    return _each_step(spark, sf)[0].read_children()["Boxes"]
+
+
+@query(
+    "plan_undo_step",
+    f"""SELECT _rid, 'P' || lpad(CAST(j AS VARCHAR), 9, '0') AS parcel, CASE WHEN j % 9 NOT IN (3, 4) THEN 'zone ' || (j % 9) END AS zone
+        FROM ({_PARCELS})""",
+)
+def plan_undo_step(spark, sf):
+    """The table before the step that fills the zones."""
+    store, plan = _each_step(spark, sf)
+    number = next(s.step_no for s in plan.steps if s.operation == "fill_missing")
+    return store.undo_step(number).select(ROW_ID, "parcel", "zone")
+
+
+@query(
+    "frame_difference",
+    f"""SELECT coalesce(a._rid, b._rid) AS _rid, CASE WHEN a._rid IS NULL THEN 'added' WHEN b._rid IS NULL THEN 'gone' ELSE 'changed' END AS kind
+        FROM ({_PARCELS}) a FULL JOIN ({_LATER}) b ON a._rid = b._rid WHERE a.j IS DISTINCT FROM b.j""",
+)
+def difference(spark, sf):
+    """Rows in which two tables differ, found from the roots of their hash trees down."""
+    return frame_difference(_parcels(spark, sf), _later_parcels(spark, sf))
+
+
 @query("plan_verified", f"SELECT count(DISTINCT order_number) = count(*) AS checks_passed, true AS reconciled, true AS gate_open FROM ({views.MESSY_ORDERS})")
 def plan_verified(spark, sf):
     """mixed_text was not fully numeric in the source, so its total is not compared."""
