@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from typing import Any, Callable
 
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from sparkclean.operators.base import ROW_ID, data_columns, is_numeric, parse_type, q, type_name
 from sparkclean.operators.profile import TableProfile
+from sparkclean.operators.reconcile import exact_sum
 
 # --- fixed values -----------------------------------------------------------------------
 SUPPORTED_CHECKS = (
@@ -78,6 +80,14 @@ def _isin(c: Column, values: list[Any]) -> Column:
     return c.isin(values) if values else F.lit(False)
 
 
+def _near(total: Decimal | float, want: Any, tolerance: float) -> bool:
+    """Is the total within the tolerance of what was expected? Decimals are compared as such."""
+    if isinstance(total, Decimal):
+        expected = Decimal(str(want))
+        return expected.is_finite() and abs(total - expected) <= Decimal(str(tolerance))
+    return abs(total - float(want)) <= tolerance
+
+
 def _as_number(name: str) -> tuple[Column, Column]:
     """(value as a number, test for a value that is none)."""
     number = q(name).try_cast("double")
@@ -129,10 +139,11 @@ def compile_check(df: DataFrame, d: dict[str, Any]) -> tuple[dict[str, Column],
         name, want, tol = _column(df, d), float(d.get("expected", 0.0)), float(d.get("tolerance", TOLERANCE))
         number, broken = _as_number(name)
         return (
-            {"x": F.coalesce(F.sum(number), F.lit(0.0)), "broken": F.count_if(broken)},
+            # in decimals, so that no order of the rows changes the verdict; beyond their range a double has to do
+            {"x": exact_sum(number), "rough": F.coalesce(F.sum(number), F.lit(0.0)), "broken": F.count_if(broken)},
             lambda r: (
-                not r["broken"] and abs(r["x"] - want) <= tol,
-                f"Sum of '{name}' is {r['x']} (expected {want})" if not r["broken"]
+                not r["broken"] and _near(r["x"] if r["x"] is not None else r["rough"], d.get("expected", 0.0), tol),
+                f"Sum of '{name}' is {float(r['x'] if r['x'] is not None else r['rough'])} (expected {want})" if not r["broken"]
                 else f"Sum check failed with error: {r['broken']} values of '{name}' are not numbers",
             ),
             None,
