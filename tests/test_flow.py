@@ -418,7 +418,7 @@ def test_gate_routes_batches(spark, tmp_path):
 
 def test_sum_check_does_not_depend_on_order(spark):
     """Totals of 10^12 whose double sums differ by partitioning give one verdict."""
-    df = spark.range(400_000).selectExpr(f"id AS {ROW_ID}", "CASE WHEN id % 2 = 0 THEN 5000000.01 + id ELSE 0.07 END AS a")
+    df = spark.range(400_000).selectExpr("id AS _rid", "CASE WHEN id % 2 = 0 THEN 5000000.01 + id ELSE 0.07 END AS a")
     total = str(df.selectExpr("sum(CAST(a AS DECIMAL(28,6)))").first()[0])
     for expected, ok in ((total, True), (str(float(total) + 0.5), False)):
         check = Check("total", "unit", None, {"check": "sum_equals", "column": "a", "expected": expected})
