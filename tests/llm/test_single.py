@@ -288,3 +288,14 @@ def test_neighbours_read_as_many_lists_as_recall_needs(spark):
 def test_few_neighbours(spark, rows, want):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     assert sorted(map(tuple, ann.nearest(df).collect())) == want
+
+
+def test_nearest_of_repeated_rows(spark):
+    """Rows that occur again change nothing, be they queries, answers or more than all that count."""
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows[7] = (7, rows[3][1])
+    schema = "vec_id bigint, embedding array<double>"
+    want = sorted(map(tuple, ann.nearest(spark.createDataFrame(rows, schema)).collect()))
+    again = rows + [rows[0]] * 9 + [rows[3]] * 9 + rows[50:]
+    assert sorted(map(tuple, ann.nearest(spark.createDataFrame(again, schema)).collect())) == want and len(want) == 10
