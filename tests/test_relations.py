@@ -81,7 +81,7 @@ def test_fill_sources(spark):
     r = random.Random(2)
     rows = []
     for i in range(300):
-        row = {"k": i, "s": r.choice(["x", "y", ""]), "n": r.choice([1.5, 2.5, None]), "b": r.random() < 0.5, "d": None if i % 3 else "d"}
+        row = {"k": i, "s": r.choice(["x", "y", ""]), "n": r.choice([1.5, 2.5, 3.5, None]), "b": r.random() < 0.5, "d": None if i % 3 else "d"}
         row |= {f"t{j}": None if (i * 7 + j) % 61 == 0 else j for j in range(70)}
         row |= {"a": None if row["s"] == "x" else "a", "c": None if row["n"] == 2.5 else 1, "e": None if row["b"] else "e", "f": None if row["s"] == "" else "f"}
         rows.append(row)
