@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sparkclean.functions.text import WHITESPACE, strip_ws
 from sparkclean.operators.base import ROW_ID, q
+from sparkclean.operators.profile import CATEGORY_MAX
 from sparkclean.session import scratch_dir
 
 # --- fixed values ------------------------------------------------------------------------
@@ -89,6 +90,10 @@ def category_groups(df: DataFrame, columns: list[str], max_variants: int | None
     The values of a column are one group in one task: for columns of any size see :func:`entity_groups`, which
     gives the same groups.
     """
+    return _in_one_task(_values(df, columns), columns, max_variants)
+
+
+def _in_one_task(values: DataFrame, columns: list[str], max_variants: int | None) -> DataFrame:
     names = {f"c{i}": c for i, c in enumerate(columns)}
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +105,7 @@ def category_groups(df: DataFrame, columns: list[str], max_variants: int | None
             "variants": [g["variants"] for g in found],
         })
 
-    return _values(df, columns).groupBy("col_no").applyInPandas(
+    return values.groupBy("col_no").applyInPandas(
         cluster, "column string, group_no int, canonical string, variants array<string>"
     )
 
@@ -195,7 +200,11 @@ def spelling_members(df: DataFrame, columns: list[str], max_variants: int | None
     results are written, and a spelling that very many others extend is a key that Spark can split. Null values belong
     to no group; a column without values gives no rows.
     """
-    values = _kept(_values(df, columns).withColumn("spelling", F.lower(strip_ws(F.col("value")))))
+    return _members(_kept(_values(df, columns)), columns, max_variants)
+
+
+def _members(values: DataFrame, columns: list[str], max_variants: int | None) -> DataFrame:
+    values = values.withColumn("spelling", F.lower(strip_ws(F.col("value"))))
     # places in the order of choice name the spellings: count, length, first row
     rank = F.struct((-F.col("n")).alias("n"), F.length("value").alias("length"), F.col("first"))
     nodes = _kept(values.groupBy("col_no", "spelling").agg(F.min(rank).alias("node")))
@@ -217,8 +226,17 @@ def entity_groups(df: DataFrame, columns: list[str], max_variants: int | None =
     """(column, canonical, variants) of the spellings of text columns of any number of values.
 
     A row holds all variants of its group, most frequent first; where a group may be very large, take
-    :func:`spelling_members`, which has one row per value.
+    :func:`spelling_members`, which has one row per value. A column of at most ``CATEGORY_MAX`` values is grouped in
+    one task, others in rounds: the groups are the same.
     """
+    values = _kept(_values(df, columns))
+    counts = values.groupBy("col_no").count().collect()  # one row per column
+    few = [r["col_no"] for r in counts if r["count"] <= CATEGORY_MAX]
+    small = _in_one_task(values.where(F.col("col_no").isin(few)), columns, max_variants).select("column", "canonical", "variants")
+    if len(few) == len(counts):
+        return small
     order = F.struct((-F.col("n")).alias("n"), F.length("value").alias("length"), F.col("value"))
-    groups = spelling_members(df, columns, max_variants).groupBy("column", "group", "canonical").agg(F.array_sort(F.collect_list(order)).alias("found"))
-    return groups.select("column", "canonical", F.col("found.value").alias("variants"))
+    members = _members(values.where(~F.col("col_no").isin(few)), columns, max_variants)
+    groups = members.groupBy("column", "group", "canonical").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    large = groups.select("column", "canonical", F.col("found.value").alias("variants"))
+    return large.unionByName(small) if few else large
