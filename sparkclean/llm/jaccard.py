@@ -328,15 +328,18 @@ def classes(
     post = stored(post, "jaccard-classed")
     open_ = stored(post.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("gram"), "jaccard-open")
     post = stored(post.join(open_, "gram", "left_semi"), "jaccard-blocks")
-    names = ("class", "family", "size")
+    names = ("class", "family", "size", "place")
     x = post.select("gram", F.col("rep").alias("a"), *(F.col(c).alias(f"_x{c}") for c in names))
     y = post.select("gram", F.col("rep").alias("b"), *(F.col(c).alias(f"_y{c}") for c in names))
     xs, ys = F.col("_xsize"), F.col("_ysize")
     apart = (F.col("_xclass") != F.col("_yclass")) & (F.col("_xfamily") != F.col("_yfamily"))
     ordered = (xs < ys) | ((xs == ys) & (F.col("a") < F.col("b")))
-    pairs = x.join(y, "gram").filter(apart & ordered & (100 * xs >= percent * ys))
-    # beyond the leading n-grams of the one whose last is rarer, at most the rest of it can be common
+    # all sets have one order, so n-grams before a common one meet before it and those after it meet after it
     need = F.ceil((xs + ys) * percent / (100 + percent))
+    px, py = F.col("_xplace"), F.col("_yplace")
+    reach = F.least(px, py) + F.least(xs - px, ys - py) >= need
+    pairs = x.join(y, "gram").filter(apart & ordered & (100 * xs >= percent * ys) & reach)
+    # beyond the leading n-grams of the one whose last is rarer, at most the rest of it can be common
     rest = F.greatest(xs - leading(xs), ys - leading(ys))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("_n"), F.max(need - rest).alias("_need"))
     pairs = pairs.filter(F.col("_n") >= F.greatest(F.lit(1), F.col("_need"))).select("a", "b")
