@@ -70,11 +70,45 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def worker_cache(name: str, make: Callable):
-    """An object kept by a Python worker across tasks (functions travel by value, their globals do not last)."""
+    """An object kept by a Python worker across tasks (functions travel by value, their globals do not last).
+
+    A worker keeps one: the object of another operator, or of another fit, is let go before a new one is made.
+    """
     store = sys.modules.setdefault("_sparkclean_worker", types.ModuleType("_sparkclean_worker"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    if getattr(store, "name", None) != name:
+        store.name = store.value = None
+        store.value = make()
+        store.name = name
+    return store.value
+
+
+class Remembered:
+    """A dictionary of two generations with a bound on the characters of its keys.
+
+    Entries in use move to the new generation; when that is full it becomes the old one and the one before is let go,
+    so frequent keys stay. ``fill`` makes sure that ``new`` holds all keys asked for.
+    """
+
+    def __init__(self, most_chars: int, entry: int = 150):
+        self.most, self.entry = most_chars, entry  # entry: bytes that an entry takes apart from its key
+        self.new: dict = {}
+        self.old: dict = {}
+        self.chars = 0
+
+    def fill(self, keys: Iterable, make: Callable[[list], Iterable]) -> dict:
+        """The new generation, holding ``keys``; ``make`` gives the values of those that neither generation has."""
+        if self.chars > self.most:
+            self.old, self.new, self.chars = self.new, {}, 0
+        new, old = self.new, self.old
+        away = [k for k in keys if k not in new]
+        lost = [k for k in away if k not in old]
+        for k in away:
+            if k in old:
+                new[k] = old[k]
+        if lost:
+            new.update(zip(lost, make(lost), strict=True))
+        self.chars += sum(map(len, away)) + self.entry * len(away)
+        return new
 
 
 # ---------------------------------------------------------------- arrays of hashes inside tasks

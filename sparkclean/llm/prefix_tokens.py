@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import bounded_batches, worker_cache
+from sparkclean.llm.common import Remembered, bounded_batches, worker_cache
 
-CACHED_UNITS = 300_000
-CACHED_PREFIXES = 500_000
+CACHED_BYTES = 30_000_000  # of a generation of units, and of pre-tokens
 CACHED_LENGTH = 64
 # Unicode white space as the tokenizer's patterns see it, and its splitting pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -57,8 +56,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.token))
         self.split = regex.compile(SPLIT)
         self.stable: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.memo: dict[bytes, tuple[int, int]] = {}
+        self.units = Remembered(CACHED_BYTES)
+        self.pieces = Remembered(CACHED_BYTES)
         self.unit = re.compile(r"\s*\S+|\s+")
         self.unit_strict = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
@@ -91,33 +90,33 @@ class PrefixCounter:
         return known
 
     def _piece(self, piece: str) -> list[int]:
-        """Counts after each character of one pre-token; what is known of its prefixes is reused."""
+        """Counts after each character of one pre-token."""
         body = piece.encode("utf-8", "surrogatepass")
-        n, get, fits, longest, memo = len(body), self.token.get, self._fits, self.longest, self.memo
+        n, get, known, fits, longest = len(body), self.token.get, self.stable.get, self._fits, self.longest
         last, count = [-1], [0]
-        if n <= CACHED_LENGTH:
-            for i in range(1, n + 1):
-                state = memo.get(body[:i])
-                if state is None:
-                    break
-                last.append(state[0])
-                count.append(state[1])
-        for i in range(len(last), n + 1):
-            for s in range(max(0, i - longest), i):
+        for i in range(1, n + 1):
+            for s in range(i - longest if i > longest else 0, i):
                 t = get(body[s:i])
-                if t is not None and fits(last[s], t):
-                    last.append(t)
-                    count.append(count[s] + 1)
-                    if n <= CACHED_LENGTH:
-                        memo[body[:i]] = (t, count[i])
-                    break
-        if len(memo) > CACHED_PREFIXES:
-            memo.clear()
+                if t is not None:
+                    good = known((last[s], t))
+                    if good or (good is None and fits(last[s], t)):
+                        last.append(t)
+                        count.append(count[s] + 1)
+                        break
         if n == len(piece):
             return count[1:]
         ends = itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)
         return [count[e] for e in ends]
 
+    def _found(self, piece: str) -> bytes:
+        """Steps of a pre-token as the pattern finds it."""
+        if piece in CONTRACTIONS:
+            short = [self._piece(piece[:1])[-1] + (self._piece(piece[1:k])[-1] if k > 1 else 0) for k in range(1, len(piece))]
+            own = [*short, self._piece(piece)[-1]]
+        else:
+            own = self._piece(piece)
+        return struct.pack(f"<{len(own)}h", *map(sub, own, [0, *own]))
+
     def counts(self, unit: str) -> list[int]:
         """Counts after each character of a unit, as if the text ended there."""
         white = len(unit) - len(unit.lstrip(WHITE_CHARS))
@@ -127,20 +126,24 @@ class PrefixCounter:
         if white > 1:  # a run of white space is one piece while nothing follows; then it gives up its last character
             out = self._piece(unit[:white])
             base, rest = out[white - 2], unit[white - 1 :]
-        found = []
-        for piece in self.split.findall(rest):
-            if piece in CONTRACTIONS:
-                short = [self._piece(piece[:1])[-1] + (self._piece(piece[1:k])[-1] if k > 1 else 0) for k in range(1, len(piece))]
-                own = [*short, self._piece(piece)[-1]]
+        found = b"".join(map(self._found, self.split.findall(rest)))
+        own = itertools.accumulate(struct.unpack(f"<{len(found) // 2}h", found), initial=base)
+        return out + list(own)[2 if white > 1 else 1 :]
+
+    def _steps(self, units: list[str]) -> list[bytes]:
+        """Steps of units; a pre-token that several units hold is computed once."""
+        plain = [u if u.lstrip(WHITE_CHARS) and not u[:2].isspace() else None for u in units]
+        parts = [self.split.findall(u) if u else [] for u in plain]
+        short = {p for own in parts for p in own if len(p) <= CACHED_LENGTH}
+        known = self.pieces.fill(short, lambda new: map(self._found, new))
+        out = []
+        for unit, u, own in zip(units, plain, parts, strict=True):
+            if u is None:
+                found = self.counts(unit)
+                out.append(struct.pack(f"<{len(found)}h", *map(sub, found, [0, *found])))
             else:
-                own = self._piece(piece)
-            found += [base + c for c in own]
-            base += own[-1]
-        return out + found[1 if white > 1 else 0 :]
-
-    def _steps(self, unit: str) -> bytes:
-        found = self.counts(unit)
-        return struct.pack(f"<{len(found)}h", *map(sub, found, [0, *found]))
+                out.append(b"".join([known[p] if len(p) <= CACHED_LENGTH else self._found(p) for p in own]))
+        return out
 
     def _units(self, text: str) -> list[str]:
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -151,16 +154,13 @@ class PrefixCounter:
         for mark in self.special:
             if mark in text:
                 return self._with_special(text, mark)
-        cache, units, extra = self.cache, self._units(text), {}
-        for u in set(units):
-            if u not in cache:
-                (cache if len(u) <= CACHED_LENGTH else extra)[u] = self._steps(u)
-        if extra:
-            extra = {u: extra[u] if u in extra else cache[u] for u in set(units)}
-        out = b"".join(map((extra or cache).__getitem__, units))
-        if len(cache) > CACHED_UNITS:
-            cache.clear()
-        return out
+        units = self._units(text)
+        kinds = set(units)
+        long = [u for u in kinds if len(u) > CACHED_LENGTH]
+        known = self.units.fill(kinds.difference(long), self._steps)
+        if long:
+            known = {u: known[u] for u in kinds.difference(long)} | dict(zip(long, self._steps(long), strict=True))
+        return b"".join(map(known.__getitem__, units))
 
     def _with_special(self, text: str, mark: str) -> bytes:
         out = []
