@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkclean.llm.common import bounded_batches, stored, worker_cache
+from sparkclean.llm.common import Remembered, bounded_batches, stored, worker_cache
 
 CAPACITY = 4096
-CACHED_WORDS = 400_000
+CACHED_BYTES = 40_000_000  # of a generation of words
 CACHED_LENGTH = 64
+TOGETHER = 1_000_000  # characters of texts that are divided into words at once
 SIGNS = ".,!?;:"
 GROUP = 1000  # pieces of one length that one rank group holds on average
 
@@ -34,7 +36,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHED_BYTES)
 
     def _library(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of words without white space: one call for all, cut apart by the offsets."""
@@ -44,42 +46,63 @@ class WordEncoder:
         body = np.array(found.ids, "<u4").tobytes()
         return [body[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
-    def _learn(self, new: list[str]) -> None:
+    @staticmethod
+    def _divided(word: str) -> tuple[str, str] | None:
         """A sign after letters is a piece of its own, and letters are lower-cased: such words share their letters."""
-        known, stems, rest = self.known, {}, set()
-        for w in new:
-            stem, tail = (w[:-1], w[-1]) if w[-1] in SIGNS else (w, "")
-            if stem.isascii() and stem.isalpha():
-                stems[w] = (stem.lower(), tail)
-            elif tail and stem.isalpha() and stem.lower().isalpha():
-                stems[w] = (stem, tail)
-        for w in new:
-            rest.update(x for x in stems.get(w, (w,)) if x and x not in known)
-        todo = list(rest)
-        for start in range(0, len(todo), 1000):
-            some = todo[start : start + 1000]
-            known.update(zip(some, self._library(some), strict=True))
-        known[""] = b""
-        known.update((w, known[stem] + known[tail]) for w, (stem, tail) in stems.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        # the separators \x1c to \x1f divide words for Python but not for the tokenizer
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        parts = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = [w for w in set().union(*parts) if w not in self.known]
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                self.known.pop(w, None)
-        for i, o in enumerate(odd):
-            if o:
-                out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        stem, tail = (word[:-1], word[-1]) if word[-1] in SIGNS else (word, "")
+        if stem.isascii() and stem.isalpha():
+            low = stem.lower()
+            return (low, tail) if tail or low != stem else None
+        return (stem, tail) if tail and stem.isalpha() and stem.lower().isalpha() else None
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(words), 1000):
+            out += self._library(words[start : start + 1000])
         return out
 
+    def _table(self, kinds: set[str]) -> dict[str, bytes]:
+        """Ids of words of at most ``CACHED_LENGTH`` characters."""
+        cuts = {w: cut for w in kinds if w not in self.known.new and w not in self.known.old and (cut := self._divided(w))}
+        stems = {x for cut in cuts.values() for x in cut if x}
+
+        def make(lost: list[str]):
+            whole = [w for w in lost if w not in cuts]
+            found = dict(zip(whole, self._encoded(whole), strict=True))
+            found[""] = b""
+            for w, cut in cuts.items():
+                stem, tail = (found[x] if x in found else self.known.new[x] for x in cut)
+                found[w] = stem + tail
+            return map(found.__getitem__, lost)
+
+        return self.known.fill(kinds | stems, make)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        parts = [t.split() for t in texts]
+        kinds = set().union(*parts)
+        long = [w for w in kinds if len(w) > CACHED_LENGTH]
+        known = self._table(kinds.difference(long))
+        if long:
+            known = {w: known[w] for w in kinds.difference(long)} | dict(zip(long, self._encoded(long), strict=True))
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            # the separators \x1c to \x1f divide words for Python but not for the tokenizer
+            odd = any(c in t for c in "\x1c\x1d\x1e\x1f")
+            if some and (odd or size + len(t) > TOGETHER):
+                yield from self._some(some)
+                some, size = [], 0
+            if odd:
+                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                some.append(t)
+                size += len(t)
+        yield from self._some(some)
+
 
 def pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
