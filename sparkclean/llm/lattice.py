@@ -11,6 +11,7 @@ its training count less a discount; the pieces share what the discounts leave.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from sparkclean.llm.common import ascii_lower, batches_of, bounded_batches, fold
 
 BROADCAST_WORDS = 200_000  # frequent words whose scores travel to every task; all others are joined
 PASSES = 2  # of expected counts
+WORD_BYTES = 2_000_000  # of a table of words that the lattice takes at once
 PRIOR = 1000.0  # pieces that the ranks of the vocabulary file count for
 START = chr(0x2581)  # begins a word in the vocabulary file
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -143,13 +145,26 @@ class Lattice:
         return out
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int = WORD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined up to ``most`` bytes: the lattice works on arrays of words of one length."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def _piece_counts(types: DataFrame, path: str, log_p: np.ndarray) -> np.ndarray:
     """Expected counts over all distinct training words: one vector of vocabulary size per task, summed by Spark."""
 
     def run(batches):
         lattice = worker_cache(f"lattice_{path}", lambda: Lattice(vocabulary(path)[0]))
         total = np.zeros(lattice.size + 256)
-        for batch in batches:
+        for batch in gathered(batches):
             total += lattice.expected(batch.column("word").to_pylist(), np.ones(len(batch)), log_p)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
@@ -210,7 +225,7 @@ def score(
 
     def run_types(batches):
         lattice = worker_cache(f"lattice_{path}", lambda: Lattice(vocabulary(path)[0]))
-        for batch in batches:
+        for batch in gathered(batches):
             count = batch.column("count").to_numpy().astype(float)
             sub = lattice.log10_marginal(batch.column("word").to_pylist(), log_p)
             rest = sub + math.log10(spare)
