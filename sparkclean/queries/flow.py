@@ -401,3 +401,25 @@ def _arrivals(spark, sf) -> str:
         rows.unionByName(head).coalesce(1).sortWithinPartitions("k").select("value").write.mode("append").text(f"{root}/in")
     ingest_text_stream(spark, f"{root}/in", ["customer", "segment"], f"{root}/out", f"{root}/check").awaitTermination()
     return f"{root}/out"
+
+
+@query(
+    "stream_bad_file",
+    """SELECT CASE WHEN c_custkey % 3 = 2 THEN 'quarantine' ELSE 'table' END AS target, 'C-' || c_custkey AS customer, c_mktsegment AS segment,
+         CASE WHEN c_custkey % 3 = 2 THEN 'refused' ELSE 'taken' END AS verdict FROM customer
+       UNION ALL SELECT 'quarantine', 'client', 'segment', 'refused'""",
+)
+def stream_bad_file(spark, sf):
+    """Three files, one of them with another header, arrive one a batch; the stream is started twice."""
+    root = scratch_dir(spark, "bad-file")
+    k = F.col("c_custkey")
+    for part, head in enumerate(("customer,segment", "customer,segment", "client,segment")):
+        rows = views.table(spark, sf, "customer").filter(k % 3 == part).select(k.alias("k"), F.concat_ws(",", F.concat(F.lit("C-"), k.cast("string")), "c_mktsegment").alias("value"))
+        first = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(head).alias("value"))
+        rows.unionByName(first).coalesce(1).sortWithinPartitions("k").select("value").write.mode("append").text(f"{root}/in")
+    for _ in range(2):
+        ingest_text_stream(spark, f"{root}/in", ["customer", "segment"], f"{root}/out", f"{root}/check", files_per_trigger=1).awaitTermination()
+    read = lambda name: spark.read.parquet(f"{root}/out/{name}").drop("batch_id")
+    table = read("table").select("file", F.lit("table").alias("target"), "customer", "segment")
+    bad = read("quarantine").select("file", F.lit("quarantine").alias("target"), F.get("cells", F.lit(0)).alias("customer"), F.get("cells", F.lit(1)).alias("segment"))
+    return table.unionByName(bad).join(read("files").select("file", "verdict"), "file").drop("file")

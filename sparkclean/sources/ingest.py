@@ -28,11 +28,23 @@ def read_csv(
     """Lenient delimited text: one file, or many files with the same header. Files without
     a header line (the usual output of a job) need ``header``."""
     out = out or scratch_dir(spark, "ingest")
+    return shape_rows(csv_rows(spark, path, out, sep, line_sep, max_record_chars, header is None), out, header)
+
+
+def csv_rows(
+    spark: SparkSession,
+    path: str | list[str],
+    out: str,
+    sep: str = ",",
+    line_sep: str = "\n",
+    max_record_chars: int = MAX_RECORD_CHARS,
+    headed: bool = True,
+) -> DataFrame:
+    """The records of delimited files as cells: (_rid, row_no, cells, oversize). In files with a header line that line
+    has ``row_no`` -1."""
     records = read_records(spark, path, f"{out}/_work", sep, line_sep, max_record_chars)
     cells = F.when(F.col("oversize"), F.array("record")).otherwise(split_cells(F.col("record"), sep))
-    first = 0 if header is not None else 1
-    rows = records.select(ROW_ID, (F.col("record_no") - first).alias("row_no"), cells.alias("cells"), "oversize")
-    return shape_rows(rows, out, header)
+    return records.select(ROW_ID, (F.col("record_no") - int(headed)).alias("row_no"), cells.alias("cells"), "oversize")
 
 
 def read_workbook(

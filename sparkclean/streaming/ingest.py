@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.functions.text import (
+    WHITESPACE,
     bind,
     fold_native,
     has_instruction,
@@ -23,8 +24,8 @@ from sparkclean.operators.checks import Check, run_checks
 from sparkclean.operators.guards import text_columns
 from sparkclean.operators.identity import FILE_BITS
 from sparkclean.session import scratch_dir
-from sparkclean.sources.ingest import read_csv
-from sparkclean.sources.shaping import clean_header, header_width, unique_names
+from sparkclean.sources.ingest import csv_rows
+from sparkclean.sources.shaping import clean_header, header_width, shape_rows, unique_names
 
 # Operations whose result for one row needs no other row.
 ROW_LOCAL = ("replace_value", "fill_missing", "cast_type", "standardise_format", "derive_column", "drop_column")
@@ -82,32 +83,73 @@ def quality_gate(checks: list[Check], good: str, rejected: str) -> Callable[[Dat
     return route
 
 
+OTHER_HEADER = "The file has another header"
+
+
 def ingest_text_stream(
-    spark: SparkSession, folder: str, header: list[str], out: str, checkpoint: str, sep: str = ",", **trigger
+    spark: SparkSession,
+    folder: str,
+    header: list[str],
+    out: str,
+    checkpoint: str,
+    sep: str = ",",
+    files_per_trigger: int | None = None,
+    **trigger,
 ):
     """Follow a folder of delimited files that share a known header.
 
-    The stream lists the new files; each batch reads its files whole with :func:`read_csv`, so cells with line breaks
-    stay whole, the header is the first record of a file and no other, and malformed rows keep their place. Rows go to
-    ``out/table`` or ``out/quarantine``; one directory per batch keeps a replay from storing rows twice. A file with
-    another header stops the stream.
+    The stream lists the new files; each batch frames its files whole, so cells with line breaks stay whole, the header
+    is the first record of a file and no other, and malformed rows keep their place. Every file gets a verdict from its
+    own header: ``taken`` or ``refused`` (a file of no bytes gets none, since no scan visits it). The rows of taken files go to ``out/table`` and
+    ``out/quarantine``; a refused file goes to ``out/quarantine`` as a whole, its header included, and the stream goes
+    on. ``out/files`` holds (file, records, verdict). Each has one directory per batch; the checkpoint gives a replayed
+    batch the same files, so it overwrites its own rows and nothing is stored twice.
     """
-    names, _ = unique_names([clean_header(h) for h in header[: header_width(header)]])
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+    width = header_width(header)
+    names, _ = unique_names([clean_header(h) for h in header[:width]])
+    if any(h is None or not h.strip(WHITESPACE) for h in header[:width]):
+        raise ValueError("a stream needs a name for each column")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    if files_per_trigger:
+        files = files.option("maxFilesPerTrigger", files_per_trigger)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         paths = sorted(r["path"] for r in batch.collect())  # names only, as many as one trigger takes
         if not paths:
             return
-        r = read_csv(session, paths, scratch_dir(session, "stream"), sep)
-        if [c for c in r.table.columns if c != ROW_ID] != names:
-            raise ValueError(f"a file of batch {batch_id} has the header {r.table.columns}, not {names}")
+        work = scratch_dir(session, "stream")
+        csv_rows(session, paths, work, sep).withColumn("file_no", F.shiftright(ROW_ID, FILE_BITS)).write.parquet(f"{work}/rows")
+        rows = session.read.parquet(f"{work}/rows")
         listing = F.array(*[F.element_at(F.split(F.lit(p), "/"), -1) for p in paths])
-        file = F.element_at(listing, (F.shiftright(ROW_ID, FILE_BITS) + 1).cast("int")).alias("file")
+        name_of = lambda number: F.get(listing, number.cast("int"))
+
+        heads = rows.where("row_no = -1 AND NOT oversize").select("file_no", "cells").collect()  # a row per file of the batch
+        taken = [h["file_no"] for h in heads if _same_header(h["cells"], names)]
+        is_taken = F.array_contains(F.lit(taken).cast("array<bigint>"), F.col("file_no"))
+        rows.groupBy("file_no").agg(F.count(F.lit(1)).alias("records")).select(
+            name_of(F.col("file_no")).alias("file"), "records", F.when(is_taken, "taken").otherwise("refused").alias("verdict")
+        ).write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}")
+
+        r = shape_rows(rows.where(is_taken).drop("file_no"), f"{work}/taken", header[:width])
+        file = name_of(F.shiftright(ROW_ID, FILE_BITS)).alias("file")
         r.table.select(file, *map(q, names)).write.mode("overwrite").parquet(f"{out}/table/batch_id={batch_id}")
-        r.quarantined.select(file, "row_ref", "reason", "cells").write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
+        refused = rows.where(~is_taken).select(
+            file,
+            F.concat(F.lit("row "), F.col("row_no") + 2).alias("row_ref"),
+            F.lit(OTHER_HEADER).alias("reason"),
+            F.transform("cells", lambda c: F.coalesce(c, F.lit(""))).alias("cells"),
+        )
+        r.quarantined.select(file, "row_ref", "reason", "cells").unionByName(refused).write.mode("overwrite").parquet(
+            f"{out}/quarantine/batch_id={batch_id}"
+        )
 
     return (
-        files.select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        files.load(folder).select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def _same_header(cells: list[str | None], names: list[str]) -> bool:
+    found = cells[: header_width(cells)]
+    return unique_names([clean_header(c or "") for c in found])[0] == names

@@ -416,6 +416,38 @@ def test_gate_routes_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
+def test_stream_goes_on_after_a_bad_file(spark, tmp_path):
+    """Good and refused files, malformed rows, a file of no bytes; a second start and a replayed last batch change nothing."""
+    import shutil
+
+    from sparkclean.streaming.ingest import OTHER_HEADER, ingest_text_stream
+
+    source, out, check = tmp_path / "in", tmp_path / "out", tmp_path / "check"
+    source.mkdir()
+    (source / "a.csv").write_text('"id","note"\n1,"two\nlines"\n2,x,extra\n')
+    (source / "b.csv").write_text("id,other\n3,y\n")
+    (source / "c.csv").write_text("")
+    (source / "d.csv").write_text("id,note,\n4,z\n")
+
+    def run():
+        ingest_text_stream(spark, str(source), ["id", "note"], str(out), str(check), files_per_trigger=2).awaitTermination()
+        read = lambda name: sorted(tuple(r)[:-1] for r in spark.read.parquet(str(out / name)).collect())
+        return read("table"), read("quarantine"), read("files")
+
+    table, bad, files = first = run()
+    assert table == [("a.csv", "1", "two\nlines"), ("d.csv", "4", "z")]
+    assert [(f, ref) for f, ref, _, _ in bad] == [("a.csv", "row 3"), ("b.csv", "row 1"), ("b.csv", "row 2")]
+    assert [r for _, _, r, _ in bad][1:] == [OTHER_HEADER] * 2 and bad[2][3] == ["3", "y"]
+    assert files == [("a.csv", 3, "taken"), ("b.csv", 2, "refused"), ("d.csv", 2, "taken")]
+    assert run() == first
+    commits = sorted((check / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    shutil.copytree(check, tmp_path / "again", ignore=lambda d, names: [n for n in names if d.endswith("commits") and commits[-1].name in n])
+    check = tmp_path / "again"  # the state before the last commit: its batch is run once more
+    assert run() == first
+    with pytest.raises(ValueError):
+        ingest_text_stream(spark, str(source), ["id", " ", "note"], str(out), str(check))
+
+
 def test_sum_check_does_not_depend_on_order(spark):
     """Totals of 10^12 whose double sums differ by partitioning give one verdict."""
     df = spark.range(400_000).selectExpr("id AS _rid", "CASE WHEN id % 2 = 0 THEN 5000000.01 + id ELSE 0.07 END AS a")
