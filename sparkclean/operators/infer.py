@@ -8,7 +8,7 @@ import logging
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkclean.functions.nested import child_table_name, with_parsed_cells
@@ -16,9 +16,12 @@ from sparkclean.operators.base import ROW_ID, is_numeric, q
 from sparkclean.operators.profile import CATEGORY_MAX, TableProfile
 from sparkclean.operators.relations import EQUAL_TOLERANCE, arithmetic_relations, fill_sources, untested_candidates
 from sparkclean.operators.spellings import category_groups
+from sparkclean.session import scratch_dir
 
 log = logging.getLogger(__name__)
 
+NAMED_KEYS = 5000  # item keys that the evidence of a rule names; a rule with more also says how many there are
+
 RULE_SCHEMA = (
     "rule_type string, columns array<string>, expression string, confidence double, evidence string, source string"
 )
@@ -78,8 +81,9 @@ def _arithmetic_rules(df: DataFrame, profile: TableProfile, budget: int | None)
 # --- nested records, fills -----------------------------------------------------------------------
 
 
-def nested_facts(df: DataFrame, column: str) -> tuple[int, list[str]]:
-    """Items in all cells and the sorted item keys."""
+def nested_facts(df: DataFrame, column: str) -> tuple[int, int, list[str]]:
+    """Items in all cells, number of different item keys, and these keys in order: all of them, or the first
+    ``NAMED_KEYS`` if there are more. No more than those reach the driver."""
     parsed = with_parsed_cells(df.select(q(column).alias("c")), "c", "p").select(F.col("p.items").alias("items"))
     # one pass: the distinct keys of a cell travel with its item count, NULL carries the count
     names = F.array_distinct(F.flatten(F.transform("items", F.map_keys)))
@@ -89,10 +93,13 @@ def nested_facts(df: DataFrame, column: str) -> tuple[int, list[str]]:
         .select("n", F.explode_outer("marks").alias("k"))
         .groupBy("k")
         .agg(F.sum("n").alias("n"))
-        .collect()  # one row per item key
     )
-    total = next((r["n"] for r in counted if r["k"] is None), 0)
-    return total, sorted(r["k"] for r in counted if r["k"] is not None)
+    path, seen = scratch_dir(df.sparkSession, "item_keys"), Observation("item_keys")
+    total = F.max(F.when(F.col("k").isNull(), F.col("n")))
+    counted.observe(seen, total.alias("items"), F.count("k").alias("keys")).select("k").write.parquet(path)
+    found = df.sparkSession.read.schema("k string").parquet(path).where(F.col("k").isNotNull())
+    got = seen.get
+    return got["items"] or 0, got["keys"], [r["k"] for r in found.orderBy("k").limit(NAMED_KEYS).collect()]
 
 
 def _fill_rules(df: DataFrame, profile: TableProfile) -> list[InferredRule]:
@@ -163,11 +170,11 @@ def infer_rules(
 
     for c in profile.columns:
         if c.semantic_type == "nested_json":
-            total, keys = nested_facts(df, c.name)
+            total, different, keys = nested_facts(df, c.name)
             rules.append(InferredRule(
                 "one_to_many", [c.name],
                 {"parent_key": key or "_row", "child_table": child_table_name(c.name), "item_count": total},
-                1.0, {"sample_item_keys": keys},
+                1.0, {"sample_item_keys": keys} | ({"item_keys": different} if different > len(keys) else {}),
             ))
     rules += [
         InferredRule(
