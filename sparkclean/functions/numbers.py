@@ -13,6 +13,8 @@ _DIGITS = r"\d(?:_?\d)*"
 FLOAT_PATTERN = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)$"
 )
+# what Unicode calls white space
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MONEY_PATTERN = r"^\s*[-+]?\$?\s*(\d{1,3}(,\d{3})+|\d+)?(\.\d+)?\s*$"
 # --- end of fixed values ---------------------------------------------------------
 
@@ -33,7 +35,7 @@ def is_numeric_text(c: Column) -> Column:
 
 def parse_money(c: Column) -> Column:
     """``"$1,234.50"`` -> 1234.5: dollar signs, commas and white space are ignored."""
-    return to_float(F.regexp_replace(c, r"(?U)[\$,\s]", ""))
+    return to_float(F.translate(c, "$," + BLANKS, ""))
 
 
 def is_money_text(c: Column) -> Column:
