@@ -8,9 +8,10 @@ take the place that the plan has for that rank.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +23,12 @@ from pyspark.sql.window import Window
 from sparkclean.llm.common import Remembered, bounded_batches, stored, worker_cache
 
 CAPACITY = 4096
-CACHED_BYTES = 40_000_000  # of a generation of words
+CACHED_BYTES = 16_000_000  # of a generation of words
 CACHED_LENGTH = 64
 TOGETHER = 1_000_000  # characters of texts that are divided into words at once
-SIGNS = ".,!?;:"
+LATIN_END = "\u0250"  # letters below it are their own normal form
+# a sign after a Latin letter or digit; an apostrophe may belong to the letters after it
+SIGNS = r"[!-&(-/:-@\[-`{-~](?<=[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f].)"
 GROUP = 1000  # pieces of one length that one rank group holds on average
 
 
@@ -33,11 +36,30 @@ class WordEncoder:
     """Ids of a text by a tokenizer that drops white space: words are encoded apart and remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # low Latin letters pass normalizer and splitting pattern as they are; the same model takes them without these
+        self.plain = Tokenizer(self.tokenizer.model)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)  # by id: the last one of a word
+        if suffix:
+            self.closes[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = re.compile(SIGNS)
         self.known = Remembered(CACHED_BYTES)
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of low Latin letters, cut apart by the ids that close a word."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+        if len(ends) != len(words) or ends[-1] != ids.nbytes:  # a vocabulary that does not mark them
+            return self._library(words)
+        body, ends = ids.tobytes(), ends.tolist()
+        return [body[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _library(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of words without white space: one call for all, cut apart by the offsets."""
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -46,44 +68,38 @@ class WordEncoder:
         body = np.array(found.ids, "<u4").tobytes()
         return [body[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
-    @staticmethod
-    def _divided(word: str) -> tuple[str, str] | None:
-        """A sign after letters is a piece of its own, and letters are lower-cased: such words share their letters."""
-        stem, tail = (word[:-1], word[-1]) if word[-1] in SIGNS else (word, "")
-        if stem.isascii() and stem.isalpha():
-            low = stem.lower()
-            return (low, tail) if tail or low != stem else None
-        return (stem, tail) if tail and stem.isalpha() and stem.lower().isalpha() else None
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(words), 1000):
-            out += self._library(words[start : start + 1000])
+    def _encoded(self, words: Iterable[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        letters: list[str] = []
+        others: list[str] = []
+        for w in words:
+            low = w.isalpha() and w == w.lower() and (w.isascii() or max(w) < LATIN_END)
+            (letters if low else others).append(w)
+        for some, encode in ((letters, self._letters), (others, self._library)):
+            for start in range(0, len(some), 1000):
+                part = some[start : start + 1000]
+                out.update(zip(part, encode(part), strict=True))
         return out
 
-    def _table(self, kinds: set[str]) -> dict[str, bytes]:
-        """Ids of words of at most ``CACHED_LENGTH`` characters."""
-        cuts = {w: cut for w in kinds if w not in self.known.new and w not in self.known.old and (cut := self._divided(w))}
-        stems = {x for cut in cuts.values() for x in cut if x}
-
-        def make(lost: list[str]):
-            whole = [w for w in lost if w not in cuts]
-            found = dict(zip(whole, self._encoded(whole), strict=True))
-            found[""] = b""
-            for w, cut in cuts.items():
-                stem, tail = (found[x] if x in found else self.known.new[x] for x in cut)
-                found[w] = stem + tail
-            return map(found.__getitem__, lost)
+    def _parts(self, text: str) -> list[str]:
+        """Parts of a text that are encoded apart: words, and in them the signs after a letter or digit.
 
-        return self.known.fill(kinds | stems, make)
+        Letters are lower-cased, so that all spellings of a word share its ids. A text with a special string keeps its
+        words, and one with letters beyond the Latin ones, whose lower case may differ, keeps its letters.
+        """
+        low = text.lower()
+        if any(mark in low for mark in self.special):
+            return text.split()
+        latin = text.isascii() or (max(text) < LATIN_END and "\u0130" not in text)
+        return self.signs.sub(r" \g<0>", low if latin else text).split()
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split() for t in texts]
+        parts = [self._parts(t) for t in texts]
         kinds = set().union(*parts)
         long = [w for w in kinds if len(w) > CACHED_LENGTH]
-        known = self._table(kinds.difference(long))
+        known = self.known.fill(kinds.difference(long), lambda lost: map(self._encoded(lost).__getitem__, lost))
         if long:
-            known = {w: known[w] for w in kinds.difference(long)} | dict(zip(long, self._encoded(long), strict=True))
+            known = {w: known[w] for w in kinds.difference(long)} | self._encoded(long)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:

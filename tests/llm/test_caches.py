@@ -77,3 +77,15 @@ def test_pairs_of_an_unordered_vocabulary():
     counter.ordered = False
     for t in texts(40, 8):
         assert np.frombuffer(counter.steps(t), "<i2").sum() == len(library.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_spellings_of_a_word_share_their_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    words = [w + tail for w in ("éviré", "Éviré", "inhaed", "INHAED", "x1.y2@z.com") for tail in ("", ".", "###", "$$$", "&&&.", "'s.", "'.", '."', "</")]
+    more = ["<|endoftext|>.", "a<|ENDOFTEXT|>b.", "don't.", "İ.İ", "ΑΣ. Σ", "ß.ẞ.", "e\u0301.e", "a.\u0301", "=\u0338 a=\u0338", "×.÷.", "1²." + "q" * 80 + "."]
+    for t, ids in zip([" ".join(words), *words, *more], encoder.encode([" ".join(words), *words, *more]), strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == library.encode(t, add_special_tokens=False).ids, repr(t)
+    encoder.known = Remembered(10_000)
+    list(encoder.encode([" ".join(words)]))
+    assert len(encoder.known.new) < len(words)
