@@ -33,6 +33,7 @@ from sparkclean.llm.common import bounded_batches, mix, stored
 
 MAX_WORDS, LEAST_COUNT, COVERED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 LEAST_BITS, MOST_BITS = 16, 27
+BATCH = "2m"  # text that a worker joins at once
 BREAK = b"\xff"  # no byte of UTF-8 text
 UNKNOWN_LANG = "und"
 
@@ -142,6 +143,7 @@ def _count(source: DataFrame, size: int, mark, longer: bool) -> DataFrame:
                 if size:
                     found = Occurrences(words, size)
                     yield _counted(lang, found.phrases(), found.count)
+                    del found  # before the next relation is built
                 if longer:
                     found = Occurrences(words, size + 1)
                     n = len(found.count)
@@ -199,7 +201,7 @@ def relations(
 ) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``k`` words, ``n``) of all phrases of up to ``max_words`` words that occur ``least_count``
     times; (``lang``, ``n``) with all word occurrences of every language."""
-    bounded_batches(docs.sparkSession, rows=2000, size="4m")
+    bounded_batches(docs.sparkSession, rows=1000, size=BATCH)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
     own = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
     frequent = F.col("n") >= least_count

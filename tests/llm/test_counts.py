@@ -62,6 +62,19 @@ def test_collocations(spark, least, top):
     assert {x[0] for x in got} >= {"en", "und"}
 
 
+def test_collocations_take_texts_in_small_batches(spark):
+    df = spark.range(0, 400, 1, 1).selectExpr("'en' as lang", "repeat(concat('w', id, ' '), 4000) as text").localCheckpoint()
+    collocations.relations(df, max_words=1)
+
+    def size(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    assert max(r["n"] for r in df.mapInArrow(size, "n bigint").collect()) < 3_000_000
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert collocations.mine(empty).collect() == []
