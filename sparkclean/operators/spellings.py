@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from sparkclean.session import scratch_dir
 # --- fixed values ------------------------------------------------------------------------
 VARIANT_SCORE = 60.0
 VARIANT_BOUNDARY = " ,(-"
+KEY_LENGTH = 64  # characters of a key that is the text itself
+HOT = 100_000  # rows of one key that are not left to one task
 # -------------------------------------------------------------------------------------------
 
 
@@ -124,28 +126,58 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([variant_score(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _words_size(text: str) -> Column:
+    """Characters of the words of a text that neither begins nor ends with white space, joined by one blank."""
+    solid = F.length(F.translate(text, WHITESPACE, ""))
+    return solid + F.size(F.split(text, f"[{WHITESPACE}]+")) - 1
+
+
+def _exact_key(text: Column) -> Column:
+    return F.when(F.length(text) <= KEY_LENGTH, text).otherwise(F.concat(F.lit("sha256 "), F.sha2(text, 256)))
+
+
+def _join_hot(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """Inner join of stored tables on unique keys of ``right``; ``counts`` holds the keys with ``HOT`` rows or more in
+    ``left``: at most one for ``HOT`` rows, so their rows of ``right`` travel and no task gets all rows of such a key."""
+    hot = F.broadcast(_kept(right.join(F.broadcast(counts), keys, "left_semi")))
+    rest = left.join(F.broadcast(counts), keys, "left_anti").join(right, keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
 def variant_pairs(nodes: DataFrame, cutoff: float = VARIANT_SCORE) -> DataFrame:
     """(col_no, x, y, score) of all spellings that score ``cutoff`` or more, each pair in both directions.
 
-    ``nodes`` holds (col_no, node, spelling). The shorter spelling is a prefix of the longer one that ends before a
-    boundary: a spelling gives one row per such prefix, and these meet the spellings by length and hash. A prefix too
-    short for the cutoff, whatever the words are, is left out at once. Texts are joined to what met.
+    ``nodes`` holds (col_no, node, spelling), without white space at the ends of a spelling. The shorter spelling is a
+    prefix of the longer one that ends before a boundary: a spelling gives one row per such prefix, and these meet the
+    spellings by length and text (by SHA-256, if long). A prefix too short for the cutoff, whatever the words are, is
+    left out at once. Before a blank the words of the prefix are words of the longer spelling, and in sorted order one
+    is a subsequence of the other: the score follows from their sizes. Other texts are joined to what met and compared.
     """
-    length = F.length("spelling")
+    nodes = nodes.withColumn("length", F.length("spelling")).withColumn("size", _words_size("spelling"))
     solid = F.length(F.translate("spelling", WHITESPACE, ""))  # the longer text has as many characters at least
+    least = F.greatest(F.lit(1), F.ceil(solid * cutoff / (200.0 - cutoff)).cast("int") - 1)
+    longer = nodes.where("length > 1").select("*", solid.alias("solid"), least.alias("least")).where("least < length")
     ends = F.filter(
-        F.sequence(F.lit(1), length - 1),
-        lambda i: F.lit(VARIANT_BOUNDARY).contains(F.substring(F.col("spelling"), i + 1, F.lit(1)))
-        & (i * (200.0 - cutoff) >= solid * cutoff),
+        F.sequence(F.col("least"), F.col("length") - 1),
+        lambda i: F.lit(VARIANT_BOUNDARY).contains(F.substring(F.col("spelling"), i + 1, F.lit(1))),
     )
-    starts = nodes.where(length > 1).select("col_no", F.col("node").alias("long"), "spelling", F.explode(ends).alias("end"))
-    starts = starts.select("col_no", "long", "end", F.xxhash64(F.substring(F.col("spelling"), F.lit(1), F.col("end"))).alias("key"))
-    known = nodes.select("col_no", F.col("node").alias("short"), length.alias("end"), F.xxhash64("spelling").alias("key"))
-    met = starts.join(known, ["col_no", "end", "key"]).select("col_no", "short", "long")
+    starts = longer.select("col_no", F.col("node").alias("long"), "spelling", F.col("size").alias("long_size"), "solid", F.explode(ends).alias("end"))
+    starts = starts.where(F.col("end") * (200.0 - cutoff) >= F.col("solid") * cutoff)
+    prefix = F.substring(F.col("spelling"), F.lit(1), F.col("end"))
+    blank = F.substring(F.col("spelling"), F.col("end") + 1, F.lit(1)) == " "
+    starts = _kept(starts.select("col_no", "long", "end", "long_size", blank.alias("blank"), _exact_key(prefix).alias("key")))
+    known = nodes.select("col_no", F.col("node").alias("short"), F.col("length").alias("end"), F.col("size").alias("short_size"), _exact_key(F.col("spelling")).alias("key"))
+    keys = ["col_no", "end", "key"]
+    counts = _kept(starts.groupBy(*keys).count().where(F.col("count") >= HOT).select(*keys))
+    met = _kept(_join_hot(starts, known, keys, counts).drop("end", "key"))
+    score = 200.0 * F.col("short_size") / (F.col("short_size") + F.col("long_size"))
+    scored = met.where("blank").select("col_no", "short", "long", score.alias("score"))
+    others = met.where("not blank").select("col_no", "short", "long")
     for name in ("short", "long"):
         text = nodes.select("col_no", F.col("node").alias(name), F.col("spelling").alias(f"{name}_text"))
-        met = met.join(text, ["col_no", name])
-    scored = met.select("col_no", "short", "long", _score("short_text", "long_text").alias("score")).where(F.col("score") >= cutoff)
+        others = others.join(text, ["col_no", name])
+    others = others.select("col_no", "short", "long", _score("short_text", "long_text").alias("score"))
+    scored = scored.unionByName(others).where(F.col("score") >= cutoff)
     both = F.explode(F.array(F.struct(F.col("short").alias("x"), F.col("long").alias("y")), F.struct(F.col("long").alias("x"), F.col("short").alias("y"))))
     return scored.select("col_no", both.alias("p"), "score").select("col_no", "p.x", "p.y", "score")
 
@@ -215,9 +247,11 @@ def _members(values: DataFrame, columns: list[str], max_variants: int | None) ->
         taken = _heads(pairs) if max_variants is None else _capped_heads(pairs, max_variants)
         grouped = nodes.join(taken.withColumnRenamed("y", "node"), ["col_no", "node"], "left").withColumn("head", F.coalesce("head", "node"))
     members = _kept(values.join(grouped.select("col_no", "spelling", "head"), ["col_no", "spelling"]))
-    best = members.groupBy("col_no", "head").agg(F.min_by("value", F.struct(-F.col("n"), F.length("value"), F.col("value"))).alias("canonical"))
+    first = F.min_by("value", F.struct(-F.col("n"), F.length("value"), F.col("value")))
+    best = _kept(members.groupBy("col_no", "head").agg(first.alias("canonical"), F.count("*").alias("size")))
+    counts = best.where(F.col("size") >= HOT).select("col_no", "head")
     names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"c{i}"), F.lit(c))])
-    return members.join(best, ["col_no", "head"]).select(
+    return _join_hot(members, best.drop("size"), ["col_no", "head"], counts).select(
         names[F.col("col_no")].alias("column"), "value", "n", F.xxhash64("head").alias("group"), strip_ws(F.col("canonical")).alias("canonical")
     )
 

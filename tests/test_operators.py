@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkclean.operators.base import ROW_ID, schema_of
 from sparkclean.operators.catalogue import OPS, apply_inverse, get_op, register
 from sparkclean.operators.identity import content_hash, frame_equal, with_row_ids
+from sparkclean.operators import spellings
 from sparkclean.operators.spellings import category_groups, entity_groups, spelling_groups, spelling_members
 from sparkclean.operators.structure import has_exact_duplicates
 from sparkclean.plans.loss import cumulative_loss, estimate_losses, estimate_step_loss, within_threshold
@@ -229,6 +230,23 @@ def test_spelling_rounds_equal_the_choice_one_by_one(spark, cap):
     assert spelling_members(df.where("1 = 0"), ["firm"]).collect() == []
 
 
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_spelling_pairs_need_texts_only_after_other_boundaries(spark, monkeypatch, hot):
+    """Pairs and scores equal those of all pairs; a hot root is shared by tasks, and blanks need no texts."""
+    r = random.Random(5)
+    parts = [" a", "-b", ", c", " (d", " ab", "  a", "\ta", "\u2003a a", "e", " " + "long " * 15 + "z"]
+    texts = {(r.choice(["ab", "b a", "x"]) + "".join(r.choice(parts) for _ in range(r.randint(0, 5)))).strip() for _ in range(250)}
+    nodes = spark.createDataFrame([("c0", i, v) for i, v in enumerate(sorted(texts))], "col_no string, node int, spelling string")
+    monkeypatch.setattr(spellings, "HOT", hot)
+    got = {(p["x"], p["y"]): p["score"] for p in spellings.variant_pairs(nodes).collect()}
+    own = sorted(texts)
+    want = {(i, j): s for i, x in enumerate(own) for j, y in enumerate(own) if i != j and (s := spellings.variant_score(x, y)) >= 60}
+    assert got == want and len(want) > 100
+    root = spark.range(300).selectExpr("'c0' as col_no", "int(id) as node", "if(id = 0, 'northern house', concat('northern house ', id)) as spelling")
+    monkeypatch.setattr(spellings, "_score", F.udf(lambda a, b: 1 / 0, "double"))
+    assert spellings.variant_pairs(root).count() == 598
+
+
 def test_spelling_chain_and_hub(spark):
     """A chain in which every spelling is like the next ones, and a root that all others extend."""
     chain = ["a" + " b" * i for i in range(12)]
