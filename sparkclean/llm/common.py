@@ -11,6 +11,7 @@ Conventions of every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import json
 import sys
 import types
@@ -25,6 +26,7 @@ from sparkclean.session import scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
+SMALL_BATCH = "2m"  # of whole texts or their words: what is made of a batch takes several times its size
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,24 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system; else it counts until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; when a task is over, its worker keeps no memory that it no longer uses."""
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def worker_cache(name: str, make: Callable):
     """An object kept by a Python worker across tasks (functions travel by value, their globals do not last).
 
@@ -77,6 +97,7 @@ def worker_cache(name: str, make: Callable):
     store = sys.modules.setdefault("_sparkclean_worker", types.ModuleType("_sparkclean_worker"))
     if getattr(store, "name", None) != name:
         store.name = store.value = None
+        give_back()
         store.value = make()
         store.name = name
     return store.value

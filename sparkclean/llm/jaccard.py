@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclean.llm.common import (
+    SMALL_BATCH,
     ascii_lower,
     batches_of,
     bounded_batches,
+    giving_back,
     gram_hashes,
     key_bitmap,
     lists_of,
@@ -95,7 +97,7 @@ def _overview(own: DataFrame, n: int) -> DataFrame:
         used = np.flatnonzero(sketch)
         yield from batches_of({"_id": [None] * len(used), "size": sketch[used], "set": [None] * len(used), "bucket": used}, schema)
 
-    return own.mapInArrow(run, "_id bigint, size bigint, set binary, bucket int")
+    return own.mapInArrow(giving_back(run), "_id bigint, size bigint, set binary, bucket int")
 
 
 def _lead(size, percent: int):
@@ -124,7 +126,7 @@ def _postings(own: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
                 columns = {"gram": np.concatenate(grams).view(np.int64), "_id": ids[np.concatenate(rows)], "size": np.concatenate(sizes), "place": np.concatenate(places)}
                 yield from batches_of(columns, schema)
 
-    return own.mapInArrow(run, "gram bigint, _id bigint, size int, place int")
+    return own.mapInArrow(giving_back(run), "gram bigint, _id bigint, size int, place int")
 
 
 def _whole_sets(own: DataFrame, n: int) -> DataFrame:
@@ -133,7 +135,7 @@ def _whole_sets(own: DataFrame, n: int) -> DataFrame:
             found = [s.view(np.int64) for s, _ in _sets(*lists_of(batch.column("_words")), n)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.list_(pa.int64()))], ["_id", "grams"])
 
-    return own.mapInArrow(run, "_id bigint, grams array<bigint>")
+    return own.mapInArrow(giving_back(run), "_id bigint, grams array<bigint>")
 
 
 def _linked(pairs: DataFrame, incidence, percent: int) -> DataFrame:
@@ -257,7 +259,7 @@ def classes(
     empty and the row links with nothing. Ids are integers, one for each text: equal rows get equal results, of rows that
     share an id with different texts links may be missed; rows without id are left out.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, size=SMALL_BATCH)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), (ascii_lower(text) if ascii_fold else text).alias("_text")).filter("_id is not null")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkclean.llm.common import Remembered, bounded_batches, stored, worker_cache
+from sparkclean.llm.common import SMALL_BATCH, Remembered, bounded_batches, giving_back, stored, worker_cache
 
 CAPACITY = 4096
 CACHED_BYTES = 16_000_000  # of a generation of words
@@ -128,7 +128,7 @@ def pieces(
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut. A null text is empty: its one
     piece holds ``end_id`` alone. Null ids and repeated rows are kept.
     """
-    bounded_batches(docs.sparkSession, rows=500)
+    bounded_batches(docs.sparkSession, rows=500, size=SMALL_BATCH)
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
     names = ["_id", "piece", "start", "length", "ids_crc32"]
@@ -150,7 +150,7 @@ def pieces(
                 ], names,
             )
 
-    return own.mapInArrow(run, f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("_id", id_col)
+    return own.mapInArrow(giving_back(run), f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("_id", id_col)
 
 
 # ---------------------------------------------------------------- plan
@@ -280,9 +280,9 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the counts per length and the plan. An empty table gives no rows.
     """
     spark = pieces_df.sparkSession
-    bounded_batches(spark)
     kept = pieces_df.columns
-    own = stored(pieces_df, "pieces")
+    own = stored(pieces_df, "pieces")  # in the batches that pieces() asked for
+    bounded_batches(spark)
     counts = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}
     made = plan(counts, capacity)
     places = np.array(sorted(made.places), np.int64).reshape(-1, 5)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import bounded_batches, fold_of, literal_rows, stored, worker_cache
+from sparkclean.llm.common import SMALL_BATCH, bounded_batches, fold_of, giving_back, literal_rows, stored, worker_cache
 
 BLOCK = 512  # bytes
 SAMPLE_BLOCKS = 8  # blocks that one labelled text gives to a dictionary, spread over the whole text
@@ -60,7 +60,7 @@ def _features(text: bytes, good, bad) -> list[float]:
 
 def features(df: DataFrame, model: QualityModel, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` and an array ``features`` per row."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, size=SMALL_BATCH)
     good, bad = model.good, model.bad
     own = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = own.drop("_text").withColumn("features", F.array(F.lit(0.0))).schema
@@ -73,7 +73,7 @@ def features(df: DataFrame, model: QualityModel, text_col: str, keep: list[str])
                 [*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], [*keep, "features"]
             )
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(giving_back(run), schema)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:

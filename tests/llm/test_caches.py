@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from sparkclean.llm import packing, prefix_tokens
+from sparkclean.llm import common, decontaminate, jaccard, packing, prefix_tokens, quality
 from sparkclean.llm.common import Remembered, worker_cache
 
 BITS = ["a", "Word", "word,", "word.", "'s", "don't", " ", "  ", "\t\n", "\xa0", "\x1c", "é", "Éa!", "日本", "12", "...", "x" * 70, " ", "_"]
@@ -89,3 +90,49 @@ def test_spellings_of_a_word_share_their_ids():
     encoder.known = Remembered(10_000)
     list(encoder.encode([" ".join(words)]))
     assert len(encoder.known.new) < len(words)
+
+
+def test_memory_is_given_back_after_a_task_and_with_the_object(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.giving_back(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and given == [1]
+    worker_cache("three", list)
+    worker_cache("three", list)
+    assert given == [1, 1]
+    monkeypatch.undo()
+    common.give_back()
+
+
+@pytest.mark.parametrize("module", [quality, jaccard, decontaminate, packing])
+def test_workers_of_the_pipeline_take_texts_in_small_batches(spark, monkeypatch, module):
+    df = spark.range(0, 800, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 2000) as text")
+    sizes = []
+
+    def size(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    class Ran(Exception):
+        pass
+
+    def measured(frame=None, label=None):
+        got = df.mapInArrow(size, "n bigint, bytes bigint").collect()
+        sizes.append((max(r["n"] for r in got), max(r["bytes"] for r in got)))
+        raise Ran
+
+    if module is packing:  # the batches of the job that writes the pieces
+        monkeypatch.setattr(packing, "stored", measured)
+        run = lambda: packing.pack(packing.pieces(df, public_tokenizers.path("word_bpe_49k.json")))
+    elif module is jaccard:
+        monkeypatch.setattr(jaccard, "stored", measured)
+        run = lambda: jaccard.classes(df)
+    elif module is quality:
+        run = lambda: (quality.features(df, quality.QualityModel(b"a", b"b"), "text", ["doc_id"]), measured())
+    else:
+        items = decontaminate.Items(["x"], [np.arange(9, dtype=np.uint64)], 4, 0.6)
+        run = lambda: (decontaminate.with_matches(df, items), measured())
+    with pytest.raises(Ran):
+        run()
+    assert sizes[0][0] <= 500 and sizes[0][1] < 3_000_000
