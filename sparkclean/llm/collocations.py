@@ -6,8 +6,8 @@ grouped and counted, and a semi-join with the frequent groups gives the relation
 
 The relation is stored as *runs*: maximal stretches of a piece in which every phrase of k words may be frequent, as
 words in the order of piece and position. Position i + 1 of a run is the next word of position i, so the merge-join is a
-shift of an array inside the task. Groups are counted by a 64-bit key of language and words, combined in the task, so
-that most of what is shuffled is two numbers. The semi-join sends a bitmap of the frequent keys (at most 2^27 bits,
+shift of an array inside the task. Groups are counted by a 64-bit key of language and words, combined in the worker, so
+that most of what is shuffled is two numbers, and added up after a sort, so that no task holds a table of groups. The semi-join sends a bitmap of the frequent keys (at most 2^27 bits,
 16 MiB, whatever their number). Equal keys or bits may let a rare phrase through, which costs work but no result: the
 pass over the next relation, which has few phrases left, counts these exactly by their text. A phrase is frequent only
 if its parts are, so nothing is lost.
@@ -19,6 +19,7 @@ groups first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import bounded_batches, mix, stored
+from sparkclean.llm.common import bounded_batches, give_back, giving_back, mix, stored
 
 MAX_WORDS, LEAST_COUNT, COVERED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 LEAST_BITS, MOST_BITS = 16, 27
 BATCH = "2m"  # text that a worker joins at once
+HELD = 1 << 20  # counts that a worker adds up at once
+CELL = 8192  # words of runs in one row, or one longer run
 BREAK = b"\xff"  # no byte of UTF-8 text
 UNKNOWN_LANG = "und"
 
@@ -104,22 +107,24 @@ class Occurrences:
             key = mix(key * np.uint64(3) + own[part])
         return key.view(np.int64)
 
-    def runs(self, alive: np.ndarray) -> bytes:
-        """The words of all stretches in which every phrase is ``alive`` (by distinct phrase), marked."""
+    def runs(self, alive: np.ndarray) -> list[bytes]:
+        """The words of all stretches in which every phrase is ``alive`` (by distinct phrase), marked; in cells of about
+        ``CELL`` words, because writers of files hold some hundred rows."""
         codes, names = self.words.codes, self.words.names
         own = np.zeros(len(codes) + 2, bool)
         own[self.starts[alive[self.which]] + 1] = True
         edge = np.flatnonzero(own[1:] != own[:-1])
         start, length = edge[::2], edge[1::2] - edge[::2] + self.size  # words, and a break
         if not len(start):
-            return b""
+            return []
         ends = np.cumsum(length)
         at = np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
         code = codes[np.minimum(at, len(codes) - 1)]
         names = pa.concat_arrays([names, pa.array([BREAK], pa.large_binary())])
         code[ends - 1] = len(names) - 1
-        line = pa.ListArray.from_arrays(pa.array([0, len(code)], pa.int32()), names.take(pa.array(code)))
-        return pc.binary_join(line, pa.scalar(b" ", pa.large_binary()))[0].as_py()
+        last = np.flatnonzero(np.diff(ends // CELL, append=ends[-1] // CELL + 1))  # runs that end a cell
+        line = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[last]]), pa.int32()), names.take(pa.array(code)))
+        return pc.binary_join(line, pa.scalar(b" ", pa.large_binary())).to_pylist()
 
 
 def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
@@ -137,22 +142,100 @@ def _count(source: DataFrame, size: int, mark, longer: bool) -> DataFrame:
     ``longer``, of the phrases of one word more by ``key``."""
 
     def run(batches):
+        texts, keys = Sums(_summed_phrases), Sums(_summed_keys)
         for batch in batches:
-            for lang, texts in _by_lang(batch).items():
-                words = Words(mark(texts))
+            for lang, own in _by_lang(batch).items():
+                words = Words(mark(own))
                 if size:
                     found = Occurrences(words, size)
-                    yield _counted(lang, found.phrases(), found.count)
+                    yield from texts.add(_counted(lang, found.phrases(), found.count))
                     del found  # before the next relation is built
                 if longer:
                     found = Occurrences(words, size + 1)
-                    n = len(found.count)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array(found.keys(lang)), pa.array(found.count)], schema=COUNTS)
                     if not size:
-                        yield _counted(lang, pa.array([""]), found.count.sum(keepdims=True))
-
-    parts = source.mapInArrow(run, "lang string, phrase string, key bigint, n bigint")
-    return parts.groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n"))
+                        yield from texts.add(_counted(lang, pa.array([""]), found.count.sum(keepdims=True)))
+                    found = _keyed(found.keys(lang), found.count)
+                    del words  # before the keys are added up
+                    yield from keys.add(found)
+        yield from texts.rest()
+        yield from keys.rest()
+        give_back()
+
+    groups = ["key", "lang", "phrase"]
+    parts = source.mapInArrow(run, _COUNTS).repartition(*map(F.col, groups)).sortWithinPartitions(*groups)
+    return parts.mapInArrow(_added, _COUNTS)
+
+
+_COUNTS = "lang string, phrase string, key bigint, n bigint"
+
+
+class Sums:
+    """Counts of a task, added up by ``summed`` before they leave it, up to ``HELD`` at a time."""
+
+    def __init__(self, summed):
+        self.summed, self.batches, self.rows = summed, [], 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.batches.append(batch)
+        self.rows += batch.num_rows
+        if self.rows >= HELD:
+            self.batches = [self.summed(self.batches)]
+            self.rows = self.batches[0].num_rows
+            if self.rows > HELD // 2:  # else what comes next would be added up too often
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        batches, self.batches, self.rows = self.batches, [], 0
+        if batches:
+            out = self.summed(batches) if len(batches) > 1 else batches[0]
+            del batches
+            for s in range(0, out.num_rows, 100_000):
+                yield out.slice(s, 100_000)
+
+
+def _keyed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(n), pa.string())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(keys), pa.array(n)], schema=COUNTS)
+
+
+def _summed_keys(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    keys = np.concatenate([b.column("key").to_numpy() for b in batches])
+    order = np.argsort(keys)
+    keys, n = keys[order], np.concatenate([b.column("n").to_numpy() for b in batches])[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else order
+    return _keyed(keys[first], np.add.reduceat(n, first)) if len(keys) else batches[0]
+
+
+def _summed_phrases(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    found = pa.Table.from_batches(batches).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    lang, phrase, n = (found[c].combine_chunks() for c in ("lang", "phrase", "n_sum"))
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.nulls(len(n), pa.int64()), n], schema=COUNTS)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each group of sorted rows."""
+    last = None  # group of the batch before, which may go on
+    for batch in batches:
+        batch = batch.cast(COUNTS) if last is None else pa.concat_batches([last, batch.cast(COUNTS)])
+        rows = batch.num_rows
+        if not rows:
+            continue
+        new = np.zeros(rows, bool)
+        new[0] = True
+        for c in ("lang", "phrase", "key"):
+            one, other = batch.column(c).slice(0, rows - 1), batch.column(c).slice(1)
+            if batch.column(c).null_count == rows:
+                continue
+            differs = pc.or_(pc.fill_null(pc.not_equal(one, other), False), pc.xor(one.is_null(), other.is_null()))
+            new[1:] |= differs.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        found = batch.take(pa.array(first)).set_column(3, COUNTS.field("n"), pa.array(np.add.reduceat(batch.column("n").to_numpy(), first)))
+        last = found.slice(found.num_rows - 1)
+        if found.num_rows > 1:
+            yield found.slice(0, found.num_rows - 1)
+    if last is not None:
+        yield last
+    give_back()
 
 
 def _counted(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -185,12 +268,13 @@ def _semi_join(source: DataFrame, size: int, mark, keys: DataFrame) -> DataFrame
                 found = Occurrences(Words(mark(texts)), size)
                 slot = found.keys(lang) & mask
                 alive = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
-                if text := found.runs(alive):
-                    langs.append(lang), out.append(text)
+                cells = found.runs(alive)
+                langs += [lang] * len(cells)
+                out += cells
             if langs:
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(out, pa.binary())], ["lang", "text"])
 
-    return source.mapInArrow(run, "lang string, text binary")
+    return source.mapInArrow(giving_back(run), "lang string, text binary")
 
 
 # ---------------------------------------------------------------- relations in Spark
@@ -201,7 +285,7 @@ def relations(
 ) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``k`` words, ``n``) of all phrases of up to ``max_words`` words that occur ``least_count``
     times; (``lang``, ``n``) with all word occurrences of every language."""
-    bounded_batches(docs.sparkSession, rows=1000, size=BATCH)
+    bounded_batches(docs.sparkSession, rows=20_000, size=BATCH)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
     own = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
     frequent = F.col("n") >= least_count

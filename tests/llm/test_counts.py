@@ -10,6 +10,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkclean.llm import collocations, importance, warc
@@ -75,6 +76,52 @@ def test_collocations_take_texts_in_small_batches(spark):
     assert max(r["n"] for r in df.mapInArrow(size, "n bigint").collect()) < 3_000_000
 
 
+def test_counts_are_added_up_in_bounded_parts(spark, monkeypatch):
+    """In workers up to ``HELD`` counts at a time, then from sorted rows, whichever batches these come in; Spark holds no table of groups."""
+    r = random.Random(3)
+    rows = [("en", r.choice("abcde"), None, r.randint(1, 9)) for _ in range(150)] + [("de", "a", None, 2), (None, None, 2**63 - 1, 5), (None, None, -(2**63), 7)]
+    rows += [(None, None, r.randint(-8, 8), r.randint(1, 9)) for _ in range(400)]
+    r.shuffle(rows)
+    want = Counter()
+    for *group, n in rows:
+        want[tuple(group)] += n
+
+    monkeypatch.setattr(collocations, "HELD", 40)
+    parts = []
+    for keyed, summed in ((False, collocations._summed_phrases), (True, collocations._summed_keys)):
+        own = [dict(zip(collocations.COUNTS.names, x, strict=True)) for x in rows if (x[0] is None) == keyed]
+        sums = collocations.Sums(summed)
+        for s in range(0, len(own), 7):
+            parts += sums.add(pa.RecordBatch.from_pylist(own[s : s + 7], collocations.COUNTS))
+            assert sums.rows < 40 and sum(b.num_rows for b in sums.batches) == sums.rows
+        parts += sums.rest()
+    found = [tuple(x.values()) for p in parts for x in p.to_pylist()]
+    assert len(found) < len(rows) / 2
+
+    found.sort(key=lambda x: (x[2] is not None, x[2] or 0, x[0] or "", x[1] or ""))
+    for size in (1, 2, 1000):
+        own = [dict(zip(collocations.COUNTS.names, x, strict=True)) for x in found]
+        batches = [pa.RecordBatch.from_pylist(own[s : s + size], collocations.COUNTS) for s in range(0, len(own), size)]
+        got = [tuple(x.values()) for b in collocations._added(iter([batches[0].slice(0, 0), *batches])) for x in b.to_pylist()]
+        assert len(got) == len(want) and {x[:3]: x[3] for x in got} == want
+    assert list(collocations._added(iter([]))) == []
+
+    df = spark.createDataFrame([("en", b"a b a b")], "lang string, text binary")
+    plan = collocations._count(df, 1, collocations.marked_runs, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_runs_are_stored_in_cells(monkeypatch):
+    words = collocations.Words(collocations.marked_text([b"a b. c d e. f. g h i j k l. m n. o"]))
+    found = collocations.Occurrences(words, 2)
+    whole = found.runs(np.ones(len(found.count), bool))
+    monkeypatch.setattr(collocations, "CELL", 4)
+    cells = found.runs(np.ones(len(found.count), bool))
+    assert len(whole) == 1 and len(cells) > 2
+    runs = lambda cells: [x.strip() for x in collocations.marked_runs(cells).split(b"\xff") if x.strip()]
+    assert runs(cells) == runs(whole) == [b"a b", b"c d e", b"g h i j k l", b"m n"]
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert collocations.mine(empty).collect() == []
